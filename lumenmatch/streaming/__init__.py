@@ -1,0 +1 @@
+"""Intentionally empty: the engine re-expressed here is batch only, so no streaming operator is added."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
+
+
+def staged(df, name: str):
+    """Write an intermediate table once to the shared folder and read it back.
+
+    Used where several branches need the same expensive rows: they are computed once, and a lost executor costs only
+    the tasks it was running.
+    """
+    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -114,3 +114,162 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = dense_positions(e, ["seq_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")))
     return placed.select("seq_id", F.col("position").alias("idx"), "score")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of a campaign in order, cut into videos of sixteen frames."""
+    return targets(spark, sf_dir).drop("target_id", "filename", "expected_match")
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = targets(spark, sf_dir).filter(F.lower("filename").endswith(".mp4"))
+    vid = F.col("target_id")
+    return t.select(
+        vid.alias("video_id"), (vid * 13 % 900 + 1).alias("total_frames"), (F.lit(24) + vid % CAMPAIGN_SIZE % 7).alias("fps")
+    )
+
+
+def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blur score of every frame of every video."""
+    idx = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame_idx")
+    return videos(spark, sf_dir).select("video_id", "total_frames", idx).withColumn(
+        "blur_score", ((F.col("video_id") * 7 + F.floor(F.col("frame_idx") / 6) * 31) % 90).cast("double")
+    )
+
+
+def frame_pictures(sampled: DataFrame) -> DataFrame:
+    """Histogram and thumbnail of sampled frames by formula; scenes repeat, so near duplicates occur."""
+    scene = F.floor((F.col("video_id") * 5 + F.col("frame_idx")) / 150) % 4
+    hist = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((i * (scene + 3) + F.col("video_id")) % 17).cast("double"))
+    thumb = F.transform(
+        F.sequence(F.lit(0), F.lit(1023)), lambda i: ((i * (scene + 1) * 7 + F.col("frame_idx") % 5 + F.col("video_id")) % 256).cast("double")
+    )
+    return sampled.select("video_id", "frame_idx", hist.alias("hist"), thumb.alias("thumb"))
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A posts sheet: pages with customer names as users, gaps and blanks included."""
+    pages = table(spark, sf_dir, "pages")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), "c_name")
+    pid = F.col("page_id")
+    return pages.join(users, "page_id", "left").select(
+        pid.alias("row_index"),
+        F.when(pid % 11 == 0, "  ").when(pid % 7 != 0, F.concat(F.lit(" "), F.col("c_name"))).alias("User Name"),
+        F.when(pid % 13 == 0, " ").when(pid % 5 != 0, F.concat(F.col("url"), F.lit(" "))).alias("Post-URL"),
+        F.length("html").alias("Size"),
+    )
+
+
+def media_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pid = F.col("page_id")
+    stem = F.regexp_replace("url", "[?#].*$", "")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(stem, pick([".jpg", ".MP4", "", ".pdf", ".webm;v=1", "/.png"], pid % 6), pick(["", "?x=1.jpg", "#a.png"], pid % 3)).alias("url")
+    )
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A media tree derived from the vectors: one folder per campaign, different folder layouts."""
+    v = vectors(spark, sf_dir)
+    p, vid = F.col("p"), F.col("vec_id")
+    folder = (
+        F.when(F.col("role") == "reference", pick(["positive_refs/", "positives/", "refs/", "references/deep/", ""], p % 5))
+        .when(F.col("role") == "competitor", pick(["hard_negatives/", "negatives/"], p % 2))
+        .otherwise(F.when(vid % 4 == 0, "references/").when(vid % 4 == 1, "negatives/").otherwise("raw/"))
+    )
+    ext = pick(["jpg", "PNG", "mp4", "txt", "webp", "gif"], vid % 6)
+    shade = F.when(vid % 10 == 3, F.upper(F.concat(F.lit("f_"), vid - 1))).otherwise(F.concat(F.lit("f_"), vid))
+    path = F.concat(F.lit("/media/c"), F.col("campaign_id"), F.lit("/"), folder, shade, F.lit("."), ext)
+    return v.select(path.alias("path"), (vid * 977 % 100000 + 1).alias("length"), (vid * 1000).alias("modified"))
+
+
+def post_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of an influencer tree from customers; some lie outside a posts folder."""
+    key = F.col("c_custkey")
+    folder = F.when(key % 9 == 0, "drafts/").when(key % 10 == 0, "posts/old/").otherwise("posts/")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(
+            F.lit("data/"), F.regexp_replace("c_name", "#", "_"), F.lit("/"), F.lower("c_mktsegment"), F.lit("/"), folder, key,
+            pick([".jpg", ".mp4", ".tar.gz", "", ".JPEG"], key % 5),
+        ).alias("path")
+    )
+
+
+def outcomes(urls: DataFrame) -> DataFrame:
+    """Fetch outcome per URL: direct media give one or two files, everything else an error."""
+    from lumenmatch.functions.paths import is_direct_media, manifest_name
+
+    ok, name = is_direct_media(F.col("url")), manifest_name(F.col("url"))
+    two = F.length("url") % 2 == 0
+    return urls.select(
+        "url",
+        F.when(ok & two, F.array(name, F.concat(F.lit("alt_"), name))).when(ok, F.array(name)).alias("media_paths"),
+        F.when(~ok, "yt-dlp not available").alias("error"),
+    )
+
+
+BRAND_TERMS = ["anble", "hetion", "ément", "clown", "clowm"]
+HASHTAGS = ["#nthe", "#on the", "thing"]
+KEYWORDS = ["that", "Reaux", "onst"]
+PALETTE = ["#FF0000", "#00704A", "#1e3932", "#ffffff"]
+
+
+def ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("item_id"), F.col("turn").alias("seq"), "text", ((F.col("turn") * 3 + F.col("conv_id")) % 10 / 10).alias("conf")
+    )
+
+
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("caption"))
+
+
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand per part, with aliases that repeat, hold blanks or go beyond ASCII."""
+    p = F.col("p_partkey")
+    alias = F.when(p % 3 == 0, F.concat(F.lit(" "), F.col("p_brand"), F.lit(" "))).when(p % 3 == 1, F.concat(F.lit("é"), F.col("p_name"))).otherwise("")
+    return table(spark, sf_dir, "part").select(p.alias("brand_id"), F.array(F.col("p_brand"), F.col("p_name"), alias).alias("names"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cls = F.when(F.col("event_type") == "view", "brand logo").when(F.col("event_type") == "click", "store sign").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("item_id"), "event_id", cls.alias("cls"), (F.col("value") / (F.col("value") + 200)).alias("conf")
+    )
+
+
+def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three dominant colours per part."""
+    p = F.col("p_partkey")
+    k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")
+    c = table(spark, sf_dir, "part").select(p.alias("item_id"), "p_size", (F.col("p_retailprice") * 10).cast("long").alias("price"), k)
+    return c.select(
+        "item_id", ((F.col("price") * F.col("k")) % 256).cast("int").alias("r"), ((F.col("p_size") * 5 * F.col("k")) % 256).cast("int").alias("g"),
+        ((F.col("item_id") * 37 + F.col("k") * 11) % 256).cast("int").alias("b"),
+    )
+
+
+def prompt_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt similarities of every target: its own vector components stand for the prompts."""
+    t = targets(spark, sf_dir).select(F.col("target_id").alias("item_id"), F.posexplode("embedding").alias("prompt_idx", "x"))
+    return t.select(
+        "item_id", "prompt_idx", F.concat(F.lit("prompt "), F.col("prompt_idx")).alias("prompt"),
+        F.when(F.col("prompt_idx") % 8 == 7, "negative").otherwise("brand").alias("prompt_kind"), (F.lit(0.2) + F.col("x") * 0.2).alias("sim"),
+    )
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence rows per user and layer from events."""
+    layer = (
+        F.when(F.col("event_type") == "view", "image").when(F.col("event_type") == "click", "prompt")
+        .when(F.col("event_type") == "purchase", "caption").when(F.col("event_type") == "signup", "detection")
+        .when(F.col("event_id") % 3 == 0, "color").otherwise("ocr")
+    )
+    item = F.concat_ws("-", "user_id", F.date_trunc("day", F.col("ts")).cast("date").cast("string"))
+    e = table(spark, sf_dir, "events").select(item.alias("item_id"), layer.alias("layer"), (F.col("value") / (F.col("value") + 20)).alias("score"))
+    weight = (
+        F.when(F.col("layer") == "image", 4.0).when(F.col("layer") == "prompt", 0.8).when(F.col("layer") == "color", 0.3).otherwise(0.7)
+    )
+    return e.groupBy("item_id", "layer").agg(F.max("score").alias("score")).select(
+        "item_id", "layer", "score", (F.col("score") > 0.75).alias("fired"), weight.alias("weight")
+    )

@@ -105,11 +105,12 @@ def color_layer(colors: DataFrame, palette: list[str]) -> DataFrame:
     return _layer(df, "color", score, score > 0.70, text, F.lit(0.3))
 
 
-def ensemble(evidence: DataFrame, defaults: dict[str, float] | None = None) -> DataFrame:
+def ensemble(evidence: DataFrame, defaults: dict[str, float] | None = None, listed: str | None = None) -> DataFrame:
     """One row per item: score, fired and weight of the six layers and the fused ``ensemble_score``.
 
     Items without a row for a layer get score 0 and the layer's default weight. Rows of an unknown layer only make the
-    item exist. Several rows of one layer combine to the highest score.
+    item exist; with ``listed`` only items that have a row of that layer are returned. Several rows of one layer combine
+    to the highest score.
     """
     defaults = LAYERS if defaults is None else defaults
     aggregates = []
@@ -120,7 +121,8 @@ def ensemble(evidence: DataFrame, defaults: dict[str, float] | None = None) -> D
             F.coalesce(F.bool_or(F.when(mine, F.col("fired"))), F.lit(False)).alias(f"{name}_fired"),
             F.coalesce(F.max(F.when(mine, F.col("weight"))), F.lit(weight)).alias(f"{name}_weight"),
         ]
-    df = evidence.groupBy("item_id").agg(*aggregates)
+    df = evidence.groupBy("item_id").agg(*aggregates, F.bool_or(F.col("layer") == (listed or "")).alias("_listed"))
+    df = (df.filter("_listed") if listed else df).drop("_listed")
     weighted, total, fired, reliable = F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.0)
     for name in defaults:
         on, hit = F.col(f"{name}_weight") > 0, F.col(f"{name}_fired")

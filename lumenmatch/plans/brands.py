@@ -59,4 +59,4 @@ def detect_brands(
     long = layers[0]
     for layer in layers[1:]:
         long = long.unionByName(layer.select(*LAYER_COLUMNS))
-    return ev.brand_verdict(ev.ensemble(long, defaults))
+    return ev.brand_verdict(ev.ensemble(long, defaults, listed="item"))

@@ -21,10 +21,11 @@ def sql(body: str, *needs: str) -> str:
     order: list[str] = []
 
     def visit(name: str) -> None:
+        if name in order:
+            return
         for dep in CTES[name][0]:
             visit(dep)
-        if name not in order:
-            order.append(name)
+        order.append(name)
 
     for need in needs:
         visit(need)

@@ -46,17 +46,21 @@ def fuzzy_match(haystack: Column, needle: Column, max_edits: int = MAX_EDITS) ->
     return F.contains(h, n) | close_word(words(h), n, max_edits)
 
 
-def fixed3(c: Column) -> Column:
-    """``%.3f`` rounded on the exact binary value, as printf does.
+def fixed(c: Column, places: int) -> Column:
+    """``%.<places>f`` rounded on the exact binary value, as printf does.
 
     Spark's formatter rounds the shortest decimal form half up, which differs for values already rounded to four
-    places. The rounding error of ``c * 1000`` is recovered by splitting ``c`` so that both partial products are exact.
+    places. The rounding error of ``c * 10^places`` is recovered by splitting ``c`` so that both partial products are exact.
     """
-    scale = F.lit(1000.0)
+    scale = F.lit(10.0**places)
     product = c * scale
     upper = c * 134217729.0 - (c * 134217729.0 - c)
     error = (upper * scale - product) + (c - upper) * scale
     down = F.floor(product).cast("double")
     rest = product - down
     up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (down % 2 == 1))))
-    return F.format_string("%.3f", (down + F.when(up, 1.0).otherwise(0.0)) / scale)
+    return F.format_string(f"%.{places}f", (down + F.when(up, 1.0).otherwise(0.0)) / scale)
+
+
+def fixed3(c: Column) -> Column:
+    return fixed(c, 3)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenmatch.functions.text import fixed
 from lumenmatch.operators.mentions import GENERIC_CLASSES
 from lumenmatch.operators.sequences import best_until_confident
 
@@ -165,7 +166,7 @@ def format_label() -> Column:
     """Verdict followed by score and fired flags."""
     flags = [F.initcap(F.col(f"{n}_fired").cast("string")) for n in ("image", "prompt", "caption", "detection", "ocr")]
     return F.format_string(
-        "%s (Score: %.2f, ClipImg: %s, ClipTxt: %s, Caption: %s, YOLO: %s, OCR: %s)", F.col("verdict"), F.col("confidence_raw"), *flags
+        "%s (Score: %s, ClipImg: %s, ClipTxt: %s, Caption: %s, YOLO: %s, OCR: %s)", F.col("verdict"), fixed(F.col("confidence_raw"), 2), *flags
     )
 
 

@@ -402,7 +402,7 @@ cte(
     "vid0",
     f"""SELECT *, {threshold(0.85, 0.75, 0.92, 'off')} AS strong, {threshold(0.70, 0.60, 0.80, 'off')} AS possible FROM (
     SELECT video_id, campaign_id, count(*) AS frames, max(n_refs) AS n_refs, max(n_negs) AS n_negs, max(variance) AS variance, avg(penalty) AS pen, avg(mx) AS av,
-    max(fused) AS fmax, avg(fused) AS fmean, stddev_pop(fused) AS fstd, bool_or(social) AS social, avg(off) AS off, avg(round(aspect, 4)) AS aspect, bool_or(overlays) AS overlays, avg(round(level, 4)) AS level,
+    max(fused) AS fmax, avg(fused) AS fmean, stddev_pop(fused) AS fstd, bool_or(social) AS social, sum(CAST(round(off * 10000) AS BIGINT))::DOUBLE / count(*) / 10000 AS off, avg(round(aspect, 4)) AS aspect, bool_or(overlays) AS overlays, avg(round(level, 4)) AS level,
     {', '.join(f"bool_or(contains(reasoning, {lit(t)})) AS r{i}" for i, (_, _, t) in enumerate(media.OFFSET_RULES))},
     first(mx ORDER BY mx DESC, frame_idx) AS mx, first(best ORDER BY mx DESC, frame_idx) AS best, first(frame_name ORDER BY mx DESC, frame_idx) AS best_frame,
     first(label ORDER BY mx DESC, frame_idx) AS label, greatest(0.0::DOUBLE, first(comp ORDER BY comp DESC, frame_idx)) AS comp, first(rival ORDER BY comp DESC, frame_idx) AS rival
@@ -470,8 +470,17 @@ def values(items) -> str:
     return "(VALUES " + ", ".join(f"({i}, {lit(t)})" for i, t in enumerate(items)) + ")"
 
 
+# DuckDB counts edits in bytes. Words are lower case, so mapping accented letters to capitals makes bytes characters.
+ACCENTED, CAPITALS = "ßäçèéêíñóöü", "ABCDEFGHIJK"
+
+
+def single_byte(expr: str) -> str:
+    return f"translate({expr}, '{ACCENTED}', '{CAPITALS}')"
+
+
 def close(words: str, term: str) -> str:
-    return f"(length({term}) >= 3 AND len(list_filter({words}, lambda w: abs(length(w) - length({term})) <= 2 AND levenshtein(w, {term}) <= 2)) > 0)"
+    near = f"levenshtein({single_byte('w')}, {single_byte(term)}) <= 2"
+    return f"(length({term}) >= 3 AND len(list_filter({words}, lambda w: abs(length(w) - length({term})) <= 2 AND {near})) > 0)"
 
 
 cte("docn", f"SELECT doc_id, nt, list_distinct(list_filter(string_split(nt, ' '), lambda w: w <> '')) AS ws FROM (SELECT doc_id, {normalized('text')} AS nt FROM documents)")

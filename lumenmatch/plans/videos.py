@@ -34,10 +34,12 @@ def score_frames(frames: DataFrame, banks: Banks, kernel: str = "jvm") -> DataFr
 def _context_aggregates() -> list[Column]:
     m = F.col("media_context")
     reasons = F.split(m["reasoning"], ", ")
+    # offsets have four places: summing them as whole numbers makes the mean independent of row order
+    ticks = F.round(m["suggested_threshold_offset"] * 10000).cast("long")
     return [
         F.bool_or(m["is_social_media"]).alias("is_social_media"), F.avg(m["aspect_ratio"]).alias("aspect_ratio"),
         F.bool_or(m["has_overlays"]).alias("has_overlays"), F.avg(m["compression_level"]).alias("compression_level"),
-        F.avg(m["suggested_threshold_offset"]).alias("offset"),
+        (F.sum(ticks) / F.count("*") / 10000.0).alias("offset"),
         *[F.bool_or(F.array_contains(reasons, text)).alias(f"reason_{rule}") for rule, _, text in OFFSET_RULES],
     ]
 

@@ -283,8 +283,8 @@ def blur_filter(spark, sf):
 
 def frame_diff(spark, sf):
     p = d.frame_pictures(fr.sample_even(d.videos(spark, sf)))
-    a, b = p.alias("a"), p.alias("b").withColumnRenamed("frame_idx", "next_idx")
-    pairs = p.join(p.select("video_id", F.col("frame_idx").alias("first_idx"), F.col("thumb").alias("t0"), F.col("hist").alias("h0")).filter("first_idx = 0"), "video_id")
+    first = p.filter("frame_idx = 0").select("video_id", F.col("thumb").alias("t0"), F.col("hist").alias("h0"))
+    pairs = p.join(first, "video_id")
     return pairs.select(
         "video_id", "frame_idx", F.round(fr.frame_diff(F.col("t0"), F.col("thumb")), 6).alias("difference"),
         F.round(fr.histogram_correlation(F.col("h0"), F.col("hist")), 6).alias("correlation"),
@@ -409,7 +409,6 @@ def evaluation_predictions(spark, sf):
 
 def _campaign_results(spark, sf):
     t = d.targets(spark, sf)
-    videos = d.frames(spark, sf).select("video_id").distinct()
     # file targets of the run: all targets as images plus every frame sequence as one video file
     clips = d.frames(spark, sf).filter("frame_idx = 0").withColumn("target_id", F.col("video_id")).withColumn(
         "filename", F.concat(F.lit("clip_"), F.col("video_id"), F.lit(".mp4"))
@@ -419,8 +418,7 @@ def _campaign_results(spark, sf):
 
 
 def campaign_report(spark, sf):
-    out = rp.run_summary(_campaign_results(spark, sf), [KEY])
-    return out
+    return rp.run_summary(_campaign_results(spark, sf), [KEY])
 
 
 def campaign_results(spark, sf):

@@ -133,7 +133,7 @@ def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blur score of every frame of every video."""
     idx = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame_idx")
     return videos(spark, sf_dir).select("video_id", "total_frames", idx).withColumn(
-        "blur_score", ((F.col("video_id") * 7 + F.floor(F.col("frame_idx") / 6) * 31) % 90).cast("double")
+        "blur_score", ((F.col("video_id") * 7 + F.floor(F.col("frame_idx") / 16) * 31) % 90).cast("double")
     )
 
 

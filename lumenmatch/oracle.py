@@ -451,7 +451,7 @@ cte(
 )
 cte(
     "blur",
-    "SELECT video_id, n, frame_idx, ((video_id * 7 + frame_idx // 6 * 31) % 90)::DOUBLE AS b FROM (SELECT video_id, n, unnest(generate_series(0::BIGINT, n - 1)) AS frame_idx FROM videos)",
+    "SELECT video_id, n, frame_idx, ((video_id * 7 + frame_idx // 16 * 31) % 90)::DOUBLE AS b FROM (SELECT video_id, n, unnest(generate_series(0::BIGINT, n - 1)) AS frame_idx FROM videos)",
     "videos",
 )
 SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

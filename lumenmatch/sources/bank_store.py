@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lumenmatch.operators.banks import KEY
 from lumenmatch.operators.similarity import PackSize, measure
 from lumenmatch.plans.banks import bank_tables
+from lumenmatch.session import staged
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,8 @@ def materialize_banks(bank: DataFrame, neg: DataFrame, root: str, force: bool =
         for used in (stale, bank, neg):
             used.unpersist()
         known = spark.read.parquet(f"{root}/stats")
-    latest = known.join(current, [KEY, "fingerprint"], "left_semi").groupBy(KEY).agg(F.max_by("build", "built_at").alias("build"))
+    # written once, so that later queries read the chosen builds and do not fingerprint the raw banks again
+    latest = staged(known.join(current, [KEY, "fingerprint"], "left_semi").groupBy(KEY).agg(F.max_by("build", "built_at").alias("build")), "builds")
     pick = [KEY, "build"]
     stats, packs, members = (
         spark.read.parquet(f"{root}/{n}").join(latest, pick, "left_semi").drop("build", "built_at") for n in ("stats", "packs", "members")

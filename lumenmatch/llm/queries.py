@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmatch.llm import bpe, chat, linechunks, minmax, rules, seeds, warc
+from lumenmatch.llm import article, bpe, chat, compression, linechunks, minmax, rules, seeds, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,23 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op7_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "removed_lines", "removed_chunks", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
     )
 
 
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression.fit(docs, table(spark, sf_dir, "labels"), ~compression.held_out(F.col("doc_id")))
+    scored = compression.score_texts(docs, model)
+    return scored.select("doc_id", compression.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = seeds.find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -72,7 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op8_line_dedup, op10_decontamination)
+    for f in (op1_chat_formatting, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op7_article, op8_line_dedup, op9_compression_quality, op10_decontamination)
 }
 
 

@@ -18,8 +18,10 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 #: Vote of a rule: 0 abstains, 1 bad, 2 good.
 ABSTAIN, BAD, GOOD = 0, 1, 2
 ROUNDS = 50
-#: Votes that each accuracy has in advance (right, wrong).
-PRIOR = (4.0, 1.0)
+#: How often a rule accuses a good and a bad document, taken in advance, and how many times the documents of that class these
+#: figures weigh. The rules are written to accuse few good texts; junk is of many kinds, of which a rule knows one.
+ACCUSED_GOOD, WEIGHT_GOOD = 0.002, 20.0
+ACCUSED_BAD, WEIGHT_BAD = 0.1, 1.0
 
 
 def stats_of(text: str | None) -> tuple[int, ...]:
@@ -57,63 +59,62 @@ def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return map_batches(docs.select(*keep, F.col(text).alias("__text")), schema, work)
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    return (F.when(bad, BAD) if good is None else F.when(bad, BAD).when(good, GOOD)).otherwise(ABSTAIN)
 
 
 def votes() -> dict[str, Column]:
-    """The rules over ``STATS``."""
+    """The rules over ``STATS``. One that looks for a kind of junk abstains where it finds none."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     mean = F.col("word_chars") / n
     return {
         "length": _vote(F.col("n_words") < 20, F.col("n_words") >= 50),
-        "symbols": _vote(10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
-        "exclaims": _vote(5 * F.col("n_exclaim") > n, 50 * F.col("n_exclaim") <= n),
-        "capitals": _vote(10 * F.col("n_upper_words") > 3 * n, 20 * F.col("n_upper_words") <= n),
-        "repeats": _vote(100 * F.col("n_repeat_words") > 15 * n, 100 * F.col("n_repeat_words") <= 3 * n),
-        "lines": _vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), F.col("n_dup_lines") == 0),
+        "symbols": _vote(10 * F.col("n_symbols") > n),
+        "exclaims": _vote(5 * F.col("n_exclaim") > n),
+        "capitals": _vote(10 * F.col("n_upper_words") > 3 * n),
+        "repeats": _vote(100 * F.col("n_repeat_words") > 25 * n),
+        "lines": _vote(10 * F.col("n_dup_lines") > 6 * F.col("n_lines")),
         "variety": _vote((F.col("n_words") >= 50) & (100 * F.col("n_distinct") < 15 * F.least(n, F.lit(500))), 10 * F.col("n_distinct") >= 3 * F.least(n, F.lit(1000))),
-        "word_length": _vote((mean < 2.5) | (mean > 15), (mean >= 3) & (mean <= 12)),
+        "word_length": _vote((mean < 2.5) | (mean > 15)),
     }
 
 
-def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
-    """Share of good documents, and each rule's accuracy on bad and on good ones (of the votes that it casts).
+def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, tuple[float, ...]]]]:
+    """Share of good documents, and for each rule and class the probabilities of abstaining, a vote against and one in favour.
 
     ``patterns``: vote tuples and how many documents have them, at most three to the number of rules. The first round takes
-    any vote against a document as evidence against it; later ones weigh rules by their estimated accuracy.
+    any vote against a document as evidence against it; later ones weigh rules by what they are estimated to do. Estimates of
+    votes against are drawn to the figures taken in advance, so that the bad class can't shrink to one kind of junk.
     """
     total = sum(n for _, n in patterns)
     rules = len(patterns[0][0]) if patterns else 0
-    good = [0.1 if BAD in votes_ else 0.9 for votes_, _ in patterns]
-    share, accuracy = 0.5, []
+    good = [0.02 if BAD in v else 0.98 for v, _ in patterns]
+    share, rates = 0.5, []
     for _ in range(ROUNDS):
         share = (sum(n * g for (_, n), g in zip(patterns, good)) + 1) / (total + 2)
-        accuracy = []
+        rates = []
         for r in range(rules):
+            everywhere = [sum(n for (v, n) in patterns if v[r] == k) for k in range(3)]
             of = {}
-            for side in (BAD, GOOD):
-                weight = [n * (g if side == GOOD else 1 - g) for (_, n), g in zip(patterns, good)]
-                right = sum(w for (v, _), w in zip(patterns, weight) if v[r] == side)
-                cast = sum(w for (v, _), w in zip(patterns, weight) if v[r] != ABSTAIN)
-                # a rule knows one kind of junk only, so its accuracy on junk has no prior in its favour
-                before = PRIOR if side == GOOD else (1.0, 1.0)
-                of[side] = (right + before[0]) / (cast + before[0] + before[1])
-            accuracy.append(of)
-        was, good = good, [posterior(v, share, accuracy) for v, _ in patterns]
+            for side, before, weight in ((BAD, ACCUSED_BAD, WEIGHT_BAD), (GOOD, ACCUSED_GOOD, WEIGHT_GOOD)):
+                cast = [sum(n * (g if side == GOOD else 1 - g) for (v, n), g in zip(patterns, good) if v[r] == k) for k in range(3)]
+                mass = sum(cast) + 1
+                accused = (cast[BAD] + before * weight * mass) / (sum(cast) + weight * mass)
+                # the rest by what the class did, half drawn to what all documents did
+                rest = [cast[k] / mass + everywhere[k] / max(total, 1) + 1e-6 for k in (ABSTAIN, GOOD)]
+                of[side] = ((1 - accused) * rest[0] / sum(rest), accused, (1 - accused) * rest[1] / sum(rest))
+            rates.append(of)
+        was, good = good, [posterior(v, share, rates) for v, _ in patterns]
         if max((abs(a - b) for a, b in zip(was, good)), default=0) < 1e-9:
             break
-    return share, accuracy
+    return share, rates
 
 
-def posterior(vote: tuple[int, ...], share: float, accuracy: list[dict[int, float]]) -> float:
+def posterior(vote: tuple[int, ...], share: float, rates: list[dict[int, tuple[float, ...]]]) -> float:
     """Probability that a document with these votes is good."""
     odds = math.log(share) - math.log1p(-share)
-    for v, of in zip(vote, accuracy):
-        if v == GOOD:
-            odds += math.log(of[GOOD]) - math.log1p(-of[BAD])
-        elif v == BAD:
-            odds += math.log1p(-of[GOOD]) - math.log(of[BAD])
+    for v, of in zip(vote, rates):
+        odds += math.log(of[GOOD][v]) - math.log(of[BAD][v])
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
@@ -132,8 +133,8 @@ def weak_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     rows = staged(text_stats(docs, text, keep).withColumn("__votes", code), "votes")
     counted = sorted((r["__votes"], r["n"]) for r in rows.groupBy("__votes").agg(F.count("*").alias("n")).collect())
     patterns = [(tuple(c // 3**i % 3 for i in range(len(rules))), n) for c, n in counted]
-    share, accuracy = fit_accuracies(patterns)
-    judged = [(c, posterior(v, share, accuracy)) for (c, _), (v, _) in zip(counted, patterns)]
+    share, rates = fit_accuracies(patterns)
+    judged = [(c, posterior(v, share, rates)) for (c, _), (v, _) in zip(counted, patterns)]
     table = docs.sparkSession.createDataFrame(judged, "__votes int, quality double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return rows.join(F.broadcast(table), "__votes").select(

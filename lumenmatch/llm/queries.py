@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmatch.llm import article, bpe, chat, compression, linechunks, minmax, rules, seeds, warc
+from lumenmatch.llm import article, bpe, chat, compression, linechunks, minmax, rules, seeds, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -83,7 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op7_article, op8_line_dedup, op9_compression_quality, op10_decontamination)
+    for f in (op1_chat_formatting, op2_suffix_dedup, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op7_article, op8_line_dedup, op9_compression_quality, op10_decontamination)
 }
 
 

@@ -257,7 +257,7 @@ def frame_scores(spark, sf):
 
 
 def video_segments(spark, sf):
-    return pv.video_segments(_video_evidence(spark, sf)[0])
+    return pv.video_segments(_video_evidence(spark, sf)[0]).drop(KEY)
 
 
 def sequence_context(spark, sf):

@@ -113,7 +113,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("seq_id"), "ts", "event_id", (F.col("value") / (F.col("value") + 20)).alias("score")
     )
     placed = dense_positions(e, ["seq_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")))
-    return placed.select("seq_id", F.col("position").alias("idx"), "score")
+    return placed.select("seq_id", F.col("position").alias("idx"), F.col("position").alias("pos"), "score")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Score series: spike suppression, smoothing, continuity, stable segments, temporal strength.
 
-A series is (seq_id, idx, score) with idx = 0..n-1. All steps work on chunks of idx, so one very long series is spread
-over many tasks; only runs that touch a chunk border and three candidates per chunk are brought together per series.
+A series is (seq_id, idx, score); seq_id may be a struct, idx any increasing numbers with gaps. Steps go by the position of
+a row in its series (``pos`` = 0..n-1), which ``numbered`` adds unless the series has it. All steps work on chunks of
+positions, so one very long series is spread over many tasks; only runs that touch a chunk border and three candidates per
+chunk are brought together per series.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenmatch.functions.scoring import clamp01, r4
-from lumenmatch.operators.positions import CHUNK, with_halo
+from lumenmatch.operators.positions import CHUNK, dense_positions, with_halo
 
 # Fixed values of the sequence rules.
 KERNEL5 = (0.1, 0.2, 0.4, 0.2, 0.1)
@@ -20,6 +22,11 @@ KEEP_EXCESS = 0.05
 TOP_FRAMES = 3
 
 
+def numbered(series: DataFrame) -> DataFrame:
+    """Adds ``pos``, the position by idx in the series, unless it is there."""
+    return series if "pos" in series.columns else dense_positions(series, ["seq_id"], ["idx"], F.floor(F.col("idx") / CHUNK), "pos")
+
+
 def bartlett_kernel(width: int) -> tuple[float, ...]:
     """Normalised triangular weights for an odd width of at least 3; width 5 has its own fixed weights."""
     if width < 3 or width % 2 == 0:
@@ -31,10 +38,10 @@ def bartlett_kernel(width: int) -> tuple[float, ...]:
     return tuple(w / sum(raw) for w in raw)
 
 
-def _suppressed(score: Column, idx: Column, w, margin: float) -> Column:
+def _suppressed(score: Column, pos: Column, w, margin: float) -> Column:
     left, right = F.lag(score).over(w), F.lead(score).over(w)
     middle = (left + right) / 2.0
-    has_third = (idx >= 2) | ((idx == 1) & right.isNotNull()) | F.lead(score, 2).over(w).isNotNull()
+    has_third = (pos >= 2) | ((pos == 1) & right.isNotNull()) | F.lead(score, 2).over(w).isNotNull()
     edge = margin * EDGE_FACTOR
     return (
         F.when(~has_third, score)
@@ -45,7 +52,7 @@ def _suppressed(score: Column, idx: Column, w, margin: float) -> Column:
     )
 
 
-def _smoothed(score: Column, idx: Column, w, kernel: tuple[float, ...]) -> Column:
+def _smoothed(score: Column, pos: Column, w, kernel: tuple[float, ...]) -> Column:
     half = len(kernel) // 2
     total, weights = F.lit(0.0), F.lit(0.0)
     for k, weight in enumerate(kernel):
@@ -53,20 +60,20 @@ def _smoothed(score: Column, idx: Column, w, kernel: tuple[float, ...]) -> Colum
         value = score if shift == 0 else (F.lead(score, shift).over(w) if shift > 0 else F.lag(score, -shift).over(w))
         total = total + F.coalesce(value * weight, F.lit(0.0))
         weights = weights + F.when(value.isNotNull(), weight).otherwise(0.0)
-    has_third = (idx >= 2) | ((idx == 1) & F.lead(score).over(w).isNotNull()) | F.lead(score, 2).over(w).isNotNull()
+    has_third = (pos >= 2) | ((pos == 1) & F.lead(score).over(w).isNotNull()) | F.lead(score, 2).over(w).isNotNull()
     return F.when(has_third, total / weights).otherwise(score)
 
 
 def _chunk_window():
-    return Window.partitionBy("seq_id", "_chunk").orderBy("idx")
+    return Window.partitionBy("seq_id", "_chunk").orderBy("pos")
 
 
 def suppress_spikes(series: DataFrame, margin: float = SPIKE_MARGIN, chunk: int = CHUNK) -> DataFrame:
     """Adds ``suppressed``: isolated peaks are pulled to their raw neighbours; series shorter than 3 pass through."""
     w = _chunk_window()
     return (
-        with_halo(series, "idx", 2, 2, chunk)
-        .withColumn("suppressed", _suppressed(F.col("score"), F.col("idx"), w, margin))
+        with_halo(numbered(series), "pos", 2, 2, chunk)
+        .withColumn("suppressed", _suppressed(F.col("score"), F.col("pos"), w, margin))
         .filter("_own")
         .drop("_chunk", "_own")
     )
@@ -77,8 +84,8 @@ def smooth(series: DataFrame, window: int = 5, source: str = "score", chunk: int
     kernel, w = bartlett_kernel(window), _chunk_window()
     half = max(2, window // 2)
     return (
-        with_halo(series, "idx", half, half, chunk)
-        .withColumn("smoothed", _smoothed(F.col(source), F.col("idx"), w, kernel))
+        with_halo(numbered(series), "pos", half, half, chunk)
+        .withColumn("smoothed", _smoothed(F.col(source), F.col("pos"), w, kernel))
         .filter("_own")
         .drop("_chunk", "_own")
     )
@@ -89,21 +96,21 @@ def suppress_and_smooth(series: DataFrame, window: int = 5, margin: float = SPIK
     kernel, w = bartlett_kernel(window), _chunk_window()
     half = max(2, window // 2) + 2
     return (
-        with_halo(series, "idx", half, half, chunk)
-        .withColumn("suppressed", _suppressed(F.col("score"), F.col("idx"), w, margin))
-        .withColumn("smoothed", _smoothed(F.col("suppressed"), F.col("idx"), w, kernel))
+        with_halo(numbered(series), "pos", half, half, chunk)
+        .withColumn("suppressed", _suppressed(F.col("score"), F.col("pos"), w, margin))
+        .withColumn("smoothed", _smoothed(F.col("suppressed"), F.col("pos"), w, kernel))
         .filter("_own")
         .drop("_chunk", "_own")
     )
 
 
 def stable_segments(series: DataFrame, threshold: Column, source: str = "score", chunk: int = CHUNK) -> DataFrame:
-    """Runs of consecutive rows at or above the threshold: start, end, length, mean score."""
-    hit = series.filter(F.col(source) >= threshold).select("seq_id", "idx", F.col(source).alias("_s"), F.floor(F.col("idx") / chunk).alias("_chunk"))
+    """Runs of consecutive rows at or above the threshold: start and end position, length, mean score."""
+    hit = numbered(series).filter(F.col(source) >= threshold).select("seq_id", "pos", F.col(source).alias("_s"), F.floor(F.col("pos") / chunk).alias("_chunk"))
     runs = (
-        hit.withColumn("_island", F.col("idx") - F.row_number().over(_chunk_window()))
+        hit.withColumn("_island", F.col("pos") - F.row_number().over(_chunk_window()))
         .groupBy("seq_id", "_chunk", "_island")
-        .agg(F.min("idx").alias("start_frame"), F.max("idx").alias("end_frame"), F.sum("_s").alias("_sum"))
+        .agg(F.min("pos").alias("start_frame"), F.max("pos").alias("end_frame"), F.sum("_s").alias("_sum"))
         .drop("_chunk", "_island")
     )
     # only a run on a chunk border can continue in the neighbour chunk
@@ -124,34 +131,66 @@ def stable_segments(series: DataFrame, threshold: Column, source: str = "score",
     )
 
 
-def continuity(series: DataFrame, threshold: Column, source: str = "score", chunk: int = CHUNK) -> DataFrame:
-    """Longest run, its share of the series and the continuity score, one row per series."""
-    lengths = series.groupBy("seq_id").agg(F.count("*").alias("n"))
-    runs = stable_segments(series, threshold, source, chunk).groupBy("seq_id").agg(F.max("duration_frames").alias("longest"))
-    df = lengths.join(runs, "seq_id", "left").withColumn("longest_streak", F.coalesce("longest", F.lit(0)))
+def _chunk_runs(series: DataFrame, threshold: Column, source: str, chunk: int) -> DataFrame:
+    """Per series and chunk, in one grouping: rows, longest run, the run at each border and the best TOP_FRAMES values."""
+    w = _chunk_window()
+    value = F.col(source)
+    cut = numbered(series).select("seq_id", "pos", value.alias("_s"), (value >= threshold).alias("_hit"), F.floor(F.col("pos") / chunk).alias("_chunk"))
+    runs = (
+        cut.withColumn("_local", F.row_number().over(w))
+        .withColumn("_island", F.when(F.col("_hit"), F.col("_local") - F.sum(F.col("_hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("seq_id", "_chunk").orderBy(F.desc("_s"))))
+    )
+    islands = runs.groupBy("seq_id", "_chunk", "_island").agg(
+        F.count("*").alias("_n"), F.min("_local").alias("_from"), F.max("_local").alias("_to"),
+        F.collect_list(F.when(F.col("_rank") <= TOP_FRAMES, F.col("_s"))).alias("_top"),
+    )
+    hit = F.col("_island").isNotNull()
+    return islands.groupBy("seq_id", "_chunk").agg(
+        F.sum("_n").alias("n"), F.max(F.when(hit, F.col("_n"))).alias("longest"),
+        F.max(F.when(hit & (F.col("_from") == 1), F.col("_n"))).alias("head"), F.max_by(F.when(hit, F.col("_n")), "_to").alias("tail"),
+        F.flatten(F.collect_list("_top")).alias("top"),
+    )
+
+
+def _series_runs(series: DataFrame, threshold: Column, source: str, chunk: int) -> DataFrame:
+    """Rows, longest run and the mean of the best TOP_FRAMES values of each series, from one row per chunk."""
+    parts = F.sort_array(F.collect_list(F.struct("_chunk", "n", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("head", F.lit(0)).alias("head"), F.coalesce("tail", F.lit(0)).alias("tail"))))
+    grouped = _chunk_runs(series, threshold, source, chunk).groupBy("seq_id").agg(parts.alias("parts"), F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, TOP_FRAMES).alias("top"))
+    zero = F.lit(0).cast("long")
+
+    def add(state, c):
+        # a run goes on from the chunk before into this one's head
+        whole = c["head"] == c["n"]
+        joined = state["open"] + c["head"]
+        return F.struct(
+            (state["n"] + c["n"]).alias("n"), F.greatest(state["longest"], c["longest"], joined).alias("longest"), F.when(whole, joined).otherwise(c["tail"]).alias("open")
+        )
+
+    total = F.aggregate("parts", F.struct(zero.alias("n"), zero.alias("longest"), zero.alias("open")), add)
+    mean = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")
+    return grouped.select("seq_id", total.alias("t"), mean.alias("top_mean")).select("seq_id", "t.n", F.col("t.longest").alias("longest_streak"), "top_mean")
+
+
+def _with_continuity(df: DataFrame) -> DataFrame:
     ratio = F.col("longest_streak") / F.col("n")
     score = F.when(F.col("longest_streak") > 0, 0.6 * F.least(F.lit(1.0), F.col("longest_streak") / 4.0) + 0.4 * ratio).otherwise(0.0)
-    return df.select("seq_id", "n", "longest_streak", r4(ratio).alias("streak_ratio"), r4(score).alias("frame_continuity_score"))
-
-
-def top_mean(series: DataFrame, source: str, k: int = TOP_FRAMES, chunk: int = CHUNK) -> DataFrame:
-    """Mean of the k highest values per series: k per chunk first, then k per series."""
-    per_chunk = Window.partitionBy("seq_id", "_chunk").orderBy(F.desc("_s"))
-    per_series = Window.partitionBy("seq_id").orderBy(F.desc("_s"))
-    cut = (
-        series.select("seq_id", F.col(source).alias("_s"), F.floor(F.col("idx") / chunk).alias("_chunk"))
-        .withColumn("_r", F.row_number().over(per_chunk))
-        .filter(F.col("_r") <= k)
-        .drop("_r")
-        .withColumn("_r", F.row_number().over(per_series))
-        .filter(F.col("_r") <= k)
-    )
-    return cut.groupBy("seq_id").agg(F.avg("_s").alias("top_mean"))
+    return df.withColumn("streak_ratio", r4(ratio)).withColumn("frame_continuity_score", r4(score))
+
+
+def continuity(series: DataFrame, threshold: Column, source: str = "score", chunk: int = CHUNK) -> DataFrame:
+    """Longest run, its share of the series and the continuity score, one row per series."""
+    return _with_continuity(_series_runs(series, threshold, source, chunk)).select("seq_id", "n", "longest_streak", "streak_ratio", "frame_continuity_score")
+
+
+def top_mean(series: DataFrame, source: str, chunk: int = CHUNK) -> DataFrame:
+    """Mean of the TOP_FRAMES highest values per series: the best per chunk first, then the best of those."""
+    return _series_runs(series, F.lit(0.0), source, chunk).select("seq_id", "top_mean")
 
 
 def temporal_strength(smoothed: DataFrame, threshold: Column, source: str = "smoothed", chunk: int = CHUNK) -> DataFrame:
-    """Continuity plus 0.7 * top-3 mean + 0.3 * continuity score, one row per series."""
-    df = continuity(smoothed, threshold, source, chunk).join(top_mean(smoothed, source, TOP_FRAMES, chunk), "seq_id")
+    """Continuity plus 0.7 * top-3 mean + 0.3 * continuity score, one row per series; runs and best values in one pass."""
+    df = _with_continuity(_series_runs(smoothed, threshold, source, chunk))
     strength = clamp01(F.col("top_mean") * 0.7 + F.col("frame_continuity_score") * 0.3)
     return df.withColumn("temporal_strength", r4(strength)).drop("top_mean")
 
@@ -162,7 +201,8 @@ def best_until_confident(frames: DataFrame, max_frames: int = 6, confident: floa
     Expects seq_id, idx, verdict, confidence. The highest confidence wins, the earliest on ties. Only the first
     ``max_frames`` rows matter, so the group is cut before anything else; everything after is an aggregate.
     """
-    early = frames.filter(F.col("idx") < max_frames)
+    place = F.row_number().over(Window.partitionBy("seq_id").orderBy("idx"))
+    early = frames.withColumn("_place", place).filter(F.col("_place") <= max_frames).drop("_place")
     hit = (F.col("verdict") == "Relevant") & (F.col("confidence") >= confident)
     first_hit = Window.partitionBy("seq_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max(hit.cast("int")).over(first_hit), F.lit(0))

@@ -24,7 +24,6 @@ FAN_IN = 32
 TOP_REFS = 5
 TOP_CLUSTER = 3
 TOP_NEGS = 3
-MAX_CLUSTERS = 4
 BROADCAST_BYTES = 128 * 1024 * 1024  # blocks are broadcast only below this measured size
 
 # Fixed values of the competitor rules.
@@ -68,6 +67,7 @@ def pack_banks(bank: DataFrame, neg: DataFrame | None = None, assignments: DataF
 class PackSize:
     bytes: int
     max_blocks: int
+    clusters: int = 0
 
     @property
     def broadcastable(self) -> bool:
@@ -75,13 +75,14 @@ class PackSize:
 
 
 def measure(packs: DataFrame) -> PackSize:
-    """Exact size of the packed vectors and the largest number of blocks of one campaign (one small aggregate)."""
+    """Exact size of the packs (vectors and names), most blocks and most clusters of one campaign (one small aggregate)."""
     def weight(items):
-        return F.coalesce(F.aggregate(items, F.lit(0), lambda a, r: a + F.size(r["v"]) * 8 + 64), F.lit(0))
+        return F.coalesce(F.aggregate(items, F.lit(0), lambda a, r: a + F.size(r["v"]) * 8 + F.coalesce(F.octet_length(r["name"]), F.lit(0)) + 64), F.lit(0))
 
-    per = packs.groupBy(KEY).agg(F.count("*").alias("n"), F.sum(weight(F.col("refs")) + weight(F.col("negs"))).alias("b"))
-    row = per.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()
-    return PackSize(int(row["b"]), int(row["n"]))
+    highest = F.coalesce(F.array_max(F.transform("refs", lambda r: r["cluster_idx"])), F.lit(-1))
+    per = packs.groupBy(KEY).agg(F.count("*").alias("n"), F.sum((weight(F.col("refs")) + weight(F.col("negs"))).cast("long")).alias("b"), F.max(highest).alias("c"))
+    row = per.agg(*[F.coalesce(F.sum(c) if c == "b" else F.max(c), F.lit(d)).alias(c) for c, d in (("b", 0), ("n", 0), ("c", -1))]).first()
+    return PackSize(int(row["b"]), int(row["n"]), int(row["c"]) + 1)
 
 
 def _sorted_hits(items: Column, sims: Column) -> Column:
@@ -93,9 +94,9 @@ def _sorted_hits(items: Column, sims: Column) -> Column:
     )
 
 
-def _best(hits: Column) -> Column:
+def _best(hits: Column, clusters: int) -> Column:
     """The overall best hits plus the best of every cluster: all that later steps can ask for."""
-    per_cluster = [F.slice(F.filter(hits, lambda h: h["c"] == j), 1, TOP_CLUSTER) for j in range(MAX_CLUSTERS)]
+    per_cluster = [F.slice(F.filter(hits, lambda h: h["c"] == j), 1, TOP_CLUSTER) for j in range(clusters)]  # noqa: B023
     return F.sort_array(F.array_distinct(F.concat(F.slice(hits, 1, TOP_REFS), *per_cluster)))
 
 
@@ -137,18 +138,20 @@ def arrow_kernel(packs: DataFrame):
     return sims
 
 
-def score_targets(targets: DataFrame, packs: DataFrame, size: PackSize | None = None, kernel: str = "jvm") -> DataFrame:
+def score_targets(
+    targets: DataFrame, packs: DataFrame, size: PackSize | None = None, kernel: str = "jvm", keys: tuple[str, ...] = ("target_id",)
+) -> DataFrame:
     """Adds to each target: n_refs, avg_similarity, best hits, n_negs and competitor hits.
 
-    Every target is kept; one without a bank gets n_refs = 0. ``kernel="arrow"`` computes the products in numpy batches
-    and is meant for wide vectors and large targets; ``"jvm"`` stays in Spark expressions.
+    ``keys`` and the campaign name a target: the same item may be asked of several campaigns. Every target is kept; one
+    without a bank gets n_refs = 0. Only targets of campaigns with several blocks are shuffled. ``kernel="arrow"`` computes the products in numpy batches
+    and is meant for wide vectors and large targets, as long as the packs may be broadcast; ``"jvm"`` stays in Spark
+    expressions, with the same results.
     """
     size = measure(packs) if size is None else size
     side = F.broadcast(packs) if size.broadcastable else packs
     joined = targets.withColumn("_v", F.col("embedding").cast(VECTOR)).join(side, KEY, "left")
-    if kernel == "arrow":
-        if not size.broadcastable:
-            raise ValueError("the arrow kernel needs packs below the broadcast limit")
+    if kernel == "arrow" and size.broadcastable:
         joined = joined.withColumn("_s", arrow_kernel(packs)(F.col(KEY), F.col("block"), F.col("_v")))
         n_pos = F.coalesce(F.size("refs"), F.lit(0))
         pos = F.slice("_s", F.lit(1), n_pos)
@@ -164,28 +167,33 @@ def score_targets(targets: DataFrame, packs: DataFrame, size: PackSize | None =
         F.coalesce("block", F.lit(0)).alias("_block"),
         F.coalesce(F.size("_pos"), F.lit(0)).cast("long").alias("n_refs"),
         F.coalesce(F.aggregate("_pos", F.lit(0.0), lambda a, h: a - h["k"]), F.lit(0.0)).alias("sum_similarity"),
-        F.coalesce(_best(F.col("_pos")), none).alias("hits"),
+        F.coalesce(_best(F.col("_pos"), size.clusters), none).alias("hits"),
         F.coalesce(F.size("_neg"), F.lit(0)).cast("long").alias("n_negs"),
         F.coalesce(F.slice("_neg", 1, TOP_NEGS), none).alias("neg_hits"),
     )
     blocks, fan = size.max_blocks, FAN_IN
     if blocks > 1:
-        # the payload stays with one row per target; only reduced columns are merged
-        payload = targets
-        part = part.select("target_id", "_block", "n_refs", "sum_similarity", "hits", "n_negs", "neg_hits")
+        # only reduced columns are merged, and only for the campaigns that have several blocks
+        name = [*keys, KEY]
+        large = packs.filter("block > 0").select(KEY).distinct()
+        large = F.broadcast(large) if size.broadcastable else large
+        reduced = ["n_refs", "sum_similarity", "hits", "n_negs", "neg_hits"]
+        single = part.join(large, KEY, "left_anti").select(*keep, *reduced)
+        merged = part.join(large, KEY, "left_semi").select(*name, "_block", *reduced)
         while blocks > 1:
-            part = (
-                part.groupBy("target_id", F.floor(F.col("_block") / fan).alias("_block"))
+            merged = (
+                merged.groupBy(*name, F.floor(F.col("_block") / fan).alias("_block"))
                 .agg(
                     F.sum("n_refs").alias("n_refs"), F.sum("sum_similarity").alias("sum_similarity"),
                     F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"),
                     F.sum("n_negs").alias("n_negs"),
                     F.slice(F.sort_array(F.flatten(F.collect_list("neg_hits"))), 1, TOP_NEGS).alias("neg_hits"),
                 )
-                .withColumn("hits", _best(F.col("hits")))
+                .withColumn("hits", _best(F.col("hits"), size.clusters))
             )
             blocks = -(-blocks // fan)
-        part = payload.join(part, "target_id")
+        payload = targets.join(large, KEY, "left_semi")
+        part = single.unionByName(payload.join(merged.drop("_block"), name).select(*keep, *reduced))
     return part.drop("_block")
 
 
@@ -224,7 +232,7 @@ def dominant_cluster(scored: DataFrame, stats: DataFrame, size: PackSize) -> Dat
     best = F.array_max(
         F.transform("clusters", lambda c: F.struct(dot(c["centroid"], v).alias("s"), (-c["cluster_idx"]).alias("i"), c["label"].alias("label")))
     )
-    joined = joined.withColumn("_c", best).withColumn("_has", F.coalesce(F.col("_c.s") > -1.0, F.lit(False)))
+    joined = joined.withColumn("_c", best)
     sim = F.coalesce(F.col("_c.s"), F.lit(0.0))
     return (
         joined.withColumn("dominant_cluster", F.coalesce("_c.label", F.lit(DEFAULT_CLUSTER)))
@@ -235,7 +243,7 @@ def dominant_cluster(scored: DataFrame, stats: DataFrame, size: PackSize) -> Dat
         .withColumn("best_cluster_label", F.coalesce("_c.label", F.lit("Global Centroid")))
         .withColumn("best_cluster_centroid_sim", F.coalesce("_c.s", "centroid_similarity"))
         .withColumn("neg_centroid_similarity", F.coalesce(dot(F.col("_neg_centroid"), v), F.lit(0.0)))
-        .drop("clusters", "_c", "_has", "_centroid", "_neg_centroid")
+        .drop("clusters", "_c", "_centroid", "_neg_centroid")
     )
 
 

@@ -26,9 +26,9 @@ def with_media_context(df: DataFrame) -> DataFrame:
     return df.withColumn("media_context", media_context(*[F.col(c) for c in FEATURES]))
 
 
-def score_vectors(items: DataFrame, banks: Banks, kernel: str = "jvm") -> DataFrame:
+def score_vectors(items: DataFrame, banks: Banks, kernel: str = "jvm", keys: tuple[str, ...] = ("target_id",)) -> DataFrame:
     """All per-vector evidence: similarities, dominant cluster, cluster top-k, competitors and the fused score."""
-    scored = target_stats(score_targets(items, banks.packs, banks.size, kernel))
+    scored = target_stats(score_targets(items, banks.packs, banks.size, kernel, keys))
     df = competitor_eval(cluster_topk(dominant_cluster(scored, banks.stats, banks.size)))
     return df.withColumn("variance", F.coalesce("variance", F.lit(0.0))).withColumn(
         "fused_score", s.fused_score(F.col("max_similarity"), F.col("cluster_similarity"), F.col("cluster_top_k_avg"))

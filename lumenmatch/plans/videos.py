@@ -11,7 +11,7 @@ from lumenmatch.functions import scoring as s
 from lumenmatch.functions.media import DEFAULT_REASON, OFFSET_RULES
 from lumenmatch.operators.banks import KEY
 from lumenmatch.operators.diagnostics import diagnostics, explain
-from lumenmatch.operators.sequences import stable_segments, suppress_and_smooth, temporal_strength
+from lumenmatch.operators.sequences import numbered, stable_segments, suppress_and_smooth, temporal_strength
 from lumenmatch.operators.similarity import MARGIN
 from lumenmatch.plans.images import decide, finalize, score_vectors, with_media_context
 from lumenmatch.session import staged
@@ -27,8 +27,7 @@ EVIDENCE = [
 
 def score_frames(frames: DataFrame, banks: Banks, kernel: str = "jvm") -> DataFrame:
     """Per-frame evidence; frames are (video_id, campaign_id, frame_idx, frame_name, embedding, media features)."""
-    df = with_media_context(frames).withColumn("target_id", F.xxhash64("video_id", "frame_idx"))
-    return score_vectors(df, banks, kernel).select(*EVIDENCE)
+    return score_vectors(with_media_context(frames), banks, kernel, keys=("video_id", "frame_idx")).select(*EVIDENCE)
 
 
 def _context_aggregates() -> list[Column]:
@@ -105,8 +104,10 @@ def video_evidence(frames: DataFrame, banks: Banks, kernel: str = "jvm") -> Vide
     """Score all frames in one pass and stage the narrow result; vectors are read once and never shuffled."""
     scored = staged(score_frames(frames, banks, kernel), "frames")
     videos = staged(video_level(scored), "videos")
-    raw = scored.select(F.col("video_id").alias("seq_id"), F.col("frame_idx").alias("idx"), F.col("fused_score").alias("score"))
-    thresholds = videos.select(F.col("video_id").alias("seq_id"), "possible_threshold", "strong_threshold")
+    # a series is a video asked of one campaign; frames may be any subset of the video's, so they are numbered here
+    series = F.struct(*VIDEO).alias("seq_id")
+    raw = numbered(scored.select(series, F.col("frame_idx").alias("idx"), F.col("fused_score").alias("score")))
+    thresholds = videos.select(series, "possible_threshold", "strong_threshold")
     return VideoEvidence(scored, videos, suppress_and_smooth(raw).join(thresholds, "seq_id"))
 
 
@@ -115,12 +116,12 @@ def match_videos(frames: DataFrame, banks: Banks, kernel: str = "jvm") -> DataFr
 
 
 def video_results(evidence: VideoEvidence, banks: Banks) -> DataFrame:
-    """One result row per video; frame-level rows come from ``frame_scores`` and ``video_segments``."""
+    """One result row per video and campaign; frame-level rows come from ``frame_scores`` and ``video_segments``."""
     c = F.col
     temporal = temporal_strength(evidence.series, c("possible_threshold")).select(
-        c("seq_id").alias("video_id"), "temporal_strength", "longest_streak", "streak_ratio", "frame_continuity_score"
+        "seq_id.*", "temporal_strength", "longest_streak", "streak_ratio", "frame_continuity_score"
     )
-    df = evidence.videos.join(temporal, "video_id").withColumn("primary_score", s.clamp01(c("temporal_strength") - c("avg_penalty")))
+    df = evidence.videos.join(temporal, VIDEO).withColumn("primary_score", s.clamp01(c("temporal_strength") - c("avg_penalty")))
     df = df.withColumn("_social", c("media_context.is_social_media"))
     df = decide(df, "max_similarity", "best_cluster", "_social", "offset", video=True)
     ready = c("n_refs") > 0
@@ -152,17 +153,17 @@ def video_results(evidence: VideoEvidence, banks: Banks) -> DataFrame:
 
 def with_best_vectors(results: DataFrame, frames: DataFrame) -> DataFrame:
     """Adds the vector of the best frame, which the failure archive stores."""
-    vectors = frames.select("video_id", F.col("frame_idx").alias("best_frame_idx"), "embedding")
-    return results.join(vectors, ["video_id", "best_frame_idx"])
+    vectors = frames.select(*VIDEO, F.col("frame_idx").alias("best_frame_idx"), "embedding")
+    return results.join(vectors, [*VIDEO, "best_frame_idx"])
 
 
 def frame_scores(evidence: VideoEvidence) -> DataFrame:
     """Per-frame rows of the video report, with calibrated smoothed scores."""
     level = s.calibrate(s.r4(F.col("smoothed")), F.col("strong_threshold"), F.col("possible_threshold"))
     smoothed = evidence.series.select(
-        F.col("seq_id").alias("video_id"), F.col("idx").alias("frame_idx"), s.r4(level).alias("smoothed_similarity")
+        "seq_id.*", F.col("idx").alias("frame_idx"), s.r4(level).alias("smoothed_similarity")
     )
-    return evidence.scored.join(smoothed, ["video_id", "frame_idx"]).select(
+    return evidence.scored.join(smoothed, [*VIDEO, "frame_idx"]).select(
         *VIDEO, "frame_idx", F.col("frame_name").alias("frame_id"), s.r4(F.col("max_similarity")).alias("max_similarity"),
         s.r4(F.col("avg_similarity")).alias("avg_similarity"), s.r4(F.col("cluster_top_k_avg")).alias("top_k_avg"),
         "best_reference", s.r4(F.col("max_similarity")).alias("best_reference_similarity"), "smoothed_similarity",
@@ -171,5 +172,5 @@ def frame_scores(evidence: VideoEvidence) -> DataFrame:
 
 
 def video_segments(evidence: VideoEvidence) -> DataFrame:
-    """Stable segments of every video, one row each."""
-    return stable_segments(evidence.series, F.col("possible_threshold"), "smoothed").withColumnRenamed("seq_id", "video_id")
+    """Stable segments of every video and campaign, one row each."""
+    return stable_segments(evidence.series, F.col("possible_threshold"), "smoothed").select("seq_id.*", "start_frame", "end_frame", "duration_frames", "average_score")

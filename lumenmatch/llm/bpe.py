@@ -16,8 +16,10 @@ from lumenmatch.llm.arrow import fields, map_batches
 
 #: White space as the library's pattern engine takes it (Unicode White_Space); fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Pieces and segments that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Segments that a worker remembers (and half as many pieces and starts of pieces); beyond it the memory starts anew.
+REMEMBERED = 1_000_000
+#: Bytes after which the table of last tokens of a piece's start is remembered, for pieces that go on from it.
+STARTS = (4, 7, 10)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,6 +73,7 @@ class Codec:
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.tables: dict[bytes, list[int]] = {}
         self.spelt = dict(zip(self.ranks.values(), self.ranks))
         self.names = {rank: str(rank) for rank in self.spelt}
         # every ending of a token that merges reach, with the token that it is itself or -1
@@ -139,7 +142,19 @@ class Codec:
             return (whole,)
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = tuple(self.tokens(self.prefixes(piece)))
+            last: list[int] | None = None
+            size = len(piece)
+            for k in STARTS:
+                if size < k:
+                    break
+                start = piece[:k]
+                table = self.tables.get(start)
+                if table is None:
+                    if len(self.tables) > REMEMBERED // 2:
+                        self.tables.clear()
+                    table = self.tables[start] = self.prefixes(start, last)
+                last = table
+            ids = tuple(self.tokens(self.prefixes(piece, last)))
             if len(piece) <= 64:
                 if len(self.pieces) > REMEMBERED // 2:
                     self.pieces.clear()

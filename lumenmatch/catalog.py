@@ -24,12 +24,14 @@ def long(col: str, name: str | None = None):
     return F.col(col).cast("long").alias(name or col)
 
 
-_OPEN_BANKS: dict[tuple[str, str], bank_store.Banks] = {}
+_OPEN_BANKS: dict[tuple, bank_store.Banks] = {}
 
 
 def banks(spark: SparkSession, sf: str) -> bank_store.Banks:
-    """Bank handle, opened once per application and data folder; the store itself rebuilds only changed campaigns."""
-    key = (spark.sparkContext.applicationId, sf)
+    """Bank handle, opened once per application and state of the input files; the store rebuilds only changed campaigns."""
+    files = d.table(spark, sf, "embeddings").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
     if key not in _OPEN_BANKS:
         _OPEN_BANKS[key] = bank_store.materialize_banks(d.bank(spark, sf), d.neg_bank(spark, sf), f"{shared_dir(spark)}/banks")
     return _OPEN_BANKS[key]
@@ -43,9 +45,10 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
     return pi.match_images(d.targets(spark, sf), banks(spark, sf))
 
 
-def result_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Image results as a written table: summaries, archive and explanations read it instead of matching again."""
-    return staged(matched(spark, sf), "results")
+def result_table(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The named columns of the image results as a written table. A report over the matching itself would put both into one
+    generated method, which grows beyond what the JVM compiles."""
+    return staged(matched(spark, sf).select(*columns), "results")
 
 
 def stats_only(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,11 +182,11 @@ def match_images(spark, sf):
 
 
 def diagnostics(spark, sf):
-    return result_table(spark, sf).select("target_id", F.posexplode("warnings").alias("pos", "warning")).select("target_id", long("pos"), "warning")
+    return result_table(spark, sf, "target_id", "warnings").select("target_id", F.posexplode("warnings").alias("pos", "warning")).select("target_id", long("pos"), "warning")
 
 
 def explain(spark, sf):
-    m = result_table(spark, sf).select(
+    m = result_table(spark, sf, "target_id", "explainability").select(
         "target_id", F.col("explainability.ambiguity_reason").alias("ambiguity_reason"),
         F.posexplode("explainability.reasoning_steps").alias("pos", "step"),
     )
@@ -191,8 +194,8 @@ def explain(spark, sf):
 
 
 def failure_cases(spark, sf):
-    return dg.failure_records(result_table(spark, sf)).select(
-        "filename", F.regexp_extract("archive_id", "^fail_(.*)_[0-9]+$", 1).alias("clean_name"), "similarity_score",
+    return dg.failure_records(result_table(spark, sf, "target_id", KEY, *dg.ARCHIVED)).select(
+        "filename", F.regexp_extract("archive_id", "^fail_(.*)_[0-9]+_[0-9]+_[0-9]+$", 1).alias("clean_name"), "similarity_score",
         "competitor_similarity", "ambiguity_score", "verdict", "threshold_used", "is_near_miss", "is_ambiguous",
         F.size("warnings").cast("long").alias("n_warnings"),
     )
@@ -252,6 +255,24 @@ def match_videos(spark, sf):
     )
 
 
+def shared_targets(spark, sf):
+    """Targets asked of two campaigns and of a bank of many blocks."""
+    t = d.targets(spark, sf)
+    asked = d.with_neighbours(t).unionByName(t.withColumn("campaign_id", F.lit(-1).cast("long")))
+    bank = d.bank(spark, sf).unionByName(d.whole_bank(spark, sf))
+    known = asked.join(F.broadcast(bank.select(KEY).distinct()), KEY, "left_semi")
+    stats = sim.target_stats(sim.score_targets(known, sim.pack_banks(bank)))
+    return stats.select("target_id", KEY, "n_refs", r("max_similarity"), r("avg_similarity"), r("top_k_avg"), "best_reference")
+
+
+def shared_videos(spark, sf):
+    """Videos asked of two campaigns, with gaps between the numbers of their frames."""
+    b = banks(spark, sf)
+    frames = d.with_neighbours(d.frames(spark, sf)).withColumn("frame_idx", F.col("frame_idx") * 50)
+    m = pv.match_videos(frames, b).filter("num_references > 0")
+    return m.select("video_id", KEY, "num_frames_analyzed", "top_similarity", "best_reference", "best_frame", "temporal_strength", "longest_streak")
+
+
 def frame_scores(spark, sf):
     return pv.frame_scores(_video_evidence(spark, sf)[0]).drop("best_reference_similarity")
 
@@ -388,14 +409,14 @@ def score_distribution(spark, sf):
 
 
 def social_analytics(spark, sf):
-    m = result_table(spark, sf)
+    m = result_table(spark, sf, KEY, "filename", "media_context", "social_adjustment")
     a = rp.social_analytics(m, [KEY])
     dist = F.array_join(F.transform(F.map_entries("platform_distribution"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
     return a.withColumn("platform_distribution", dist)
 
 
 def run_summary(spark, sf):
-    return rp.run_summary_with_banks(result_table(spark, sf), banks(spark, sf).stats)
+    return rp.run_summary_with_banks(result_table(spark, sf, KEY, "match_type", "campaign_match"), banks(spark, sf).stats)
 
 
 def evaluation(spark, sf):
@@ -428,11 +449,30 @@ def campaign_results(spark, sf):
 
 
 def debug_exports(spark, sf):
-    return rp.debug_exports(result_table(spark, sf), ["target_id"])["frame_scores"].select(
+    return rp.debug_exports(result_table(spark, sf, "target_id", "filename", "top_matches", "frame_scores", "warnings"), ["target_id"])["frame_scores"].select(
         "target_id", "frame_id", "max_similarity", "avg_similarity", "top_k_avg", "smoothed_similarity", "raw_score"
     )
 
 
+def debug_matches(spark, sf):
+    table = result_table(spark, sf, "target_id", "top_matches")
+    return rp.debug_exports(table, ["target_id"])["top_matches"].select("target_id", long("rank"), "reference_name", "similarity")
+
+
+def debug_headers(spark, sf):
+    table = result_table(spark, sf, "target_id", "top_matches", *rp.DEBUG_HEADER)
+    header = rp.debug_exports(table, ["target_id"])["similarity_debug"]
+    return header.select(
+        "target_id", *[long(c) if c.startswith("num_") else c for c in rp.DEBUG_HEADER[:-2]],
+        F.col("cohesion_metrics.cluster_quality").alias("cluster_quality"), F.col("media_context.reasoning").alias("reasoning"),
+    )
+
+
+def flatten_results(spark, sf):
+    flat = rp.flatten_results(result_table(spark, sf, "target_id", "verdict", "cohesion_metrics", "media_context", "warnings"))
+    return flat.select("target_id", "verdict", "cohesion_metrics_cluster_quality", "media_context_is_social_media", "media_context_reasoning", F.length("warnings").cast("long").alias("warnings_chars"))
+
+
 # --- sources -----------------------------------------------------------------------------------------------------
 
 
@@ -453,8 +493,7 @@ def scan_posts(spark, sf):
 
 
 def bank_fingerprint(spark, sf):
-    whole = listings.resolve_roles(d.listing(spark, sf), "/media").select("campaign", "path", "length", "modified").distinct()
-    return listings.bank_fingerprint(whole)
+    return listings.bank_fingerprint(listings.campaign_files(d.listing(spark, sf), "/media"))
 
 
 def posts_clean(spark, sf):
@@ -493,11 +532,11 @@ QUERIES = {
         cohesion, farthest_first, cluster_members, reference_clusters, cohesion_clusters, dominant_cluster, cluster_topk,
         competitor_eval, thresholds, calibrate, boosts, verdict, match_images, diagnostics, explain, failure_cases,
         spike_suppression, kernel_smoothing, continuity, stable_segments, temporal_strength, best_until_confident, match_videos,
-        frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames,
+        shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames,
         media_context, text_normalize, brand_mentions, ocr_evidence, caption_evidence, prompt_table, class_table, image_layer,
         prompt_layer, detections, detection_layer, color_layer, hex_colors, ensemble, brand_verdict, detect_brands,
         score_distribution, social_analytics, run_summary, evaluation, evaluation_predictions, campaign_report, campaign_results,
-        debug_exports, list_media, list_targets, resolve_roles, scan_posts, bank_fingerprint, posts_clean, media_urls, union_targets,
+        debug_exports, debug_matches, debug_headers, flatten_results, list_media, list_targets, resolve_roles, scan_posts, bank_fingerprint, posts_clean, media_urls, union_targets,
         expand_media, fetch_errors,
     )
 }

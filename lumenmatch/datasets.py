@@ -121,6 +121,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets(spark, sf_dir).drop("target_id", "filename", "expected_match")
 
 
+def with_neighbours(items: DataFrame) -> DataFrame:
+    """Every item asked of its own campaign and of the neighbouring one."""
+    own = F.col("campaign_id")
+    return items.withColumn("campaign_id", F.explode(F.array(own, F.when(own % 2 == 0, own + 1).otherwise(own - 1))))
+
+
+def whole_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as the references of one campaign, -1: a bank of several blocks."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.lit(-1).cast("long").alias("campaign_id"), F.col("vec_id").alias("ref_id"), F.concat(F.lit("all_"), F.col("vec_id")).alias("ref_name"), F.col("embedding").cast(VECTOR).alias("embedding"))
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = targets(spark, sf_dir).filter(F.lower("filename").endswith(".mp4"))
     vid = F.col("target_id")
@@ -196,12 +208,12 @@ def post_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(urls: DataFrame) -> DataFrame:
-    """Fetch outcome per URL: direct media give one or two files, everything else an error."""
+    """Fetch outcome per URL: direct media give one or two files, everything else an error; some URLs have no outcome."""
     from lumenmatch.functions.paths import is_direct_media, manifest_name
 
     ok, name = is_direct_media(F.col("url")), manifest_name(F.col("url"))
     two = F.length("url") % 2 == 0
-    return urls.select(
+    return urls.filter(F.length("url") % 7 != 0).select(
         "url",
         F.when(ok & two, F.array(name, F.concat(F.lit("alt_"), name))).when(ok, F.array(name)).alias("media_paths"),
         F.when(~ok, "yt-dlp not available").alias("error"),

@@ -50,6 +50,7 @@ def basename(path: Column) -> Column:
 
 
 def digest_parts(text: Column) -> tuple[Column, Column]:
-    """Two 60-bit numbers of the md5; xor-ing them over a set gives an order-free digest with map-side partials."""
+    """Two 60-bit numbers of the md5, wide enough to be summed; sums over a bag give an order-free digest with map-side
+    partials, in which equal entries don't cancel out."""
     hexed = F.md5(text.cast("binary"))
-    return tuple(F.conv(F.substring(hexed, start, 15), 16, 10).cast("bigint") for start in (1, 16))
+    return tuple(F.conv(F.substring(hexed, start, 15), 16, 10).cast("decimal(20,0)") for start in (1, 16))

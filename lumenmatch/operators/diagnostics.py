@@ -157,6 +157,12 @@ def explain(df: DataFrame) -> DataFrame:
     return df.withColumn("explainability", block)
 
 
+#: Columns of a result that the archive reads.
+ARCHIVED = (
+    "filename", "primary_score", "competitor_similarity", "ambiguity_score", "verdict", "possible_threshold", "warnings", "embedding",
+)
+
+
 def failure_cases(results: DataFrame) -> DataFrame:
     """Near misses, ambiguous cases and anything with a warning, as archive records.
 
@@ -172,10 +178,12 @@ def failure_cases(results: DataFrame) -> DataFrame:
 
 
 def failure_records(results: DataFrame) -> DataFrame:
-    """``failure_cases`` in the archive layout: metadata plus the query vector."""
+    """``failure_cases`` in the archive layout: metadata plus the query vector. Names repeat within a job, so the id also has
+    the item's keys."""
     stamp = F.unix_millis(F.current_timestamp())
+    keys = [c for c in ("target_id", "video_id", "campaign_id") if c in results.columns]
     return failure_cases(results).select(
-        F.format_string("fail_%s_%d", "clean_name", stamp).alias("archive_id"),
+        F.concat_ws("_", F.lit("fail"), "clean_name", *keys, stamp).alias("archive_id"),
         stamp.alias("timestamp"), "filename", r4(F.col("primary_score")).alias("similarity_score"),
         r4(F.col("competitor_similarity")).alias("competitor_similarity"), r4(F.col("ambiguity_score")).alias("ambiguity_score"),
         "verdict", r4(F.col("possible_threshold")).alias("threshold_used"), "is_near_miss", "is_ambiguous", "warnings", "embedding",

@@ -90,7 +90,7 @@ def ocr_evidence(ocr: DataFrame, brand_terms: list[str], hashtags: list[str], ch
     )
     flags = [F.bool_or(F.array_contains("brand", t)).alias(f"_b{i}") for i, t in enumerate(brand_terms)]
     flags += [F.bool_or(F.array_contains("tags", t)).alias(f"_t{i}") for i, t in enumerate(tags)]
-    hits = rows.groupBy("item_id").agg(*flags)
+    hits = rows.groupBy("item_id").agg(F.count("*").alias("_rows"), *flags)
     conf = ocr.groupBy("item_id").agg(F.avg("conf").alias("avg_conf"))
     # the first 200 characters need at most 201 rows, since every row adds at least its blank
     head = Window.partitionBy("item_id").orderBy("seq")

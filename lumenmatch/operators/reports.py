@@ -195,9 +195,10 @@ def report_header(results: DataFrame, stats: DataFrame, key: str = "campaign_id"
 
 
 def write_report(results: DataFrame, stats: DataFrame, path: str, key: str = "campaign_id") -> None:
-    """Report payload as two JSON sets. Results stay one line each, so no campaign is gathered into one document."""
-    report_header(results, stats, key).write.mode("overwrite").partitionBy(key).text(f"{path}/header")
-    result_lines(results, key).write.mode("overwrite").partitionBy(key).text(f"{path}/results")
+    """Report payload as two JSON sets. Results stay one line each, so no campaign is gathered into one document; they are
+    dealt by campaign before they are written, and a large campaign is dealt to several tasks."""
+    report_header(results, stats, key).hint("rebalance", key).write.mode("overwrite").partitionBy(key).text(f"{path}/header")
+    result_lines(results, key).hint("rebalance", key).write.mode("overwrite").partitionBy(key).text(f"{path}/results")
 
 
 def debug_exports(results: DataFrame, ids: list[str]) -> dict[str, DataFrame]:

@@ -5,6 +5,8 @@ Each query names the common table expressions it needs; ``sql`` adds them and ev
 
 from __future__ import annotations
 
+import re
+
 from lumenmatch import datasets as d
 from lumenmatch.functions import media, paths, scoring
 from lumenmatch.operators import banks, clusters, diagnostics as dg, evidence as ev, frames as fr, mentions as mn, reports as rp
@@ -309,6 +311,15 @@ cte(
 cte("img2", decision("img1", "mx", "comp", "social", "label"), "img1")
 
 
+def cloned(suffix: str, names: tuple[str, ...], renamed: dict[str, str]) -> None:
+    """The CTEs ``names`` over other inputs: every mention of one of them or of a renamed input gets the other name."""
+    of = {n: f"{n}{suffix}" for n in names} | renamed
+    word = re.compile(r"\b(" + "|".join(of) + r")\b(?!\s*\()")
+    for n in names:
+        needs, body = CTES[n]
+        cte(of[n], word.sub(lambda m: of[m[1]], body), *[of.get(x, x) for x in needs])
+
+
 def message(text: str, *args: str) -> str:
     """printf of a message; ``%s`` slots of three-place numbers take ``f3`` arguments."""
     return f"printf({lit(text)}, {', '.join(args)})"
@@ -420,6 +431,15 @@ cte(
     CASE WHEN v.n_negs > 0 THEN 1.0::DOUBLE - {clamp('(v.mx - v.comp) / 0.12', 0.0, 1.0)} ELSE 0.0::DOUBLE END AS amb FROM vid0 v JOIN vstr s ON s.seq_id = v.video_id""",
     "vid0", "vstr",
 )
+# every target and frame asked of its own campaign and its neighbour; the keys hold both
+cte(
+    "tgt_s",
+    """SELECT t.* REPLACE (t.target_id * 1000000 + c.k AS target_id, t.video_id * 1000000 + c.k AS video_id, c.k AS campaign_id) FROM tgt t
+    JOIN (SELECT campaign_id, unnest([campaign_id, CASE WHEN campaign_id % 2 = 0 THEN campaign_id + 1 ELSE campaign_id - 1 END]) AS k FROM (SELECT DISTINCT campaign_id FROM tgt)) c USING (campaign_id)""",
+    "tgt",
+)
+cloned("_s", ("pair", "tstat", "dom", "ctop", "comp0", "ctx", "vser", "vsup", "vsmo0", "vsmo", "vstr"), {"tgt": "tgt_s", "comp": "comp_s", "img0": "img0_s", "vid0": "vid0_s"})
+cloned("_s", ("comp", "img0", "vid0"), {"tgt": "tgt_s", **{n: f"{n}_s" for n in ("tstat", "dom", "ctop", "comp0", "ctx", "pair")}})
 cte("vid2", decision("vid1", "mx", "comp", "social", "label"), "vid1")
 _reasons = "list_filter([" + ", ".join(f"CASE WHEN r{i} THEN {lit(t)} END" for i, (_, _, t) in enumerate(media.OFFSET_RULES)) + "], lambda x: x IS NOT NULL)"
 VIDEO_REASON = cond([(f"len({_reasons}) = 0", lit(media.DEFAULT_REASON))], f"array_to_string({_reasons}, ', ')")
@@ -763,6 +783,18 @@ ORACLE = {
         array_to_string({_video_warnings}, '|') AS warnings FROM vid2""",
         "vid2",
     ),
+    "shared_videos": sql(
+        f"""SELECT v.video_id // 1000000 AS video_id, v.campaign_id, v.frames AS num_frames_analyzed, round(v.mx, 4) AS top_similarity, v.best AS best_reference, v.best_frame, s.temporal_strength, s.longest_streak
+        FROM vid0_s v JOIN vstr_s s ON s.seq_id = v.video_id""",
+        "vid0_s", "vstr_s",
+    ),
+    "shared_targets": sql(
+        f"""SELECT target_id, campaign_id, count(*) AS n_refs, {rnd('max(sim)')} AS max_similarity, {rnd('avg(sim)')} AS avg_similarity, {rnd('avg(sim) FILTER (WHERE r <= 5)')} AS top_k_avg, max(ref_name) FILTER (WHERE r = 1) AS best_reference
+        FROM (SELECT *, row_number() OVER (PARTITION BY target_id, campaign_id ORDER BY sim DESC, ref_id) AS r FROM (
+        SELECT s.target_id // 1000000 AS target_id, s.campaign_id, b.ref_id, b.ref_name, {dot('s.e', 'b.e')} AS sim FROM tgt_s s JOIN bank b USING (campaign_id)
+        UNION ALL SELECT t.target_id, -1, v.vec_id, 'all_' || v.vec_id, {dot('t.e', 'v.e')} FROM tgt t CROSS JOIN ev v)) GROUP BY 1, 2""",
+        "tgt_s", "bank", "tgt", "ev",
+    ),
     "frame_scores": sql(
         f"""SELECT i.video_id, i.campaign_id, i.frame_idx, i.frame_name AS frame_id, round(i.mx, 4) AS max_similarity, {rnd('i.av', 4)} AS avg_similarity, round(i.ct, 4) AS top_k_avg, i.best AS best_reference,
         {rnd(calibrated('round(s.smo, 4)', 's.strong', 's.thr'), 4)} AS smoothed_similarity, {rnd('i.comp', 4)} AS competitor_similarity, {rnd('i.fused', 4)} AS raw_score FROM img0 i JOIN vsmo s ON s.seq_id = i.video_id AND s.idx = i.frame_idx""",
@@ -875,6 +907,19 @@ ORACLE = {
         f"""SELECT target_id, filename AS frame_id, round(mx, 4) AS max_similarity, {rnd('av', 4)} AS avg_similarity, round(ct, 4) AS top_k_avg, round(conf, 4) AS smoothed_similarity, {rnd('fused', 4)} AS raw_score FROM img""",
         "img",
     ),
+    "debug_matches": sql(
+        "SELECT target_id, r AS rank, ref_name AS reference_name, round(sim, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY sim DESC, ref_id) AS r FROM pair) WHERE r <= 5",
+        "pair",
+    ),
+    "debug_headers": sql(
+        f"""SELECT target_id, campaign_match, round(conf, 4) AS confidence, match_type, round(mx, 4) AS top_similarity, {rnd('av', 4)} AS average_similarity, best AS best_reference, filename AS best_frame,
+        round(strong, 4) AS threshold_used, {rnd('variance', 4)} AS reference_variance, img.n_refs AS num_references, 1::BIGINT AS num_frames_analyzed, grade AS cluster_quality, reasoning FROM img JOIN coh USING (campaign_id)""",
+        "img", "coh",
+    ),
+    "flatten_results": sql(
+        """SELECT target_id, verdict, grade AS cohesion_metrics_cluster_quality, social AS media_context_is_social_media, reasoning AS media_context_reasoning, length(to_json(warnings)) AS warnings_chars FROM img JOIN coh USING (campaign_id)""",
+        "img", "coh",
+    ),
     "list_media": sql(
         f"SELECT path, length FROM (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY path) AS r FROM lst WHERE {extension('path')} IN {any_of(paths.REFERENCE_EXTS)}) WHERE r = 1", "lst"
     ),
@@ -884,9 +929,10 @@ ORACLE = {
         SELECT 'data/' || replace(c_name, '#', '_') || '/' || lower(c_mktsegment) || '/' || CASE WHEN c_custkey % 9 = 0 THEN 'drafts/' WHEN c_custkey % 10 = 0 THEN 'posts/old/' ELSE 'posts/' END || c_custkey ||
         {pick(['.jpg', '.mp4', '.tar.gz', '', '.JPEG'], 'c_custkey % 5')} AS path FROM customer) WHERE regexp_matches(path, '^data/([^/]+)/([^/]+)/posts/[^/]+$')""",
     "bank_fingerprint": sql(
-        """SELECT campaign, count(*) AS n_files, md5(concat_ws(':', count(*), bit_xor(a), bit_xor(b))) AS fingerprint FROM (SELECT campaign, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b
-        FROM (SELECT campaign, md5(concat_ws(':', regexp_extract(path, '[^/]*$'), length, modified)) AS h FROM (SELECT DISTINCT campaign, path, length, modified FROM roles))) GROUP BY 1""",
-        "roles",
+        f"""SELECT campaign, count(*) AS n_files, md5(concat_ws(':', count(*), sum(a), sum(b))) AS fingerprint FROM (SELECT campaign, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b
+        FROM (SELECT split_part(path, '/', 3) AS campaign, md5(concat_ws(':', regexp_extract(path, '[^/]*$'), length, modified)) AS h
+        FROM (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY path) AS r FROM lst WHERE {extension('path')} IN {any_of(paths.REFERENCE_EXTS)}) WHERE r = 1)) GROUP BY 1""",
+        "lst",
     ),
     "posts_clean": f"""SELECT coalesce(nullif({stripped('u')}, ''), '{po.UNKNOWN_USER}') AS username, {stripped('l')} AS link, row_index FROM (SELECT p.page_id AS row_index,
         CASE WHEN p.page_id % 11 = 0 THEN '  ' WHEN p.page_id % 7 <> 0 THEN ' ' || c.c_name END AS u, CASE WHEN p.page_id % 13 = 0 THEN ' ' WHEN p.page_id % 5 <> 0 THEN p.url || ' ' END AS l
@@ -897,12 +943,12 @@ ORACLE = {
     ),
     "expand_media": sql(
         """SELECT 'file' AS type, path, NULL::VARCHAR AS username, NULL::VARCHAR AS source_url FROM ltgt UNION ALL
-        SELECT 'url', unnest(CASE WHEN length(url) % 2 = 0 THEN [manifest, 'alt_' || manifest] ELSE [manifest] END), 'user ' || page_id, url FROM mux WHERE ext <> ''""",
+        SELECT 'url', unnest(CASE WHEN length(url) % 2 = 0 THEN [manifest, 'alt_' || manifest] ELSE [manifest] END), 'user ' || page_id, url FROM mux WHERE ext <> '' AND length(url) % 7 <> 0""",
         "ltgt", "mux",
     ),
     "fetch_errors": sql(
         """SELECT false AS campaign_match, 'NO_MATCH' AS match_type, 'Irrelevant' AS verdict, 0.0::DOUBLE AS confidence, '' AS file, '' AS filename, 'user ' || page_id AS username, url AS source_url,
-        'yt-dlp not available' AS error FROM mux WHERE ext = ''""",
+        CASE WHEN length(url) % 7 = 0 THEN 'no fetch outcome' ELSE 'yt-dlp not available' END AS error FROM mux WHERE ext = '' OR length(url) % 7 = 0""",
         "mux",
     ),
 }

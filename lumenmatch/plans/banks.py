@@ -15,15 +15,18 @@ def neg_centroid(neg: DataFrame) -> DataFrame:
     return neg.groupBy(KEY).agg(l2_normalize(vector_sum(F.col("embedding").cast(VECTOR))).alias("neg_centroid"))
 
 
-def bank_tables(bank: DataFrame, neg: DataFrame) -> dict[str, DataFrame]:
-    """``members``, ``packs`` and ``stats`` of the given banks."""
-    members = cluster_assignments(bank)
+def bank_members(bank: DataFrame) -> DataFrame:
+    """Cluster of each reference."""
+    return cluster_assignments(bank)
+
+
+def bank_packs(bank: DataFrame, neg: DataFrame, members: DataFrame) -> DataFrame:
+    return pack_banks(bank, neg, members)
+
+
+def bank_stats(bank: DataFrame, neg: DataFrame, members: DataFrame) -> DataFrame:
+    """Cohesion, clusters and competitor centroid of each campaign."""
     clusters = cluster_stats(bank, members).groupBy(KEY).agg(
         F.sort_array(F.collect_list(F.struct("cluster_idx", "label", "centroid", "variance", "avg_similarity", "n_members"))).alias("clusters")
     )
-    stats = (
-        cohesion(bank, neg)
-        .join(clusters, KEY)
-        .join(neg_centroid(neg), KEY, "left")
-    )
-    return {"members": members, "packs": pack_banks(bank, neg, members), "stats": stats}
+    return cohesion(bank, neg).join(clusters, KEY).join(neg_centroid(neg), KEY, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -44,12 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
 def staged(df, name: str):
     """Write an intermediate table once to the shared folder and read it back.
 
     Used where several branches need the same expensive rows: they are computed once, and a lost executor costs only
-    the tasks it was running.
+    the tasks it was running. The tables belong to the application: ``release_staged`` deletes them, at the latest when the
+    driver's Python ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = _folder(spark)
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        atexit.register(release_staged, spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_OWNED: set[str] = set()
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Deletes the application's staged tables; results that still read them must have been written before."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenmatch.operators.banks import KEY
 from lumenmatch.operators.similarity import PackSize, measure
-from lumenmatch.plans.banks import bank_tables
+from lumenmatch.plans.banks import bank_members, bank_packs, bank_stats
 from lumenmatch.session import staged
 
 
@@ -35,8 +35,8 @@ def content_fingerprint(bank: DataFrame, neg: DataFrame) -> DataFrame:
     rows = bank.select(KEY, F.xxhash64(F.lit("+"), "ref_id", "ref_name", "embedding").alias("h")).unionByName(
         neg.select(KEY, F.xxhash64(F.lit("-"), "neg_id", "neg_name", "embedding").alias("h"))
     )
-    mixed = F.xxhash64("h")
-    return rows.groupBy(KEY).agg(F.count("*").alias("n"), F.bit_xor("h").alias("a"), F.bit_xor(mixed).alias("b")).select(
+    first, mixed = F.col("h").cast("decimal(20,0)"), F.xxhash64("h").cast("decimal(20,0)")
+    return rows.groupBy(KEY).agg(F.count("*").alias("n"), F.sum(first).alias("a"), F.sum(mixed).alias("b")).select(
         KEY, F.md5(F.concat_ws(":", "n", "a", "b")).alias("fingerprint")
     )
 
@@ -58,10 +58,15 @@ def materialize_banks(bank: DataFrame, neg: DataFrame, root: str, force: bool =
     if not stale.isEmpty():
         build = uuid.uuid4().hex
         stale, bank, neg = stale.persist(), bank.join(stale, KEY, "left_semi").persist(), neg.join(stale, KEY, "left_semi").persist()
-        tables = bank_tables(bank, neg)
-        for name in ("members", "packs", "stats"):
-            out = tables[name].join(stale, KEY) if name == "stats" else tables[name]
-            out.withColumn("build", F.lit(build)).withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/{name}")
+
+        def write(name: str, table: DataFrame) -> None:
+            table.withColumn("build", F.lit(build)).withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/{name}")
+
+        # the clusters are found once: packs and statistics read the written assignments
+        write("members", bank_members(bank))
+        members = spark.read.parquet(f"{root}/members").filter(F.col("build") == build).drop("build", "built_at")
+        write("packs", bank_packs(bank, neg, members))
+        write("stats", bank_stats(bank, neg, members).join(stale, KEY))
         for used in (stale, bank, neg):
             used.unpersist()
         known = spark.read.parquet(f"{root}/stats")

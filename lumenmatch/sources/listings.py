@@ -38,6 +38,18 @@ def list_targets(listing: DataFrame) -> DataFrame:
     return listing.filter(F.contains("path", F.lit(".")) & ext.isin(*SUPPORTED_EXTS))
 
 
+def below(root: str) -> Column:
+    """Path below a folder; null outside of it. The folder's name is taken as it is, not as a pattern."""
+    prefix = f"{root.rstrip('/')}/"
+    return F.when(F.startswith("path", F.lit(prefix)), F.substring("path", len(prefix) + 1, 2147483647))
+
+
+def campaign_files(listing: DataFrame, root: str) -> DataFrame:
+    """Reference image files anywhere in a campaign's folder, with the campaign."""
+    parts = F.split(below(root), "/")
+    return unique_files(listing).withColumn("campaign", F.when(F.size(parts) > 1, F.get(parts, F.lit(0)))).filter("campaign is not null")
+
+
 def _preference(folder: Column, names: tuple[str, ...]) -> Column:
     out = F.lit(None).cast("int")
     for rank, name in reversed(list(enumerate(names))):
@@ -50,9 +62,8 @@ def resolve_roles(listing: DataFrame, root: str) -> DataFrame:
 
     Without a positive folder the whole campaign folder is positive, its negative folder included.
     """
-    rest = F.regexp_extract("path", f"^{root.rstrip('/')}/(.*)$", 1)
-    parts = F.split(rest, "/")
-    df = listing.withColumn("campaign", F.get(parts, F.lit(0))).withColumn(
+    parts = F.split(below(root), "/")
+    df = listing.filter(below(root).isNotNull()).withColumn("campaign", F.get(parts, F.lit(0))).withColumn(
         "_folder", F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("")
     ).filter(F.size(parts) > 1)
     best = df.groupBy("campaign").agg(
@@ -67,16 +78,17 @@ def resolve_roles(listing: DataFrame, root: str) -> DataFrame:
 
 def scan_posts(listing: DataFrame, base: str) -> DataFrame:
     """Files at base/<influencer>/<platform>/posts/<file>."""
-    pattern = f"^{base.rstrip('/')}/([^/]+)/([^/]+)/posts/[^/]+$"
-    return listing.filter(F.rlike("path", F.lit(pattern))).select(
-        F.regexp_extract("path", pattern, 1).alias("influencer"), F.regexp_extract("path", pattern, 2).alias("platform"), "path"
+    parts = F.split(below(base), "/")
+    named = F.forall(parts, lambda x: x != "")
+    return listing.filter((F.size(parts) == 4) & (F.get(parts, F.lit(2)) == "posts") & named).select(
+        F.get(parts, F.lit(0)).alias("influencer"), F.get(parts, F.lit(1)).alias("platform"), "path"
     )
 
 
 def bank_fingerprint(listing: DataFrame, key: str = "campaign") -> DataFrame:
-    """Order-free digest of name, size and modification time of all files of a campaign."""
+    """Order-free digest of name, size and modification time of all files of a campaign; equal entries count each."""
     entry = F.concat_ws(":", basename(F.col("path")), F.col("length"), F.col("modified").cast("string"))
     a, b = digest_parts(entry)
     return listing.groupBy(key).agg(
-        F.count("*").alias("n_files"), F.md5(F.concat_ws(":", F.count("*"), F.bit_xor(a), F.bit_xor(b)).cast("binary")).alias("fingerprint")
+        F.count("*").alias("n_files"), F.md5(F.concat_ws(":", F.count("*"), F.sum(a), F.sum(b)).cast("binary")).alias("fingerprint")
     )

@@ -18,11 +18,13 @@ LINK_KEYS = (
     "video_url", "image_url",
 )
 UNKNOWN_USER = "Unknown"
+NO_OUTCOME = "no fetch outcome"
 
 
 def normalize_column(name: str | None) -> str:
-    text = "" if name is None else re.sub(r"[\s\-]+", "_", name.strip().lower())
-    return re.sub(r"[^a-z0-9_]", "", text)
+    """Heading as a keyword: lower case, parts joined by underscores, other signs left out."""
+    parts = re.split(r"[\s-]+", (name or "").strip().casefold())
+    return "_".join("".join(c for c in part if c == "_" or (c.isascii() and c.isalnum())) for part in parts)
 
 
 def resolve_column(columns: list[str], requested: str | None, keywords: tuple[str, ...]) -> str | None:
@@ -42,7 +44,9 @@ def load_posts(df: DataFrame, username_col: str | None = None, link_col: str | N
     names = [c for c in df.columns if c != row_index]
     user, link = resolve_column(names, username_col, USER_KEYS), resolve_column(names, link_col, LINK_KEYS)
     if user is None or link is None:
-        raise ValueError("Could not auto-detect username/link columns. Available columns: " + ", ".join(names))
+        if df.isEmpty():
+            return df.sparkSession.createDataFrame([], "username string, link string, row_index long")
+        raise ValueError(f"no {'user' if user is None else 'link'} column among {names}")
     return (
         df.select(
             F.coalesce(F.nullif(strip(F.col(f"`{user}`").cast("string")), F.lit("")), F.lit(UNKNOWN_USER)).alias("username"),
@@ -64,7 +68,8 @@ def union_targets(files: DataFrame, posts: DataFrame, fallback: DataFrame | None
 
 
 def expand_media(targets: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row per fetched media file of every URL target; files pass through. Failed fetches are left out here."""
+    """One row per fetched media file of every URL target; files pass through. URLs without a file have an error row in
+    ``attach_fetch_errors`` instead."""
     urls = targets.filter("type = 'url'").join(outcomes.filter("error is null").select("url", "media_paths"), "url")
     fetched = urls.select("type", F.explode("media_paths").alias("path"), "username", F.col("url").alias("source_url"))
     files = targets.filter("type = 'file'").select("type", "path", "username", F.col("url").alias("source_url"))
@@ -72,8 +77,10 @@ def expand_media(targets: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def attach_fetch_errors(targets: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Default NO_MATCH rows for URL targets whose fetch failed."""
-    failed = targets.filter("type = 'url'").join(outcomes.filter("error is not null").select("url", "error"), "url")
+    """Default NO_MATCH rows for URL targets whose fetch failed, gave no file or has no outcome at all."""
+    known = outcomes.select("url", "error", (F.coalesce(F.size("media_paths"), F.lit(0)) > 0).alias("_found"))
+    failed = targets.filter("type = 'url'").join(known, "url", "left").filter("error is not null or not coalesce(_found, false)")
+    failed = failed.withColumn("error", F.coalesce("error", F.lit(NO_OUTCOME)))
     return failed.select(
         F.lit(False).alias("campaign_match"), F.lit("NO_MATCH").alias("match_type"), F.lit("Irrelevant").alias("verdict"),
         F.lit(0.0).alias("confidence"), F.lit("").alias("file"), F.lit("").alias("filename"), "username",

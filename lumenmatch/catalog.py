@@ -118,6 +118,16 @@ def _clusters(df):
     return df.select(KEY, long("cluster_idx"), "n_members", "label", r("variance"), r("avg_similarity"))
 
 
+def cluster_members_rounds(spark, sf):
+    """The rounds that large campaigns take, over all campaigns."""
+    return cl.cluster_assignments(d.bank(spark, sf), local_refs=0).select(KEY, "ref_id", long("cluster_idx"))
+
+
+def whole_bank_similarity(spark, sf):
+    """A bank too large for a matrix of pairs, next to small ones."""
+    return bk.intra_similarity(d.bank(spark, sf).unionByName(d.whole_bank(spark, sf))).select(KEY, "n_refs", r("intra_similarity_mean"), r("intra_similarity_std"))
+
+
 def reference_clusters(spark, sf):
     return _clusters(cl.cluster_references(d.bank(spark, sf)))
 
@@ -317,6 +327,12 @@ def dedupe_frames(spark, sf):
     return fr.dedupe_frames(pictures).select("video_id", "frame_idx", long("kept_order"))
 
 
+def dedupe_frames_rounds(spark, sf):
+    """The rounds that long videos take, over all videos."""
+    pictures = d.frame_pictures(fr.sample_interval(d.videos(spark, sf)))
+    return fr.dedupe_frames(pictures, local_frames=0).select("video_id", "frame_idx", long("kept_order"))
+
+
 def media_context(spark, sf):
     return pi.with_media_context(d.targets(spark, sf)).select("target_id", "media_context.*")
 
@@ -529,10 +545,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         l2_normalize, pair_similarity, top_matches, target_stats, bank_centroid, bank_variance, intra_similarity, outliers, silhouette,
-        cohesion, farthest_first, cluster_members, reference_clusters, cohesion_clusters, dominant_cluster, cluster_topk,
+        cohesion, farthest_first, cluster_members, cluster_members_rounds, whole_bank_similarity, reference_clusters, cohesion_clusters, dominant_cluster, cluster_topk,
         competitor_eval, thresholds, calibrate, boosts, verdict, match_images, diagnostics, explain, failure_cases,
         spike_suppression, kernel_smoothing, continuity, stable_segments, temporal_strength, best_until_confident, match_videos,
-        shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames,
+        shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames, dedupe_frames_rounds,
         media_context, text_normalize, brand_mentions, ocr_evidence, caption_evidence, prompt_table, class_table, image_layer,
         prompt_layer, detections, detection_layer, color_layer, hex_colors, ensemble, brand_verdict, detect_brands,
         score_distribution, social_analytics, run_summary, evaluation, evaluation_predictions, campaign_report, campaign_results,

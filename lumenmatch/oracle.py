@@ -685,6 +685,24 @@ def pictures(column: str) -> str:
 
 
 cte("pic", f"SELECT video_id, frame_idx, {pictures('hist')} AS hist, {pictures('thumb')} AS thumb FROM even", "even")
+cte("pic_all", f"SELECT video_id, frame_idx, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn, {pictures('hist')} AS hist, {pictures('thumb')} AS thumb FROM sampled", "sampled")
+
+
+def same_structure(kept: str) -> str:
+    """Whether the kept frame at a place of the list, if there is one, looks like the next frame."""
+    gap = "list_sum(list_transform(list_zip(k.thumb, n.thumb), lambda t: abs(t[1] - t[2]))) / 1024 / 255.0"
+    return f"coalesce((SELECT {gap} < 0.05 FROM pic_all k WHERE k.video_id = s.video_id AND k.rn = {kept}), false)"
+
+
+_r = "((list_dot_product(l.hist, n.hist) - 64 * list_avg(l.hist) * list_avg(n.hist)) / sqrt((list_dot_product(l.hist, l.hist) - 64 * list_avg(l.hist) ** 2) * (list_dot_product(n.hist, n.hist) - 64 * list_avg(n.hist) ** 2)))"
+cte(
+    "dedup",
+    f"""WITH RECURSIVE walk AS (SELECT video_id, 1::BIGINT AS rn, [1::BIGINT] AS kept FROM pic_all WHERE rn = 1 UNION ALL
+    SELECT s.video_id, n.rn, CASE WHEN len(s.kept) < 15 AND NOT {_r} > 0.98 AND NOT {same_structure('s.kept[-1]')} AND NOT {same_structure('s.kept[-2]')} AND NOT {same_structure('s.kept[-3]')}
+    THEN list_append(s.kept, n.rn) ELSE s.kept END FROM walk s JOIN pic_all n ON n.video_id = s.video_id AND n.rn = s.rn + 1 JOIN pic_all l ON l.video_id = s.video_id AND l.rn = s.kept[-1])
+    SELECT p.video_id, p.frame_idx, k.i - 1 AS kept_order FROM (SELECT video_id, unnest(generate_series(1, len(kept))) AS i, unnest(kept) AS rn FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY rn DESC) = 1)) k JOIN pic_all p USING (video_id, rn)""",
+    "pic_all",
+)
 _moment = "avg({0}) OVER (PARTITION BY seq_id)"
 _cluster_cols = f"campaign_id, j::BIGINT AS cluster_idx, n_members, label, {rnd('std')} AS variance, {rnd('mean')} AS avg_similarity"
 _band = cond([("mean > 0.88", lit(clusters.COHESION_LABELS[0])), ("mean > 0.78", lit(clusters.COHESION_LABELS[1]))], lit(clusters.COHESION_LABELS[2]))
@@ -721,6 +739,7 @@ ORACLE = {
     ),
     "farthest_first": sql("SELECT campaign_id, j::BIGINT AS cluster_idx, ref_id FROM k4s4", "k4s4"),
     "cluster_members": sql("SELECT campaign_id, ref_id, j::BIGINT AS cluster_idx FROM k4a25", "k4a25"),
+    "cluster_members_rounds": sql("SELECT campaign_id, ref_id, j::BIGINT AS cluster_idx FROM k4a25", "k4a25"),
     "reference_clusters": sql(f"SELECT {_cluster_cols} FROM clu", "clu"),
     "cohesion_clusters": sql(
         f"SELECT {_cluster_cols} FROM (SELECT *, CASE WHEN sum(n_members) OVER (PARTITION BY campaign_id) = 1 THEN {_band} ELSE printf('%s (Cluster %d)', {_band}, j + 1) END AS label FROM k3stat)", "k3stat"
@@ -783,6 +802,13 @@ ORACLE = {
         array_to_string({_video_warnings}, '|') AS warnings FROM vid2""",
         "vid2",
     ),
+    "whole_bank_similarity": sql(
+        f"""SELECT campaign_id, n_refs, {rnd('mean')} AS intra_similarity_mean, {rnd('std')} AS intra_similarity_std FROM intra
+        UNION ALL SELECT -1, (SELECT count(*) FROM ev), {rnd('avg(s)')}, {rnd('stddev_pop(s)')} FROM (SELECT {dot('a.e', 'b.e')} AS s FROM ev a JOIN ev b ON a.vec_id < b.vec_id)""",
+        "intra", "ev",
+    ),
+    "dedupe_frames": sql("SELECT video_id, frame_idx, kept_order FROM dedup", "dedup"),
+    "dedupe_frames_rounds": sql("SELECT video_id, frame_idx, kept_order FROM dedup", "dedup"),
     "shared_videos": sql(
         f"""SELECT v.video_id // 1000000 AS video_id, v.campaign_id, v.frames AS num_frames_analyzed, round(v.mx, 4) AS top_similarity, v.best AS best_reference, v.best_frame, s.temporal_strength, s.longest_streak
         FROM vid0_s v JOIN vstr_s s ON s.seq_id = v.video_id""",

@@ -9,7 +9,7 @@ from lumenmatch import datasets as d
 from lumenmatch.functions import paths, scoring as s, text as tx, vectors as v
 from lumenmatch.operators import banks as bk, clusters as cl, diagnostics as dg, evidence as ev, frames as fr
 from lumenmatch.operators import mentions as mn, reports as rp, sequences as sq, similarity as sim
-from lumenmatch.plans import brands as pb, campaign as pc, evaluation as pe, images as pi, videos as pv
+from lumenmatch.plans import brands as pb, campaign as pc, evaluation as pe, images as pi, keyframes as pk, videos as pv
 from lumenmatch.session import shared_dir, staged
 from lumenmatch.sources import bank_store, listings, posts as po
 
@@ -327,6 +327,17 @@ def dedupe_frames(spark, sf):
     return fr.dedupe_frames(pictures).select("video_id", "frame_idx", long("kept_order"))
 
 
+def keyframe_match(spark, sf):
+    """Whole videos: sampled, sharpened, without repeats, matched."""
+    used = staged(pk.replaced_frames(d.videos(spark, sf), d.frame_features(spark, sf)), "used")
+    keyed = staged(pk.key_frames(d.frame_pictures(used)), "keyed")
+    m = pk.match_key_frames(keyed, d.frame_vectors(spark, sf, keyed), banks(spark, sf))
+    return m.select(
+        "video_id", KEY, "num_frames_analyzed", "match_type", "top_similarity", "best_reference", "best_frame", "temporal_strength", "longest_streak",
+        "competitor_similarity", "threshold_used", "confidence",
+    )
+
+
 def dedupe_frames_rounds(spark, sf):
     """The rounds that long videos take, over all videos."""
     pictures = d.frame_pictures(fr.sample_interval(d.videos(spark, sf)))
@@ -548,7 +559,7 @@ QUERIES = {
         cohesion, farthest_first, cluster_members, cluster_members_rounds, whole_bank_similarity, reference_clusters, cohesion_clusters, dominant_cluster, cluster_topk,
         competitor_eval, thresholds, calibrate, boosts, verdict, match_images, diagnostics, explain, failure_cases,
         spike_suppression, kernel_smoothing, continuity, stable_segments, temporal_strength, best_until_confident, match_videos,
-        shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames, dedupe_frames_rounds,
+        shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames, dedupe_frames_rounds, keyframe_match,
         media_context, text_normalize, brand_mentions, ocr_evidence, caption_evidence, prompt_table, class_table, image_layer,
         prompt_layer, detections, detection_layer, color_layer, hex_colors, ensemble, brand_verdict, detect_brands,
         score_distribution, social_analytics, run_summary, evaluation, evaluation_predictions, campaign_report, campaign_results,

@@ -159,6 +159,20 @@ def frame_pictures(sampled: DataFrame) -> DataFrame:
     return sampled.select("video_id", "frame_idx", hist.alias("hist"), thumb.alias("thumb"))
 
 
+def frame_vectors(spark: SparkSession, sf_dir: str, frames: DataFrame) -> DataFrame:
+    """Vectors and media features of frames (video_id, frame_idx) of ``videos``: scenes of 100 frames near to or far from the theme."""
+    own = targets(spark, sf_dir).drop("embedding", "video_id", "frame_idx", "frame_name", "filename", "expected_match").withColumnRenamed("target_id", "video_id")
+    mixed = vectors(spark, sf_dir).select(F.col("vec_id").alias("video_id"), "theme", "e")
+    f = F.col("frame_idx")
+    weight = pick([0.2, 0.9, 0.6, 2.0, 1.2], F.floor(f / 100) % 5)
+    return (
+        frames.select("video_id", "frame_idx").join(own, "video_id").join(mixed, "video_id")
+        .withColumn("frame_name", F.concat(F.lit("frame_"), F.col("video_id"), F.lit("_"), f, F.lit(".jpg")))
+        .withColumn("embedding", mix(F.col("theme"), weight, F.col("e")))
+        .drop("theme", "e")
+    )
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A posts sheet: pages with customer names as users, gaps and blanks included."""
     pages = table(spark, sf_dir, "pages")

@@ -703,6 +703,28 @@ cte(
     SELECT p.video_id, p.frame_idx, k.i - 1 AS kept_order FROM (SELECT video_id, unnest(generate_series(1, len(kept))) AS i, unnest(kept) AS rn FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY rn DESC) = 1)) k JOIN pic_all p USING (video_id, rn)""",
     "pic_all",
 )
+cte(
+    "blurred",
+    """SELECT video_id, frame_idx, coalesce(u, frame_idx) AS use_idx, u IS NOT NULL AS replaced FROM (SELECT s.video_id, s.frame_idx, b.b, s.frame_idx <> 0 AND s.frame_idx <> s.n - 1 AND b.b < 40 AS blurry,
+        CASE WHEN s.frame_idx <> 0 AND s.frame_idx <> s.n - 1 AND b.b < 40 THEN (SELECT first(x.frame_idx ORDER BY CASE x.frame_idx - s.frame_idx WHEN -5 THEN 1 WHEN -2 THEN 2 WHEN 2 THEN 3 ELSE 4 END) FROM blur x
+        WHERE x.video_id = s.video_id AND x.b >= 40 AND x.frame_idx - s.frame_idx IN (-5, -2, 2, 5)) END AS u FROM sampled s JOIN blur b USING (video_id, frame_idx)) WHERE NOT (blurry AND u IS NULL AND b < 20)""",
+    "sampled", "blur",
+)
+cte("used", "SELECT DISTINCT video_id, use_idx AS frame_idx FROM blurred", "blurred")
+cloned("_k", ("pic_all", "dedup"), {"sampled": "used"})
+cte(
+    "tgt_k",
+    f"""SELECT t.* EXCLUDE (fw, theme, ve) REPLACE (t.video_id * 1000 + t.frame_idx AS target_id, {unit('fw')} AS e) FROM (
+    SELECT t.* REPLACE (k.video_id AS video_id, k.frame_idx AS frame_idx, 'frame_' || k.video_id || '_' || k.frame_idx || '.jpg' AS frame_name), v.theme, v.e AS ve,
+    {mixed('v.theme', pick([0.2, 0.9, 0.6, 2.0, 1.2], 'k.frame_idx // 100 % 5'), 'v.e')} AS fw FROM dedup_k k JOIN tgt t ON t.target_id = k.video_id JOIN vec v ON v.vec_id = k.video_id) t""",
+    "dedup_k", "tgt", "vec",
+)
+cte("vser_k", "SELECT video_id AS seq_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS idx, fused AS score FROM img0_k", "img0_k")
+_chain = ("pair", "tstat", "dom", "ctop", "comp0", "ctx", "vsup", "vsmo0", "vsmo", "vstr")
+cloned("_k", _chain, {"tgt": "tgt_k", "comp": "comp_k", "img0": "img0_k", "vid0": "vid0_k", "vser": "vser_k"})
+cloned("_k", ("comp", "img0", "vid0"), {"tgt": "tgt_k", **{n: f"{n}_k" for n in ("tstat", "dom", "ctop", "comp0", "ctx", "pair")}})
+cloned("_k", ("vid1",), {"vid0": "vid0_k", "vstr": "vstr_k", "comp": "comp_k"})
+cte("vid2_k", decision("vid1_k", "mx", "comp_k", "social", "label"), "vid1_k")
 _moment = "avg({0}) OVER (PARTITION BY seq_id)"
 _cluster_cols = f"campaign_id, j::BIGINT AS cluster_idx, n_members, label, {rnd('std')} AS variance, {rnd('mean')} AS avg_similarity"
 _band = cond([("mean > 0.88", lit(clusters.COHESION_LABELS[0])), ("mean > 0.78", lit(clusters.COHESION_LABELS[1]))], lit(clusters.COHESION_LABELS[2]))
@@ -807,6 +829,11 @@ ORACLE = {
         UNION ALL SELECT -1, (SELECT count(*) FROM ev), {rnd('avg(s)')}, {rnd('stddev_pop(s)')} FROM (SELECT {dot('a.e', 'b.e')} AS s FROM ev a JOIN ev b ON a.vec_id < b.vec_id)""",
         "intra", "ev",
     ),
+    "keyframe_match": sql(
+        f"""SELECT video_id, campaign_id, frames AS num_frames_analyzed, match_type, round(mx, 4) AS top_similarity, best AS best_reference, best_frame, temporal_strength, longest_streak,
+        {rnd('comp_k', 4)} AS competitor_similarity, round(strong, 4) AS threshold_used, round(conf, 4) AS confidence FROM vid2_k""",
+        "vid2_k",
+    ),
     "dedupe_frames": sql("SELECT video_id, frame_idx, kept_order FROM dedup", "dedup"),
     "dedupe_frames_rounds": sql("SELECT video_id, frame_idx, kept_order FROM dedup", "dedup"),
     "shared_videos": sql(
@@ -834,12 +861,7 @@ ORACLE = {
     ),
     "sample_interval": sql("SELECT video_id, frame_idx FROM sampled", "sampled"),
     "sample_even": sql("SELECT video_id, frame_idx FROM even", "even"),
-    "blur_filter": sql(
-        """SELECT video_id, frame_idx, coalesce(u, frame_idx) AS use_idx, u IS NOT NULL AS replaced FROM (SELECT s.video_id, s.frame_idx, b.b, s.frame_idx <> 0 AND s.frame_idx <> s.n - 1 AND b.b < 40 AS blurry,
-        CASE WHEN s.frame_idx <> 0 AND s.frame_idx <> s.n - 1 AND b.b < 40 THEN (SELECT first(x.frame_idx ORDER BY CASE x.frame_idx - s.frame_idx WHEN -5 THEN 1 WHEN -2 THEN 2 WHEN 2 THEN 3 ELSE 4 END) FROM blur x
-        WHERE x.video_id = s.video_id AND x.b >= 40 AND x.frame_idx - s.frame_idx IN (-5, -2, 2, 5)) END AS u FROM sampled s JOIN blur b USING (video_id, frame_idx)) WHERE NOT (blurry AND u IS NULL AND b < 20)""",
-        "sampled", "blur",
-    ),
+    "blur_filter": sql("SELECT * FROM blurred", "blurred"),
     "frame_diff": sql(
         f"""SELECT a.video_id, a.frame_idx, {rnd('list_sum(list_transform(list_zip(z.thumb, a.thumb), lambda t: abs(t[1] - t[2]))) / 1024 / 255')} AS difference,
         {rnd('(list_dot_product(z.hist, a.hist) - 64 * list_avg(z.hist) * list_avg(a.hist)) / sqrt((list_dot_product(z.hist, z.hist) - 64 * list_avg(z.hist) ** 2) * (list_dot_product(a.hist, a.hist) - 64 * list_avg(a.hist) ** 2))')} AS correlation

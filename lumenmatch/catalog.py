@@ -461,8 +461,12 @@ def _campaign_results(spark, sf):
     clips = d.frames(spark, sf).filter("frame_idx = 0").withColumn("target_id", F.col("video_id")).withColumn(
         "filename", F.concat(F.lit("clip_"), F.col("video_id"), F.lit(".mp4"))
     )
-    stills = t.filter(paths.media_type(F.col("filename")) != "video").select(*clips.drop("expected_match").columns)
-    return pc.campaign_results(stills.unionByName(clips), d.frames(spark, sf), banks(spark, sf))
+    # video files without frames get numbers that no sequence has
+    number = F.when(paths.media_type(F.col("filename")) == "video", -1 - F.col("target_id")).otherwise(F.col("target_id"))
+    files = t.withColumn("target_id", number).select(*clips.columns)
+    targets, outcomes = _targets_and_outcomes(spark, sf)
+    failures = po.attach_fetch_errors(targets, outcomes).withColumn(KEY, F.length("source_url").cast("long") % 10)
+    return pc.campaign_results(files.unionByName(clips), d.frames(spark, sf), banks(spark, sf), failures=failures)
 
 
 def campaign_report(spark, sf):
@@ -471,10 +475,18 @@ def campaign_report(spark, sf):
 
 def campaign_results(spark, sf):
     return _campaign_results(spark, sf).select(
-        KEY, "file", "match_type", "verdict", "confidence", "best_reference", long("num_frames_analyzed"), "social_adjustment"
+        KEY, "file", "match_type", "verdict", "confidence", "best_reference", long("num_frames_analyzed"), "social_adjustment",
+        F.coalesce("source_url", F.lit("")).alias("source_url"), F.coalesce("error", F.lit("")).alias("error"),
     )
 
 
+def campaign_analytics(spark, sf):
+    """Social figures over images, videos and failed fetches together."""
+    a = rp.social_analytics(staged(_campaign_results(spark, sf).select(KEY, "filename", "media_context", "social_adjustment"), "run"), [KEY])
+    dist = F.array_join(F.transform(F.map_entries("platform_distribution"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return a.withColumn("platform_distribution", dist)
+
+
 def debug_exports(spark, sf):
     return rp.debug_exports(result_table(spark, sf, "target_id", "filename", "top_matches", "frame_scores", "warnings"), ["target_id"])["frame_scores"].select(
         "target_id", "frame_id", "max_similarity", "avg_similarity", "top_k_avg", "smoothed_similarity", "raw_score"
@@ -562,7 +574,7 @@ QUERIES = {
         shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames, dedupe_frames_rounds, keyframe_match,
         media_context, text_normalize, brand_mentions, ocr_evidence, caption_evidence, prompt_table, class_table, image_layer,
         prompt_layer, detections, detection_layer, color_layer, hex_colors, ensemble, brand_verdict, detect_brands,
-        score_distribution, social_analytics, run_summary, evaluation, evaluation_predictions, campaign_report, campaign_results,
+        score_distribution, social_analytics, run_summary, evaluation, evaluation_predictions, campaign_report, campaign_results, campaign_analytics,
         debug_exports, debug_matches, debug_headers, flatten_results, list_media, list_targets, resolve_roles, scan_posts, bank_fingerprint, posts_clean, media_urls, union_targets,
         expand_media, fetch_errors,
     )

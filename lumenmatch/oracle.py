@@ -645,9 +645,13 @@ cte(
 )
 cte(
     "camp",
-    f"""SELECT campaign_id, filename AS file, campaign_match, match_type, verdict, round(conf, 4) AS confidence, best AS best_reference, 1::BIGINT AS num_frames_analyzed, soc AS social_adjustment
-    FROM img WHERE {media_type('filename')} <> 'video' UNION ALL SELECT campaign_id, 'clip_' || video_id || '.mp4', campaign_match, match_type, verdict, round(conf, 4), best, frames, soc FROM vid2""",
-    "img", "vid2",
+    f"""SELECT campaign_id, filename AS file, campaign_match, match_type, verdict, round(conf, 4) AS confidence, best AS best_reference, 1::BIGINT AS num_frames_analyzed, soc AS social_adjustment,
+    '' AS source_url, '' AS error, true AS has, social, aspect, overlays, subs, mobile, level, reasoning FROM img WHERE {media_type('filename')} <> 'video'
+    UNION ALL SELECT campaign_id, 'clip_' || video_id || '.mp4', campaign_match, match_type, verdict, round(conf, 4), best, frames, soc, '', '', true, social, aspect, overlays, false, false, level, {VIDEO_REASON} FROM vid2
+    UNION ALL SELECT campaign_id, filename, false, 'NO_MATCH', 'Irrelevant', 0.0, '', 0, 0.0, '', '', false, false, NULL, false, false, false, NULL, NULL FROM img WHERE {media_type('filename')} = 'video'
+    UNION ALL SELECT length(url) % 10, '', false, 'NO_MATCH', 'Irrelevant', 0.0, '', 0, 0.0, url, CASE WHEN length(url) % 7 = 0 THEN 'no fetch outcome' ELSE 'yt-dlp not available' END, false, false, NULL, false, false, false, NULL, NULL
+    FROM mux WHERE ext = '' OR length(url) % 7 = 0""",
+    "img", "vid2", "mux",
 )
 cte(
     "pred",
@@ -950,7 +954,16 @@ ORACLE = {
         count(*) FILTER (WHERE match_type IN ('PROBABLE_STRONG_MATCH', 'POSSIBLE_MATCH')) AS possible_matches, count(*) FILTER (WHERE match_type = 'NO_MATCH') AS rejections FROM camp GROUP BY 1""",
         "camp",
     ),
-    "campaign_results": sql("SELECT campaign_id, file, match_type, verdict, confidence, best_reference, num_frames_analyzed, social_adjustment FROM camp", "camp"),
+    "campaign_results": sql("SELECT campaign_id, file, match_type, verdict, confidence, best_reference, num_frames_analyzed, social_adjustment, source_url, error FROM camp", "camp"),
+    "campaign_analytics": sql(
+        f"""SELECT campaign_id, count(*) AS total_targets, count(*) FILTER (WHERE has AND social) AS social_targets, round(count(*) FILTER (WHERE has AND social) / count(*), 4) AS social_ratio,
+        round(count(*) FILTER (WHERE has AND round(aspect, 4) < 0.8) / count(*), 4) AS vertical_ratio, round(count(*) FILTER (WHERE has AND overlays) / count(*), 4) AS overlay_ratio,
+        round(count(*) FILTER (WHERE has AND subs) / count(*), 4) AS subtitle_ratio, round(count(*) FILTER (WHERE has AND mobile) / count(*), 4) AS mobile_screenshot_ratio,
+        coalesce(round(avg(round(level, 4)) FILTER (WHERE has), 4), 0.0::DOUBLE) AS average_compression, coalesce(round(avg(social_adjustment) FILTER (WHERE has), 4), 0.0::DOUBLE) AS average_social_adjustment,
+        array_to_string(list_filter([{', '.join(f"CASE WHEN count(*) FILTER (WHERE has AND pf = '{p}') > 0 THEN '{p}=' || count(*) FILTER (WHERE has AND pf = '{p}') END" for p in rp.PLATFORMS)}], lambda x: x IS NOT NULL), ',') AS platform_distribution
+        FROM (SELECT *, {platform('file', 'reasoning')} AS pf FROM camp) GROUP BY 1""",
+        "camp",
+    ),
     "debug_exports": sql(
         f"""SELECT target_id, filename AS frame_id, round(mx, 4) AS max_similarity, {rnd('av', 4)} AS avg_similarity, round(ct, 4) AS top_k_avg, round(conf, 4) AS smoothed_similarity, {rnd('fused', 4)} AS raw_score FROM img""",
         "img",

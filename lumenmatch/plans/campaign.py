@@ -16,6 +16,7 @@ RESULT = [
     "average_similarity", "best_reference", "best_frame", "num_references", "num_frames_analyzed", "threshold_used",
     "temporal_strength", "competitor_similarity", "ambiguity_score", "warnings", "social_adjustment",
 ]
+SOURCE = ("username", "source_url", "error")
 CONTEXT = (
     "is_social_media", "aspect_ratio", "has_overlays", "is_mobile_screenshot", "has_subtitles", "compression_level", "reasoning",
 )
@@ -27,14 +28,23 @@ def _context(video: bool):
     return F.struct(*[(F.lit(False) if n in missing else m[n]).alias(n) for n in CONTEXT])
 
 
-def campaign_results(targets: DataFrame, frames: DataFrame, banks: Banks, kernel: str = "jvm") -> DataFrame:
-    """Result rows of images and videos. ``targets`` has path, campaign, features and (for images) the vector;
-    ``frames`` belongs to the video targets by video_id = target_id. A video without frames is a NO_MATCH row."""
+def _source(df: DataFrame) -> DataFrame:
+    """Adds the columns of ``SOURCE`` that a target table lacks."""
+    return df.withColumns({c: F.lit(None).cast("string") for c in SOURCE if c not in df.columns})
+
+
+def campaign_results(
+    targets: DataFrame, frames: DataFrame, banks: Banks, kernel: str = "jvm", failures: DataFrame | None = None
+) -> DataFrame:
+    """Result rows of images, videos and failed fetches. ``targets`` has path, campaign, features, (for images) the vector and,
+    if fetched, username and source_url; ``frames`` belongs to the video targets by video_id = target_id; ``failures`` are rows
+    of ``attach_fetch_errors`` with their campaign. A video without frames and a failed fetch are NO_MATCH rows."""
+    targets = _source(targets)
     kind = media_type(F.col("filename"))
     images = match_images(targets.filter(kind != "video"), banks, kernel).withColumn("file", F.col("filename"))
     # the analytics read the adjustment from the explanation, where videos keep it
-    images = images.select(*RESULT, _context(video=False).alias("media_context"))
-    videos = targets.filter(kind == "video").select(F.col("target_id").alias("video_id"), KEY, F.col("filename").alias("_file"))
+    images = images.select(*RESULT, *SOURCE, _context(video=False).alias("media_context"))
+    videos = targets.filter(kind == "video").select(F.col("target_id").alias("video_id"), KEY, F.col("filename").alias("_file"), *SOURCE)
     matched = match_videos(frames, banks, kernel).withColumn("social_adjustment", F.col("explainability.social_adjustment"))
     joined = videos.join(matched.drop("filename"), ["video_id", KEY], "left").withColumn("file", F.col("_file")).withColumn("filename", F.col("_file"))
     empty = joined["match_type"].isNull()
@@ -50,4 +60,9 @@ def campaign_results(targets: DataFrame, frames: DataFrame, banks: Banks, kernel
             zero = defaults.get(name, F.lit(0).cast(joined.schema[name].dataType))
             filled.append(F.coalesce(F.col(name), zero).alias(name))
     context = F.when(~empty, _context(video=True)).alias("media_context")
-    return images.unionByName(joined.select(*filled, context))
+    out = images.unionByName(joined.select(*filled, *SOURCE, context))
+    if failures is None:
+        return out
+    have = set(failures.columns)
+    rows = [F.col(n) if n in have else defaults.get(n, F.lit(0).cast(out.schema[n].dataType)).alias(n) for n in RESULT]
+    return out.unionByName(_source(failures).select(*rows, *SOURCE, F.lit(None).cast(out.schema["media_context"].dataType).alias("media_context")))

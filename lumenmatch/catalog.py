@@ -421,11 +421,15 @@ def brand_verdict(spark, sf):
 
 
 def detect_brands(spark, sf):
-    """Documents as captions, conversations as OCR text and part colours, all keyed by the item number."""
+    """All six layers keyed by the item number: documents as captions, conversations as OCR text, part colours, event boxes,
+    targets with their prompt similarities. Each layer's score stays beside the verdict."""
     brand = pb.Brand(d.BRAND_TERMS[0], d.BRAND_TERMS[1:], d.HASHTAGS, d.KEYWORDS, d.PALETTE)
     items = d.captions(spark, sf).select("item_id")
-    out = pb.detect_brands(items, brand, captions=d.captions(spark, sf), ocr=d.ocr_rows(spark, sf), colors=d.colors(spark, sf), boxes=d.boxes(spark, sf))
-    return out.select("item_id", "verdict", "confidence", "confidence_raw", "label")
+    out = pb.detect_brands(
+        items, brand, captions=d.captions(spark, sf), ocr=d.ocr_rows(spark, sf), colors=d.colors(spark, sf), boxes=d.boxes(spark, sf),
+        scored=stats_only(spark, sf).withColumnRenamed("target_id", "item_id"), prompt_sims=d.prompt_sims(spark, sf),
+    )
+    return out.select("item_id", "verdict", "confidence", "confidence_raw", "label", *[r(f"{n}_score") for n in ev.LAYERS])
 
 
 # --- reports -----------------------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenmatch.functions.vectors import VECTOR, dot, l2_normalize, vector_sum
 from lumenmatch.operators.banks import KEY
-from lumenmatch.session import shared_dir
+from lumenmatch.session import shared_dir, staged
 
 LOCAL_REFS = 2048  # campaigns up to this size are clustered inside one group; larger ones by distributed rounds
 ASSIGNMENT = f"{KEY} long, ref_id long, cluster_idx int, recentred boolean"
@@ -36,7 +36,11 @@ COHESION_LABELS = ("Brand Logo & Focus", "Product & Drink Close-ups", "Ambient /
 
 
 def farthest_first(bank: DataFrame, k: int = 4) -> DataFrame:
-    """Seed centres (campaign_id, cluster_idx, ref_id, centroid): each next seed is farthest from the chosen ones."""
+    """Seed centres (campaign_id, cluster_idx, ref_id, centroid): each next seed is farthest from the chosen ones.
+
+    The chosen ones are one row per campaign, written after each step: a step reads them twice, and unwritten plans would
+    double with every step.
+    """
     refs = bank.select(KEY, "ref_id", F.col("embedding").cast(VECTOR).alias("e"))
     seeds = refs.groupBy(KEY).agg(F.min_by(F.struct("ref_id", "e"), "ref_id").alias("s"), F.count("*").alias("n")).select(
         KEY, "n", F.array(F.col("s.ref_id")).alias("ids"), F.array(F.col("s.e")).alias("centers")
@@ -48,10 +52,13 @@ def farthest_first(bank: DataFrame, k: int = 4) -> DataFrame:
             .groupBy(KEY)
             .agg(F.max_by(F.struct("ref_id", "e"), F.struct(nearest, -F.col("ref_id"))).alias("s"))
         )
-        seeds = seeds.join(far, KEY, "left").select(
-            KEY, "n",
-            F.when(F.col("s").isNull(), F.col("ids")).otherwise(F.array_append("ids", F.col("s.ref_id"))).alias("ids"),
-            F.when(F.col("s").isNull(), F.col("centers")).otherwise(F.array_append("centers", F.col("s.e"))).alias("centers"),
+        seeds = staged(
+            seeds.join(far, KEY, "left").select(
+                KEY, "n",
+                F.when(F.col("s").isNull(), F.col("ids")).otherwise(F.array_append("ids", F.col("s.ref_id"))).alias("ids"),
+                F.when(F.col("s").isNull(), F.col("centers")).otherwise(F.array_append("centers", F.col("s.e"))).alias("centers"),
+            ),
+            "seeds",
         )
     return seeds.select(KEY, F.posexplode(F.arrays_zip("ids", "centers")).alias("cluster_idx", "s")).select(
         KEY, "cluster_idx", F.col("s.ids").alias("ref_id"), F.col("s.centers").alias("centroid")
@@ -69,7 +76,8 @@ def _assign(refs: DataFrame, centers: DataFrame) -> DataFrame:
 def _distributed_rounds(bank: DataFrame, k: int, iters: int) -> DataFrame:
     """Rounds over all given campaigns together; a checkpoint per round cuts the lineage."""
     shared_dir(bank.sparkSession)
-    refs = bank.select(KEY, "ref_id", F.col("embedding").cast(VECTOR).alias("e"))
+    bank = staged(bank.select(KEY, "ref_id", F.col("embedding").cast(VECTOR).alias("embedding")), "refs")
+    refs = bank.withColumnRenamed("embedding", "e")
     centers = farthest_first(bank, k).select(KEY, "cluster_idx", "centroid").checkpoint()
     current = _assign(refs, centers).withColumn("recentred", F.lit(True)).checkpoint()
     frozen = current.groupBy(KEY).agg(F.max("cluster_idx").alias("top"), F.count("*").alias("n")).select(

@@ -583,14 +583,23 @@ def verdicts(source: str) -> str:
 
 
 cte("fus", fusion("evi", ev.LAYERS), "evi")
+cte(
+    "prm",
+    f"""SELECT item_id, 'prompt' AS layer, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (b - 0.21) / 0.07)) AS score, b >= 0.23 AND b > ng + 0.01 AS fired,
+        printf('Best brand sim: %.3f (''prompt %d''), best neg: %.3f, diff: %.3f', b, bi, ng, b - ng) AS evidence, 0.8::DOUBLE AS weight FROM (
+        SELECT item_id, max(s) FILTER (WHERE i % 8 <> 7) AS b, first(i ORDER BY s DESC, i) FILTER (WHERE i % 8 <> 7) AS bi, max(s) FILTER (WHERE i % 8 = 7) AS ng
+        FROM (SELECT target_id AS item_id, unnest(generate_series(0, 63)) AS i, 0.2::DOUBLE + unnest(e) * 0.2::DOUBLE AS s FROM tgt) GROUP BY 1)""",
+    "tgt",
+)
 cte(
     "lay",
     """SELECT item_id, 'caption' AS layer, score, fired, 0.7::DOUBLE AS weight FROM cap UNION ALL SELECT item_id, 'ocr', score, fired, 0.7::DOUBLE FROM ocr
-    UNION ALL SELECT item_id, 'detection', score, fired, 0.7::DOUBLE FROM detl UNION ALL SELECT item_id, 'color', score, score > 0.70, 0.3::DOUBLE FROM colr""",
-    "cap", "ocr", "detl", "colr",
+    UNION ALL SELECT item_id, 'detection', score, fired, 0.7::DOUBLE FROM detl UNION ALL SELECT item_id, 'color', score, score > 0.70, 0.3::DOUBLE FROM colr
+    UNION ALL SELECT target_id, 'image', mx * 0.7 + av * 0.3, mx * 0.7 + av * 0.3 > 0.75, 4.0::DOUBLE FROM tstat UNION ALL SELECT item_id, layer, score, fired, weight FROM prm""",
+    "cap", "ocr", "detl", "colr", "tstat", "prm",
 )
 cte("docs", "SELECT doc_id AS item_id FROM documents")
-cte("dfus", fusion("lay", {**{n: 0.0 for n in ev.LAYERS}, "caption": 0.7, "detection": 0.7, "ocr": 0.7, "color": 0.3}, "docs"), "lay", "docs")
+cte("dfus", fusion("lay", {**{n: 0.0 for n in ev.LAYERS}, "caption": 0.7, "detection": 0.7, "ocr": 0.7, "color": 0.3, "prompt": 0.8}, "docs"), "lay", "docs")
 cte(
     "lst",
     f"""SELECT '/media/c' || campaign_id || '/' || CASE role WHEN 'reference' THEN {pick(['positive_refs/', 'positives/', 'refs/', 'references/deep/', ''], 'p % 5')}
@@ -920,7 +929,9 @@ ORACLE = {
     "hex_colors": """SELECT p_partkey, printf('#%06x', v) AS hex, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b FROM (SELECT p_partkey, (p_partkey * 2654435) % 16777216 AS v FROM part)""",
     "ensemble": sql(f"SELECT item_id, fired_count, {rnd('es')} AS ensemble_score FROM fus", "fus"),
     "brand_verdict": sql(verdicts("fus"), "fus"),
-    "detect_brands": sql(verdicts("dfus"), "dfus"),
+    "detect_brands": sql(
+        f"SELECT v.*, {', '.join(f'{rnd(n + chr(95) + chr(115))} AS {n}_score' for n in ev.LAYERS)} FROM ({verdicts('dfus')}) v JOIN dfus USING (item_id)", "dfus"
+    ),
     "score_distribution": sql(
         f"""SELECT seq_id, n, round(m, 4) AS mean, round(med, 4) AS median, round(sd, 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max,
         {rnd('CASE WHEN n >= 3 AND sd > 0.001 THEN s3 / sd ** 3 ELSE 0 END', 4)} AS skewness, bin_0, bin_1, bin_2, bin_3, bin_4,

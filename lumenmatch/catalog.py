@@ -365,12 +365,12 @@ def brand_mentions(spark, sf):
 
 def ocr_evidence(spark, sf):
     o = mn.ocr_evidence(d.ocr_rows(spark, sf), d.BRAND_TERMS, d.HASHTAGS)
-    return o.select("item_id", "ocr_head", r("avg_conf"), F.array_join("matched_terms", "|").alias("matched_terms"), r("score"), "fired", "weight")
+    return o.select("item_id", "ocr_head", r("avg_conf"), F.array_join("matched_terms", "|").alias("matched_terms"), r("score"), "fired", "weight", "evidence")
 
 
 def caption_evidence(spark, sf):
     c = mn.caption_evidence(d.captions(spark, sf), [*d.BRAND_TERMS, *d.KEYWORDS])
-    return c.select("item_id", F.array_join("matched_terms", "|").alias("matched_terms"), r("score"), "fired", "weight")
+    return c.select("item_id", F.array_join("matched_terms", "|").alias("matched_terms"), r("score"), "fired", "weight", "evidence")
 
 
 def prompt_table(spark, sf):

@@ -66,6 +66,11 @@ def brand_mentions(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     return df.withColumn("term", F.explode(found)).withColumn("exact", F.contains("_norm", normalize_text(F.col("term")))).drop("_norm", "_words")
 
 
+def quoted(terms: Column) -> Column:
+    """Terms as a bracketed list of quoted texts."""
+    return F.concat(F.lit("["), F.array_join(F.transform(terms, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
+
+
 def ocr_evidence(ocr: DataFrame, brand_terms: list[str], hashtags: list[str], chunk: int = CHUNK) -> DataFrame:
     """OCR layer per item from (item_id, seq, text, conf) rows.
 
@@ -114,8 +119,11 @@ def ocr_evidence(ocr: DataFrame, brand_terms: list[str], hashtags: list[str], ch
         .otherwise(0.0)
     )
     matched = distinct_terms(F.col("brand_matched"), F.col("hashtag_matched"))
+    head_text = F.coalesce(F.substring("_text", 1, EVIDENCE_CHARS), F.lit(""))
+    # fixed value: form of the evidence text
+    evidence = F.concat(F.lit("OCR text: '"), head_text, F.lit("' | Brand: "), quoted(F.col("brand_matched")), F.lit(" | Hashtags: "), quoted(F.col("hashtag_matched")))
     return df.select(
-        "item_id", F.substring("_text", 1, EVIDENCE_CHARS).alias("ocr_head"), "avg_conf", matched.alias("matched_terms"),
+        "item_id", F.substring("_text", 1, EVIDENCE_CHARS).alias("ocr_head"), "avg_conf", matched.alias("matched_terms"), evidence.alias("evidence"),
         "brand_matched", "hashtag_matched", score.alias("score"), (F.size(matched) > 0).alias("fired"), F.lit(0.7).alias("weight"),
     )
 
@@ -131,7 +139,9 @@ def caption_evidence(captions: DataFrame, terms: list[str]) -> DataFrame:
     scene = F.arrays_overlap(F.split(F.regexp_replace("caption", f"{SPACE}+", " "), " "), F.array(*[F.lit(w) for w in SCENE_WORDS]))
     n = F.size("matched_terms")
     score = F.when(n > 0, F.least(F.lit(1.0), n * 0.5)).when(scene, 0.25).otherwise(0.0)
-    return df.select("item_id", "caption", "matched_terms", score.alias("score"), (n > 0).alias("fired"), F.lit(0.7).alias("weight"))
+    # fixed value: form of the evidence text
+    evidence = F.concat(F.lit("Caption: '"), F.col("caption"), F.lit("' | Matched: "), quoted(F.col("matched_terms")))
+    return df.select("item_id", "caption", "matched_terms", evidence.alias("evidence"), score.alias("score"), (n > 0).alias("fired"), F.lit(0.7).alias("weight"))
 
 
 

@@ -513,11 +513,17 @@ cte(
     FROM (SELECT *, string_split(nt, ' ') AS ws FROM (SELECT *, {normalized('txt')} AS nt FROM convn)))""",
     "convn",
 )
+
+
+def quoted(terms: str) -> str:
+    return f"('[' || array_to_string(list_transform({terms}, lambda t: chr(39) || t || chr(39)), ', ') || ']')"
+
+
 _caption_terms = list(dict.fromkeys(t.lower() for t in [*d.BRAND_TERMS, *d.KEYWORDS]))
 cte(
     "cap",
-    f"""SELECT item_id, mt, CASE WHEN len(mt) > 0 THEN least(1.0::DOUBLE, len(mt) * 0.5) WHEN scene THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS score, len(mt) > 0 AS fired
-    FROM (SELECT doc_id AS item_id, list_filter([{', '.join(lit(t) for t in _caption_terms)}], lambda t: contains(c, t)) AS mt,
+    f"""SELECT item_id, c, mt, CASE WHEN len(mt) > 0 THEN least(1.0::DOUBLE, len(mt) * 0.5) WHEN scene THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS score, len(mt) > 0 AS fired
+    FROM (SELECT doc_id AS item_id, c, list_filter([{', '.join(lit(t) for t in _caption_terms)}], lambda t: contains(c, t)) AS mt,
     len(list_intersect(string_split(regexp_replace(c, '{SPACE}+', ' ', 'g'), ' '), [{', '.join(lit(w) for w in mn.SCENE_WORDS)}])) > 0 AS scene
     FROM (SELECT doc_id, {stripped('lower(text)')} AS c FROM documents))""",
 )
@@ -889,9 +895,9 @@ ORACLE = {
     "text_normalize": sql("SELECT doc_id, md5(nt) AS digest, length(nt) AS n, contains(nt, 'anble') AS has_term FROM docn", "docn"),
     "brand_mentions": sql(f"SELECT doc_id, t.term, contains(nt, t.term) AS exact FROM docn, {values(d.BRAND_TERMS)} t(i, term) WHERE contains(nt, t.term) OR {close('ws', 't.term')}", "docn"),
     "ocr_evidence": sql(
-        f"SELECT item_id, substr(txt, 1, 200) AS ocr_head, {rnd('conf')} AS avg_conf, array_to_string(list_concat(bm, tm), '|') AS matched_terms, {rnd('score')} AS score, fired, 0.7::DOUBLE AS weight FROM ocr", "ocr"
+        f"SELECT item_id, substr(txt, 1, 200) AS ocr_head, {rnd('conf')} AS avg_conf, array_to_string(list_concat(bm, tm), '|') AS matched_terms, {rnd('score')} AS score, fired, 0.7::DOUBLE AS weight, {lit('OCR text: ' + chr(39))} || substr(txt, 1, 200) || {lit(chr(39) + ' | Brand: ')} || {quoted('bm')} || ' | Hashtags: ' || {quoted('tm')} AS evidence FROM ocr", "ocr"
     ),
-    "caption_evidence": sql(f"SELECT item_id, array_to_string(mt, '|') AS matched_terms, {rnd('score')} AS score, fired, 0.7::DOUBLE AS weight FROM cap", "cap"),
+    "caption_evidence": sql(f"SELECT item_id, array_to_string(mt, '|') AS matched_terms, {rnd('score')} AS score, fired, 0.7::DOUBLE AS weight, {lit('Caption: ' + chr(39))} || c || {lit(chr(39) + ' | Matched: ')} || {quoted('mt')} AS evidence FROM cap", "cap"),
     "prompt_table": sql(
         f"""SELECT brand_id, prompt_kind, row_number() OVER (PARTITION BY brand_id ORDER BY k, i, ti) - 1 AS prompt_idx, prompt FROM (
         SELECT brand_id, 'brand' AS prompt_kind, 0 AS k, i, ti, replace(tpl, '{{}}', name) AS prompt FROM brandn, {values(mn.PROMPT_TEMPLATES)} t(ti, tpl) WHERE regexp_matches(name, '^[\\x00-\\x7F]*$')

@@ -79,10 +79,10 @@ def _parities(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, PARITIES)
 
 
-def signed_rows(docs: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS, rows: int = ROWS, text: str = "text") -> DataFrame:
-    """row (all columns), doc_id, text, node (key of the shingle set), n_shingles, parity and bands (arrays of long) of every
-    row, in one pass; node, parity and bands are null for an empty set."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col(text).cast("string").alias("text"))
+def signed_rows(docs: DataFrame, keep: tuple[str, ...], width: int = WIDTH, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """row (columns ``keep``), doc_id, text, node (key of the shingle set), n_shingles, parity and bands (arrays of long) of every
+    row, in one pass; node, parity and bands are null for an empty set. A kept text is not stored a second time in row."""
+    packed = docs.select(F.struct(F.lit(True).alias("__row"), *(c for c in keep if c != "text")).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in packed.schema]
         + T.StructType.fromDDL("node binary, n_shingles long, parity array<long>, bands array<long>").fields
@@ -182,8 +182,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """row (a struct of all columns), n_shingles, component_id and kept of every row of ``docs`` (doc_id, text, ...).
+def near_duplicates(
+    docs: DataFrame, keep: tuple[str, ...] | None = None, width: int = WIDTH, link: int = LINK, permutations: int = PERMUTATIONS, rows: int = ROWS
+) -> DataFrame:
+    """row (a struct of the columns ``keep``, by default all), n_shingles, component_id and kept of every row of ``docs`` (doc_id,
+    text, ...).
 
     1. Texts with equal shingle sets become one node, by a grouping with partial results.
     2. Every node is banded. In each bucket all members are held against one centre: the member that lies in the most and
@@ -196,7 +199,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK, permu
     as any equal texts; rows without doc_id never name a component; one without any named row has a null component_id, and
     its rows are kept; an empty table gives no rows. Other columns stay in row.
     """
-    signed = staged(signed_rows(docs, width, permutations, rows), "signed")
+    keep = tuple(docs.columns) if keep is None else keep
+    signed = staged(signed_rows(docs, keep, width, permutations, rows), "signed")
     nodes = staged(
         signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.struct(F.first("n_shingles").alias("n"), F.first("parity").alias("parity")).alias("sketch"), F.first("bands").alias("bands")),
         "nodes",
@@ -233,9 +237,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK, permu
     least = final.join(nodes.select("node", "doc_id"), "node")
     names = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = least.select("node", "root").join(names, "root").select("node", "component_id")
-    out = signed.select("row", "doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("row", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    row = F.struct(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in keep)).alias("row")
+    out = signed.select(row, F.col("doc_id").alias("__id"), "n_shingles", "node").join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id"))
+    return out.select("row", "n_shingles", component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, link: int) -> DataFrame:

@@ -50,8 +50,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minmax.near_duplicates(docs).select("row.doc_id", "n_shingles", "component_id", "kept")
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("row.doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,7 @@ def competitor_eval(df: DataFrame) -> DataFrame:
     penalty = F.when(active & (o > 0.60), F.least(F.lit(0.35), raw * (1.0 / (1.0 + F.exp(-12.0 * (o - 0.68)))))).otherwise(0.0)
     df = df.withColumn("_pen", penalty)
     ambiguous = active & ((F.col("_amb") > 0.45) | (F.col("_best") > 0.72))
+    # fixed value: form of the warning
     text = F.format_string(
         "Competitor match '%s' (similarity: %.3f) is very close to campaign positive (similarity: %.3f). "
         "Active margin: %.3f. Competitor penalty applied: %.3f.",

@@ -16,8 +16,9 @@ from lumenmatch.llm.arrow import fields, map_batches
 
 #: White space as the library's pattern engine takes it (Unicode White_Space); fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Segments that a worker remembers (and half as many pieces and starts of pieces); beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Segments that a worker remembers newly before those not used since the last time are dropped (so at most twice as many);
+#: half as many pieces and starts of pieces, which start anew beyond that.
+REMEMBERED = 250_000
 #: Bytes after which the table of last tokens of a piece's start is remembered, for pieces that go on from it.
 STARTS = (4, 7, 10)
 
@@ -72,6 +73,7 @@ class Codec:
         self.segments = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
         self.tables: dict[bytes, list[int]] = {}
         self.spelt = dict(zip(self.ranks.values(), self.ranks))
@@ -87,7 +89,7 @@ class Codec:
         """Whether the merges leave ``left`` and ``right`` as they are side by side."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > REMEMBERED:
+            if len(self.fits) > 2 * REMEMBERED:
                 self.fits.clear()
             known = self.fits[(left, right)] = self._valid(left, right)
         return known
@@ -170,9 +172,12 @@ class Codec:
         for s in self.segments(text):
             ids = known.get(s)
             if ids is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = self.segment(s)
+                ids = self.older.get(s)
+                if ids is None:
+                    ids = self.segment(s)
+                if len(known) >= REMEMBERED:
+                    self.older, self.known = known, {}
+                    known = self.known
                 if len(s) <= 64:
                     known[s] = ids
             out.append(ids)

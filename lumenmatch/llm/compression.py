@@ -81,20 +81,26 @@ def fit_line(points: list[tuple[float, int, float]]) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> Model:
     """Model of the labelled rows for which ``learn`` (over doc_id) holds.
 
-    Of each class the rows that come first by a hash of doc_id are taken: SAMPLE for its dictionary and CALIBRATION others
-    for the line, where each class weighs as much as it has labels. Rows with a null doc_id, text or label and contradicting
-    labels of one doc_id are not learnt from. With no rows of a class its dictionary is empty, and with none at all every
-    score is one half.
+    Of each class the labels that come first by a hash of doc_id are taken: SAMPLE for its dictionary and CALIBRATION others
+    for the line, where each class weighs as much as it has labels. Only those ids, a fixed number, are sent to the tasks that
+    look for their texts, so no text is shuffled. Rows with a null doc_id, text or label, texts over LARGEST bytes and
+    contradicting labels of one doc_id are not learnt from; of several texts of an id the first in order is. With no rows of a class its dictionary is empty, and with none at
+    all every score is one half.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("__label")).filter("doc_id is not null and __label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__high")).filter("__label = __high").filter(learn)
-    rows = docs.select("doc_id", F.col("text").alias("__text")).filter(F.col("__text").isNotNull() & (F.octet_length("__text") <= LARGEST)).join(known, "doc_id")
     shares = {r["__label"]: r["n"] for r in known.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     bytes_, points = {}, []
+    chosen = known.filter("__label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE + CALIBRATION).unionByName(
+        known.filter("__label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE + CALIBRATION)
+    )
+    wanted = docs.select("doc_id", F.col("text").alias("__text")).filter(F.octet_length("__text") <= LARGEST)
+    # one text for an id, however many rows have it
+    found = wanted.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("doc_id").alias("__at"), "doc_id", "__label").agg(F.min("__text").alias("__text")).collect()
+    found.sort(key=lambda r: (r["__at"], r["doc_id"]))
     for side in (0, 1):
-        first = rows.filter(F.col("__label") == side).orderBy(F.xxhash64("doc_id"), "doc_id", "__text").limit(SAMPLE + CALIBRATION).collect()
-        texts = [r["__text"].encode() for r in first]
+        texts = [r["__text"].encode() for r in found if r["__label"] == side]
         held = min(CALIBRATION, len(texts) // 5)
         bytes_[side] = dictionary([t for t in texts[held:] if t])
         points.append((side, texts[:held]))

@@ -1,4 +1,4 @@
-"""Line deduplication by content-defined chunks of lines, in DataFrame functions only."""
+"""Line deduplication by content-defined chunks of lines, or by all repeated runs of lines, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -86,3 +86,56 @@ def dedup_lines(docs: DataFrame, roll: int = ROLL, divisor: int = DIVISOR) -> Da
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns, *[c for c in ("removed_lines", "removed_chunks") if c not in docs.columns])
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, place (from 0) of every line that equals, with the next one, an earlier two neighbouring lines.
+
+    Every place of every text is tried, so no run of two equal lines or more is missed, whatever stands around it. Earlier: by
+    (doc_id, text hash, place), nulls first, and without a line in common: of a line that fills three neighbouring ones, the
+    first copy stays whole. Rows that are equal in doc_id and text are one document here.
+
+    Pairs are first counted by hash; those of repeated hashes move as SHA-256 digests of their bytes, not as texts. Both
+    tables that are joined back are written first, so that Spark may split hot keys on either side.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    couples = _bind(lines, lambda x: F.when(F.size(x) > 1, F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat_ws("\n", F.get(x, i), F.get(x, i + 1)))))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(couples).alias("place", "pair"))
+    hashed = rows.select("doc_id", "text_hash", "place", F.xxhash64("pair").alias("pair_hash"), F.unhex(F.sha2("pair", 256)).alias("digest"))
+    twice = staged(hashed.groupBy("pair_hash").agg(F.count("*").alias("n")).filter("n > 1").select("pair_hash"), "twice")
+    candidates = staged(hashed.join(twice, "pair_hash", "left_semi").drop("pair_hash"), "pairs")
+    at = F.struct("doc_id", "text_hash", "place")
+    firsts = staged(candidates.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return candidates.join(firsts, "digest").filter(~(same & (F.col("place") < F.col("first.place") + 2))).select("doc_id", "text_hash", "place")
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """As ``dedup_lines``, but every run of two lines or more that stands earlier is taken out as a whole, not in chunks.
+
+    A line goes if it and a neighbour equal, byte for byte, two neighbouring lines before them. So every different line stays
+    somewhere: the earliest place of a line is never in a repeated pair. removed_chunks counts the stretches taken out.
+    """
+    places = repeated_pairs(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("place").alias("__places"))
+    gone = places.select("__id", "__hash", F.array_union("__places", F.transform("__places", lambda i: i + 1)).alias("__gone"))
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    # array_except and array_union work by hashing, so a text of many lines takes linear time
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
+    rest = _bind(F.split("text", "\n", -1), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
+    stretches = F.size(F.array_except("__gone", F.transform("__gone", lambda i: i + 1)))
+    out = joined.withColumns(
+        {
+            "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest),
+            "removed_lines": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
+            "removed_chunks": F.when(F.col("__gone").isNull(), 0).otherwise(stretches).cast("long"),
+        }
+    )
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns, *[c for c in ("removed_lines", "removed_chunks") if c not in docs.columns])

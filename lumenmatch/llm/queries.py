@@ -62,7 +62,7 @@ def op7_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linechunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return linechunks.dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "removed_lines", "removed_chunks", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
     )
 

@@ -16,15 +16,16 @@ from lumenmatch.llm.arrow import fields, map_batches
 
 #: Element names by their role in HTML; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math title textarea canvas audio video select button".split())
+RAW = frozenset("script style noscript template iframe svg title textarea canvas select button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split()
 )
+LISTS = frozenset("dl ol ul".split())
 CONTAINERS = frozenset("article aside body details dialog div fieldset footer form header main menu nav section table td".split())
 #: Elements that an opening tag of the same group ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements, roles and words of class or id that mark what is not the article.
+#: Elements and roles that are not the article, words of class or id that speak against it, and words that speak for it.
 DROPPED_TAGS = frozenset("nav aside footer form menu dialog head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 DROPPED_WORDS = frozenset(
@@ -32,8 +33,10 @@ DROPPED_WORDS = frozenset(
     "sidebar aside footer masthead cookie cookies consent footer gdpr notice alert popup modal overlay comment comments commentlist disqus respond reply replies "
     "share sharing social related recommended newsletter subscribe signup login search pagination pager widget toolbar skip".split()
 )
-#: Words counted in favour of and against a container before any page is seen.
+ARTICLE_WORDS = frozenset("article content entry post".split())
+#: Words counted in favour of and against a container before any page is seen; AGAINST in one whose names speak against it.
 PRIOR = {"article": (30.0, 1.0), "main": (30.0, 1.0)}
+AGAINST = (1.0, 30.0)
 NEUTRAL = (3.0, 2.0)
 #: What a tag costs, the bounds of a word's score, and how many kinds of containers a model holds.
 TAG_COST, BOUND, KINDS = 0.02, 3.0, 2000
@@ -44,7 +47,8 @@ _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    """Text of one block: its kind of container, whether it stands in the article by mark-up, and tags before it."""
+    """Text of one block: its kind of container (with ``~`` and words, if names speak against it), whether it stands in the
+    article by mark-up, and tags before it."""
 
     __slots__ = ("text", "kind", "inside", "tags")
 
@@ -63,10 +67,23 @@ def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return False
     if attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    words = {w.lower() for w in _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    if "header" in words and not in_article and not words & {"article", "content", "entry", "post"}:
+    tokens = attributes.get("class", "").split()
+    words = {w.lower() for t in (*tokens, attributes.get("id", "")) for w in _NAME.findall(t)}
+    if "header" in words and not in_article and not words & ARTICLE_WORDS:
         return True
-    return not words.isdisjoint(DROPPED_WORDS)
+    return in_article and tag in CONTAINERS | LISTS and any(t.lower() in DROPPED_WORDS for t in tokens)
+
+
+def _against(attributes: dict[str, str], in_main: bool) -> str:
+    """Words of class or id that speak against an element outside an article; nothing if another of its names speaks for it.
+
+    Within main a name must be such a word as a whole.
+    """
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    split = [{n.lower()} if in_main else {w.lower() for w in _NAME.findall(n)} for n in names]
+    if any(w & ARTICLE_WORDS and not w & DROPPED_WORDS for w in split):
+        return ""
+    return ".".join(sorted(set().union(*split) & DROPPED_WORDS)) if split else ""
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
@@ -76,17 +93,22 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     end doesn't hide the page.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, kind of container, dropped, in the article
+    # tag, kind of container, dropped, 1 in main and 2 in an article, words against it
+    outside = ("", "body", False, 0, "")
+    stack: list[tuple[str, str, bool, int, str]] = []
+    in_main: list[Block] = []
     held: list[str] = []
-    tags, marked, at = 0, False, 0
+    tags, marked, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal tags
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         held.clear()
         if text:
-            top = stack[-1] if stack else ("", "body", False, False)
-            out.append(Block(text, top[1], top[3], tags))
+            top = stack[-1] if stack else outside
+            out.append(Block(text, f"{top[1]}~{top[4]}" if top[4] else top[1], top[3] > 0, tags))
+            if top[3] == 1 and top[4]:
+                in_main.append(out[-1])
             tags = 0
 
     def pop(keep: int) -> None:
@@ -134,28 +156,36 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table") or stack[i][0] in CONTAINERS - {"td"}:
                     break
-        parent = stack[-1] if stack else ("", "body", False, False)
+        parent = stack[-1] if stack else outside
         if tag in ("article", "main", "body") and parent[2]:
             first = next(i for i, s in enumerate(stack) if s[2])
             if tag == "body" or stack[first][0] not in ("form",) and "comment" not in stack[first][1]:
                 pop(first)
-                parent = stack[-1] if stack else ("", "body", False, False)
+                parent = stack[-1] if stack else outside
         attributes = _attributes(m[2])
-        dropped = parent[2] or _dropped(tag, attributes, parent[3])
-        inside = parent[3] or (tag in ("article", "main") and not dropped)
-        marked |= inside
+        dropped = parent[2] or _dropped(tag, attributes, parent[3] > 0)
+        level, against = parent[3], parent[4]
+        if tag in ("article", "main", "body"):
+            if not dropped and "comment" not in against:
+                level, against = max(level, ("body", "main", "article").index(tag)), ""
+        elif tag in CONTAINERS | LISTS and level < 2 and not against:
+            against = _against(attributes, level == 1)
+        marked = max(marked, level)
         kind = parent[1]
         if tag in CONTAINERS:
             words = sorted({w.lower() for w in _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")})
             kind = ".".join([tag, *words[:4]])
-        stack.append((tag, kind, dropped, inside))
+        stack.append((tag, kind, dropped, level, against))
     flush()
-    return out, marked
+    if marked == 2:  # comments and the like in main, outside the article proper
+        for b in in_main:
+            b.inside = False
+    return out, marked > 0
 
 
 def weight(content: float, other: float, kind: str) -> float:
     """Score of a word in a kind of container, from the words seen inside and outside of articles."""
-    before = PRIOR.get(kind.split(".")[0], NEUTRAL)
+    before = AGAINST if "~" in kind else PRIOR.get(kind.split(".")[0], NEUTRAL)
     return max(-BOUND, min(BOUND, math.log((content + before[0]) / (other + before[1]))))
 
 
@@ -176,6 +206,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best region, joined by line breaks."""
     found, _ = blocks(page)
     scores = [len(b.text.split()) * weights.get(b.kind, weight(0, 0, b.kind)) - TAG_COST * min(b.tags, 20) for b in found]
+    # what its names speak against, and no page seen for, parts no region
+    scores = [max(s, 0.0) if "~" in b.kind else s for b, s in zip(found, scores)]
     start, end = best_region(scores)
     return "\n".join(b.text for b, s in zip(found[start:end], scores[start:end]) if s > 0)
 
@@ -207,8 +239,10 @@ def learn_weights(pages: DataFrame, kinds: int = KINDS) -> dict[str, float]:
 def extract_articles(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), weights: dict[str, float] | None = None) -> DataFrame:
     """``keep`` columns, text and n_chars (code points) of every page (html).
 
-    A page is a row of blocks. Scripts, styles, forms, menus, headers (outside an article), footers, sidebars, adverts,
-    notices and comments are dropped by element, role or name of class or id. A word of another block scores what ``weights``
+    A page is a row of blocks. Scripts, styles, forms, menus, headers (outside an article), footers and sidebars are dropped by
+    element or role; within an article or main also containers and lists (not headings, paragraphs or spans) with a class that
+    is as a whole a word for adverts, notices, comments and the like. Elsewhere such words in class or id of a container are
+    part of its kind, which scores little unless pages tell otherwise. A word of a block scores what ``weights``
     (default: learnt from all pages) give its kind of container, a tag costs a little, and the contiguous blocks with the
     largest sum are the text, less blocks among them that score nothing.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmatch.llm import article, bpe, chat, compression, linechunks, minmax, rules, seeds, suffixes, warc
+from lumenmatch.llm import article, bpe, chat, compression, divergence, linechunks, minmax, rules, seeds, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,9 +84,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_suffix_dedup, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op7_article, op8_line_dedup, op9_compression_quality, op10_decontamination)
+    for f in (op1_chat_formatting, op2_suffix_dedup, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op7_article, op8_line_dedup, op9_compression_quality, op10_decontamination, op13_source_divergence)
 }
 
 

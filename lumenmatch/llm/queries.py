@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmatch.llm import article, bpe, chat, compression, divergence, linechunks, minmax, rules, seeds, suffixes, warc, whitening
+from lumenmatch.llm import article, bpe, chat, compression, divergence, linechunks, minmax, phrases, rules, seeds, suffixes, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,13 +88,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_suffix_dedup, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op7_article, op8_line_dedup, op9_compression_quality, op10_decontamination, op11_whitening, op13_source_divergence)
+    for f in (op1_chat_formatting, op2_suffix_dedup, op3_warc, op4_quality_rules, op5_minhash, op6_bpe, op7_article, op8_line_dedup, op9_compression_quality, op10_decontamination, op11_whitening, op12_substring_dedup, op13_source_divergence)
 }
 
 

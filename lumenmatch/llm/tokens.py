@@ -30,10 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = _SPACES, letters: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of each word of the lower-cased texts, and the n + 1 offsets of the texts' words.
 
-    A word is a run of bytes outside ``spaces`` within one text.
+    A word is a run of bytes outside ``spaces`` within one text; ``letters`` are the byte values that its hash is made of.
     """
     inside = ~spaces[data]
     start = inside.copy()
@@ -51,7 +51,7 @@ def words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = _SPACES) -
     size = ends - starts
     longest = int(size.max())
     with np.errstate(over="ignore"):
-        low = _LOWER[data].astype(np.uint64) + np.uint64(1)
+        low = letters[data].astype(np.uint64) + np.uint64(1)
         low[~inside] = 0
         place = np.zeros(len(data), np.int64)
         place[starts] = starts

@@ -360,7 +360,18 @@ def text_normalize(spark, sf):
 
 
 def brand_mentions(spark, sf):
-    return mn.brand_mentions(d.table(spark, sf, "documents"), "text", d.BRAND_TERMS).select("doc_id", "term", "exact")
+    return mn.brand_mentions(d.table(spark, sf, "documents"), ["doc_id"], "text", d.BRAND_TERMS)
+
+
+def term_table_mentions(spark, sf):
+    """Hundreds of terms as a table: words of benchmark items and their first two words."""
+    return mn.brand_mentions(d.table(spark, sf, "documents"), ["doc_id"], "text", d.mention_terms(spark, sf))
+
+
+def ocr_term_table(spark, sf):
+    """The OCR layer over the same table of terms."""
+    o = mn.ocr_evidence(d.ocr_rows(spark, sf), d.mention_terms(spark, sf), d.HASHTAGS)
+    return o.select("item_id", F.array_join("brand_matched", "|").alias("brand_matched"), F.array_join("hashtag_matched", "|").alias("hashtag_matched"), r("score"), "fired")
 
 
 def ocr_evidence(spark, sf):
@@ -576,7 +587,7 @@ QUERIES = {
         competitor_eval, thresholds, calibrate, boosts, verdict, match_images, diagnostics, explain, failure_cases,
         spike_suppression, kernel_smoothing, continuity, stable_segments, temporal_strength, best_until_confident, match_videos,
         shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames, dedupe_frames_rounds, keyframe_match,
-        media_context, text_normalize, brand_mentions, ocr_evidence, caption_evidence, prompt_table, class_table, image_layer,
+        media_context, text_normalize, brand_mentions, term_table_mentions, ocr_term_table, ocr_evidence, caption_evidence, prompt_table, class_table, image_layer,
         prompt_layer, detections, detection_layer, color_layer, hex_colors, ensemble, brand_verdict, detect_brands,
         score_distribution, social_analytics, run_summary, evaluation, evaluation_predictions, campaign_report, campaign_results, campaign_analytics,
         debug_exports, debug_matches, debug_headers, flatten_results, list_media, list_targets, resolve_roles, scan_posts, bank_fingerprint, posts_clean, media_urls, union_targets,

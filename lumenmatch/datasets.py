@@ -240,6 +240,14 @@ KEYWORDS = ["that", "Reaux", "onst"]
 PALETTE = ["#FF0000", "#00704A", "#1e3932", "#ffffff"]
 
 
+def mention_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos, term: the words of five letters or more of all benchmark items, and the first two words of each."""
+    parts = F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " ")
+    terms = F.concat(F.filter(parts, lambda w: F.length(w) >= 5), F.array(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))))
+    placed = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(terms).alias("i", "term")).filter(F.trim("term") != "")
+    return placed.groupBy("term").agg(F.min(F.col("item_id") * 1000 + F.col("i")).cast("int").alias("pos"))
+
+
 def ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("item_id"), F.col("turn").alias("seq"), "text", ((F.col("turn") * 3 + F.col("conv_id")) % 10 / 10).alias("conf")

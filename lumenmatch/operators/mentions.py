@@ -1,7 +1,6 @@
 """Brand terms in text: mentions, OCR evidence, caption evidence, prompt and class tables.
 
-Terms are the caller's short list, so they enter the plan as literals: each text is tested once against all of them and
-no text-by-term join is formed.
+Terms are rows (a table of any size, or a brand's short list made one); captions alone test a short list as literals.
 """
 
 from __future__ import annotations
@@ -9,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmatch.functions.text import SPACE, close_word, normalize_text, strip, words
+from lumenmatch.functions.text import SPACE, normalize_text, strip, words
 from lumenmatch.operators.positions import CHUNK, dense_positions, with_halo
+from lumenmatch.operators.terms import contained, find_terms, normalized_terms, spanning, term_table, words_of_terms
+from lumenmatch.session import staged
 
 # Fixed values of the text layers.
 SCENE_WORDS = (
@@ -42,28 +43,10 @@ def distinct_terms(*lists: Column) -> Column:
     return out
 
 
-def _term_structs(terms: list[str]) -> Column:
-    return F.array(*[F.struct(F.lit(t).alias("term"), normalize_text(F.lit(t)).alias("norm")) for t in terms])
-
-
-def matched_terms(norm: Column, word_list: Column, terms: list[str], fuzzy: bool = True) -> Column:
-    """Terms contained in a normalised text, or near one of its words when ``fuzzy``."""
-    terms = [t for t in dict.fromkeys(terms) if t]
-    if not terms:
-        return F.array().cast("array<string>")
-
-    def hit(t):
-        inside = F.contains(norm, t["norm"])
-        return inside | close_word(word_list, t["norm"]) if fuzzy else inside
-
-    return F.transform(F.filter(_term_structs(terms), hit), lambda t: t["term"])
-
-
-def brand_mentions(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """One row per (document, matched term): contained after normalisation, or within two edits of a word."""
-    df = docs.withColumn("_norm", normalize_text(F.col(text))).withColumn("_words", words(F.col("_norm")))
-    found = matched_terms(F.col("_norm"), F.col("_words"), terms)
-    return df.withColumn("term", F.explode(found)).withColumn("exact", F.contains("_norm", normalize_text(F.col("term")))).drop("_norm", "_words")
+def brand_mentions(docs: DataFrame, keys: list[str], text: str, terms: list[str] | DataFrame) -> DataFrame:
+    """One row per (keys, matched term): contained after normalisation (exact), or within two edits of a word."""
+    table = terms if isinstance(terms, DataFrame) else term_table(docs.sparkSession, term=terms)
+    return find_terms(docs, keys, text, table)
 
 
 def quoted(terms: Column) -> Column:
@@ -71,33 +54,45 @@ def quoted(terms: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(terms, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
 
 
-def ocr_evidence(ocr: DataFrame, brand_terms: list[str], hashtags: list[str], chunk: int = CHUNK) -> DataFrame:
-    """OCR layer per item from (item_id, seq, text, conf) rows.
+def ocr_hits(ocr: DataFrame, terms: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """item_id, kind, pos, term: which terms (kind, pos, term) the OCR rows (item_id, seq, text) of an item hold.
 
-    The reference text is all rows of an item joined by blanks. It is never built: words lie inside one row, and a term
-    that spans rows is found in a row followed by the start of its successors. Successor rows come from a bounded window
-    inside chunks, so an item holding a third of all rows is spread over many tasks.
+    Terms of kind ``brand`` may also be close to a word. The reference text is all rows of an item joined by blanks. It is
+    never built: words lie inside one row, and a term with blanks is searched for in a row followed by the start of its
+    successors. Successor rows come from a bounded window inside chunks, so an item holding a third of all rows is spread
+    over many tasks.
     """
-    tags = [h.lstrip("#") for h in hashtags if h]
-    longest = max([len(t) for t in (*brand_terms, *tags)] + [1])
-    reach = longest // 2 + 1  # every further row adds at least one character and a blank
+    norms = staged(normalized_terms(terms), "norms")
     solid = ocr.withColumn("_norm", normalize_text(F.col("text"))).filter(F.col("_norm") != "")
-    placed = dense_positions(solid.select("item_id", "seq", "_norm"), ["item_id"], ["seq"], F.floor(F.col("seq") / chunk))
-    w = Window.partitionBy("item_id", "_chunk").orderBy("position")
-    after = w.rowsBetween(1, reach)
-    ahead = F.substring(F.array_join(F.collect_list(F.substring("_norm", 1, longest)).over(after), " "), 1, longest)
-    rows = with_halo(placed, "position", 0, reach, chunk).withColumn("_ahead", ahead).filter("_own")
-    spanned = F.concat_ws(" ", "_norm", "_ahead")
-    rows = rows.select(
-        "item_id",
-        matched_terms(spanned, words(F.col("_norm")), brand_terms).alias("brand"),
-        matched_terms(spanned, F.array().cast("array<string>"), tags, fuzzy=False).alias("tags"),
-    )
-    flags = [F.bool_or(F.array_contains("brand", t)).alias(f"_b{i}") for i, t in enumerate(brand_terms)]
-    flags += [F.bool_or(F.array_contains("tags", t)).alias(f"_t{i}") for i, t in enumerate(tags)]
-    hits = rows.groupBy("item_id").agg(F.count("*").alias("_rows"), *flags)
+    exploded = solid.select("item_id", F.explode(words(F.col("_norm"))).alias("word"))
+    vocabulary = staged(exploded.select("word").distinct(), "vocabulary")
+    hits = exploded.join(words_of_terms(vocabulary, norms, F.col("kind") == "brand"), "word").select("item_id", "norm", "exact")
+    wide = staged(spanning(norms).select("norm").distinct(), "spanning")
+    longest = wide.agg(F.max(F.length("norm"))).first()[0]
+    if longest is not None:
+        reach = longest // 2 + 1  # every further row adds at least one character and a blank
+        placed = dense_positions(solid.select("item_id", "seq", "_norm"), ["item_id"], ["seq"], F.floor(F.col("seq") / chunk))
+        after = Window.partitionBy("item_id", "_chunk").orderBy("position").rowsBetween(1, reach)
+        ahead = F.substring(F.array_join(F.collect_list(F.substring("_norm", 1, longest)).over(after), " "), 1, longest)
+        rows = with_halo(placed, "position", 0, reach, chunk).withColumn("_ahead", ahead).filter("_own")
+        spanned = rows.select("item_id", F.concat_ws(" ", "_norm", "_ahead").alias("_text"))
+        hits = hits.unionByName(contained(spanned, "_text", wide).withColumn("exact", F.lit(True)))
+    found = hits.groupBy("item_id", "norm").agg(F.bool_or("exact").alias("exact"))
+    return found.join(norms, "norm").filter(F.col("exact") | (F.col("kind") == "brand")).select("item_id", "kind", "pos", "term")
+
+
+def ocr_evidence(ocr: DataFrame, brand_terms: list[str] | DataFrame, hashtags: list[str], chunk: int = CHUNK) -> DataFrame:
+    """OCR layer per item from (item_id, seq, text, conf) rows; matched terms in the order of the lists, or by ``pos`` of a
+    table (pos, term)."""
+    spark = ocr.sparkSession
+    tags = term_table(spark, tag=[h.lstrip("#") for h in hashtags if h])
+    brands = brand_terms.select(F.lit("brand").alias("kind"), "pos", "term") if isinstance(brand_terms, DataFrame) else term_table(spark, brand=brand_terms)
+    found = ocr_hits(ocr, brands.unionByName(tags), chunk)
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "term")))), lambda t: t["term"])
+    hits = found.groupBy("item_id").agg(of("brand").alias("brand_matched"), of("tag").alias("hashtag_matched"))
     conf = ocr.groupBy("item_id").agg(F.avg("conf").alias("avg_conf"))
-    # the first 200 characters need at most 201 rows, since every row adds at least its blank
+    # the first 200 characters need at most 201 rows, since every row adds at least its blank; Spark keeps that many per task
+    # before it shuffles them
     head = Window.partitionBy("item_id").orderBy("seq")
     first = (
         ocr.select("item_id", "seq", F.substring("text", 1, EVIDENCE_CHARS).alias("t"))
@@ -107,12 +102,7 @@ def ocr_evidence(ocr: DataFrame, brand_terms: list[str], hashtags: list[str], ch
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "t"))), lambda r: r["t"]), " ").alias("_text"))
     )
     df = conf.join(hits, "item_id", "left").join(first, "item_id", "left")
-
-    def found(prefix, names):
-        names = list(names)
-        return F.array_compact(F.array(*[F.when(F.col(f"{prefix}{i}"), F.lit(t)) for i, t in enumerate(names)])) if names else _terms([])
-
-    df = df.withColumn("brand_matched", found("_b", brand_terms)).withColumn("hashtag_matched", found("_t", tags))
+    df = df.withColumns({c: F.coalesce(F.col(c), _terms([])) for c in ("brand_matched", "hashtag_matched")})
     score = (
         F.when(F.size("brand_matched") > 0, F.least(F.lit(1.0), 0.6 + F.col("avg_conf") * 0.4))
         .when(F.size("hashtag_matched") > 0, F.least(F.lit(0.7), 0.3 + F.col("avg_conf") * 0.3))

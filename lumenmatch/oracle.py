@@ -514,6 +514,37 @@ cte(
     "convn",
 )
 
+cte(
+    "mnorm",
+    f"""SELECT term, pos, {normalized('term')} AS n FROM (SELECT term, min(item_id * 1000 + i) AS pos FROM (
+        SELECT item_id, unnest(ts) AS term, unnest(range(0, len(ts))) AS i FROM (
+            SELECT item_id, list_concat(list_filter(p, lambda w: length(w) >= 5), [concat_ws(' ', p[1], p[2])]) AS ts
+            FROM (SELECT item_id, string_split(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'), ' ') AS p FROM benchmark))) WHERE trim(term) <> '' GROUP BY term)""",
+)
+
+
+def term_hits(words: str) -> str:
+    """Words near or around a term; ``words`` selects the distinct words ``w``."""
+    near = f"abs(length(w) - length(n)) <= 2 AND levenshtein({single_byte('w')}, {single_byte('n')}) <= 2"
+    return f"SELECT w, term, pos, contains(w, n) AS exact FROM ({words}), mnorm WHERE contains(w, n) OR (length(n) >= 3 AND {near})"
+
+
+cte("mnear", term_hits("SELECT DISTINCT unnest(ws) AS w FROM docn"), "docn", "mnorm")
+cte("convw", f"SELECT item_id, conf, nt, list_distinct(list_filter(string_split(nt, ' '), lambda w: w <> '')) AS ws FROM (SELECT *, {normalized('txt')} AS nt FROM convn)", "convn")
+cte("cnear", term_hits("SELECT DISTINCT unnest(ws) AS w FROM convw"), "convw", "mnorm")
+cte(
+    "chits",
+    """SELECT DISTINCT item_id, term, pos FROM (SELECT item_id, term, pos FROM (SELECT item_id, unnest(ws) AS w FROM convw) JOIN cnear USING (w)
+    UNION ALL SELECT item_id, term, pos FROM convw, mnorm WHERE contains(n, ' ') AND contains(nt, n))""",
+    "convw", "cnear", "mnorm",
+)
+cte(
+    "ocrt",
+    f"""SELECT item_id, conf, coalesce(bm, []) AS bm, list_filter([{', '.join(lit(t.lstrip('#')) for t in d.HASHTAGS)}], lambda t: contains(nt, t)) AS tm
+    FROM convw LEFT JOIN (SELECT item_id, list(term ORDER BY pos) AS bm FROM chits GROUP BY 1) USING (item_id)""",
+    "convw", "chits",
+)
+
 
 def quoted(terms: str) -> str:
     return f"('[' || array_to_string(list_transform({terms}, lambda t: chr(39) || t || chr(39)), ', ') || ']')"
@@ -894,6 +925,16 @@ ORACLE = {
     ),
     "text_normalize": sql("SELECT doc_id, md5(nt) AS digest, length(nt) AS n, contains(nt, 'anble') AS has_term FROM docn", "docn"),
     "brand_mentions": sql(f"SELECT doc_id, t.term, contains(nt, t.term) AS exact FROM docn, {values(d.BRAND_TERMS)} t(i, term) WHERE contains(nt, t.term) OR {close('ws', 't.term')}", "docn"),
+    "term_table_mentions": sql(
+        """SELECT doc_id, term, bool_or(exact) AS exact FROM (SELECT doc_id, term, exact FROM (SELECT doc_id, unnest(ws) AS w FROM docn) JOIN mnear USING (w)
+        UNION ALL SELECT doc_id, term, true FROM docn, mnorm WHERE contains(n, ' ') AND contains(nt, n)) GROUP BY ALL""",
+        "docn", "mnear", "mnorm",
+    ),
+    "ocr_term_table": sql(
+        f"""SELECT item_id, array_to_string(bm, '|') AS brand_matched, array_to_string(tm, '|') AS hashtag_matched,
+        {rnd('CASE WHEN len(bm) > 0 THEN least(1.0::DOUBLE, 0.6 + conf * 0.4) WHEN len(tm) > 0 THEN least(0.7::DOUBLE, 0.3 + conf * 0.3) ELSE 0.0::DOUBLE END')} AS score, len(bm) + len(tm) > 0 AS fired FROM ocrt""",
+        "ocrt",
+    ),
     "ocr_evidence": sql(
         f"SELECT item_id, substr(txt, 1, 200) AS ocr_head, {rnd('conf')} AS avg_conf, array_to_string(list_concat(bm, tm), '|') AS matched_terms, {rnd('score')} AS score, fired, 0.7::DOUBLE AS weight, {lit('OCR text: ' + chr(39))} || substr(txt, 1, 200) || {lit(chr(39) + ' | Brand: ')} || {quoted('bm')} || ' | Hashtags: ' || {quoted('tm')} AS evidence FROM ocr", "ocr"
     ),

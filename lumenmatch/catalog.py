@@ -119,13 +119,13 @@ def _clusters(df):
 
 
 def cluster_members_rounds(spark, sf):
-    """The rounds that large campaigns take, over all campaigns."""
-    return cl.cluster_assignments(d.bank(spark, sf), local_refs=0).select(KEY, "ref_id", long("cluster_idx"))
+    """All campaigns dealt to parts of few references."""
+    return cl.cluster_assignments(d.bank(spark, sf), per_part=5).select(KEY, "ref_id", long("cluster_idx"))
 
 
 def whole_bank_similarity(spark, sf):
-    """A bank too large for a matrix of pairs, next to small ones."""
-    return bk.intra_similarity(d.bank(spark, sf).unionByName(d.whole_bank(spark, sf))).select(KEY, "n_refs", r("intra_similarity_mean"), r("intra_similarity_std"))
+    """A bank whose parts are added up, next to banks of one part."""
+    return bk.intra_similarity(d.bank(spark, sf).unionByName(d.whole_bank(spark, sf)), per_part=100).select(KEY, "n_refs", r("intra_similarity_mean"), r("intra_similarity_std"))
 
 
 def reference_clusters(spark, sf):
@@ -339,9 +339,9 @@ def keyframe_match(spark, sf):
 
 
 def dedupe_frames_rounds(spark, sf):
-    """The rounds that long videos take, over all videos."""
+    """All videos in batches of three frames, so that decisions depend on those of earlier batches."""
     pictures = d.frame_pictures(fr.sample_interval(d.videos(spark, sf)))
-    return fr.dedupe_frames(pictures, local_frames=0).select("video_id", "frame_idx", long("kept_order"))
+    return fr.dedupe_frames(pictures, batch=3).select("video_id", "frame_idx", long("kept_order"))
 
 
 def media_context(spark, sf):

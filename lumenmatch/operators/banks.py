@@ -7,14 +7,20 @@ matrices, so a campaign holding a third of all references costs time linear in i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenmatch.functions.scoring import clamp01, r4
 from lumenmatch.functions.vectors import VECTOR, dot, l2_normalize, vector_sum
+from lumenmatch.session import staged
 
 KEY = "campaign_id"
-PAIR_BLOCK = 256  # up to this many references the pair matrix is formed inside one row
+PART = 4096  # references of a campaign that one task works on at a time
 
 # Fixed values of the grading rules.
 OUTLIER_BELOW = 0.68
@@ -61,40 +67,62 @@ def outliers(bank: DataFrame) -> DataFrame:
     return centroid_similarities(bank).filter(F.col("similarity") < OUTLIER_BELOW)
 
 
-def _squared_pair_sums(bank: DataFrame, sums: DataFrame) -> DataFrame:
-    """Sum over all ordered pairs (i, j) of similarity squared, per campaign.
+def dealt(bank: DataFrame, sizes: DataFrame, per_part: int) -> DataFrame:
+    """The references with ``n_refs``, ``part`` and ``parts``: each campaign is dealt to parts of about ``per_part`` of them, so a campaign
+    that holds a third of all references is worked on by many tasks. ``sizes`` (campaign_id, n_refs) is written first, so that
+    Spark may split the references of a hot campaign."""
+    parts = staged(sizes.select(KEY, "n_refs", F.ceil(F.col("n_refs") / per_part).cast("int").alias("parts")), "parts")
+    return bank.join(parts, KEY).withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int"))
 
-    Banks of at most PAIR_BLOCK references: the bounded list of vectors is packed into one row. Larger banks: the sum
-    equals the squared Frobenius norm of the component matrix sum(e e^T), which is built row by row from map-side
-    partial vector sums, so the cost is linear in the number of references.
-    """
-    sized = bank.join(sums.select(KEY, "n_refs"), KEY).select(KEY, "n_refs", F.col("embedding").cast(VECTOR).alias("e"))
-    packed = sized.filter(F.col("n_refs") <= PAIR_BLOCK).groupBy(KEY).agg(F.collect_list("e").alias("m"))
-
-    def row_squares(r):
-        return F.aggregate(F.col("m"), F.lit(0.0), lambda a, q: a + F.pow(dot(r, q), F.lit(2.0)))
-
-    small = packed.select(
-        KEY, F.aggregate(F.col("m"), F.lit(0.0), lambda acc, r: acc + row_squares(r)).alias("sum_s2")
-    )
-    rows = (
-        sized.filter(F.col("n_refs") > PAIR_BLOCK)
-        .select(KEY, "e", F.posexplode("e").alias("p", "x"))
-        .select(KEY, "p", F.transform("e", lambda y: y * F.col("x")).alias("xe"))
-        .groupBy(KEY, "p")
-        .agg(vector_sum(F.col("xe")).alias("g"))
-    )
-    large = rows.groupBy(KEY).agg(F.sum(dot(F.col("g"), F.col("g"))).alias("sum_s2"))
-    return small.unionByName(large)
 
+def _squared_pair_sums(bank: DataFrame, sums: DataFrame, per_part: int) -> DataFrame:
+    """Sum over all ordered pairs (i, j) of similarity squared, per campaign.
 
-def intra_similarity(bank: DataFrame) -> DataFrame:
+    It is the squared Frobenius norm of E^T E, E being the campaign's vectors as rows. Each part of a campaign is streamed in
+    Arrow batches that add to one dim x dim matrix. If it is the whole campaign, its norm is told; else its rows are, to be
+    added up over the parts. So there are dim rows a part of ``per_part`` references, none a reference.
+    """
+    rows = dealt(bank, sums, per_part).select(KEY, "part", "parts", F.col("embedding").cast(VECTOR).alias("e"))
+    kind = bank.schema[KEY].dataType.simpleString()
+    schema = f"{KEY} {kind}, p int, g array<double>, s2 double"
+    target = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def told(key, gram: np.ndarray) -> pa.RecordBatch:
+        campaign, _, parts = key
+        if parts == 1:
+            columns = [[campaign], [-1], [None], [float((gram * gram).sum())]]
+        else:
+            columns = [[campaign] * len(gram), list(range(len(gram))), list(gram), [None] * len(gram)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, gram = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in (KEY, "part", "parts"))))
+            e = np.asarray(batch.column("e").flatten()).reshape(len(keys), -1) if keys else np.zeros((0, 0))
+            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if keys[a] != key:
+                    if key is not None:
+                        yield told(key, gram)
+                    key, gram = keys[a], np.zeros((e.shape[1], e.shape[1]))
+                gram += e[a:b].T @ e[a:b]
+        if key is not None:
+            yield told(key, gram)
+
+    partials = rows.repartition(KEY, "part").sortWithinPartitions(KEY, "part").mapInArrow(run, schema)
+    whole = partials.filter("p < 0").select(KEY, "s2")
+    merged = partials.filter("p >= 0").groupBy(KEY, "p").agg(vector_sum(F.col("g")).alias("g")).select(KEY, dot(F.col("g"), F.col("g")).alias("s2"))
+    return whole.unionByName(merged).groupBy(KEY).agg(F.sum("s2").alias("sum_s2"))
+
+
+def intra_similarity(bank: DataFrame, per_part: int = PART) -> DataFrame:
     """Mean and population deviation of the similarities of all unordered reference pairs; (1, 0) for one reference."""
-    sums = bank_sums(bank)
+    sums = staged(bank_sums(bank), "sums")
     pairs = F.col("n_refs") * (F.col("n_refs") - 1) / 2
     total = (dot(F.col("vsum"), F.col("vsum")) - F.col("sum_q")) / 2
     squares = (F.col("sum_s2") - F.col("sum_q2")) / 2
-    moments = sums.join(_squared_pair_sums(bank, sums), KEY).select(
+    moments = sums.join(_squared_pair_sums(bank, sums, per_part), KEY).select(
         KEY, "n_refs", (total / F.nullif(pairs, F.lit(0.0))).alias("mean"), (squares / F.nullif(pairs, F.lit(0.0))).alias("sq")
     )
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mean") * F.col("mean")))

@@ -3,21 +3,29 @@
 Seeding is farthest-first from the lowest ref_id; a round assigns each reference to the most similar centre (lowest
 cluster on ties) and recentres; a campaign stops when its assignment repeats. A campaign whose first assignment puts
 everything into cluster 0 keeps its seed centre.
+
+The references are written once as packs, the matrices of one part of a campaign each. Steps join packs with the centres of
+their campaign by (campaign, part), multiply them in numpy and tell one row per pack and centre (sum, count), so a campaign
+that holds a third of all references is as many packs as it needs and is never one group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenmatch.functions.vectors import VECTOR, dot, l2_normalize, vector_sum
-from lumenmatch.operators.banks import KEY
-from lumenmatch.session import shared_dir, staged
+from lumenmatch.operators.banks import KEY, dealt
+from lumenmatch.session import staged
 
-LOCAL_REFS = 2048  # campaigns up to this size are clustered inside one group; larger ones by distributed rounds
-ASSIGNMENT = f"{KEY} long, ref_id long, cluster_idx int, recentred boolean"
+PACK = 2048  # references of a pack, about
 
 # Category keywords, in tie order.
 CATEGORIES = {
@@ -35,106 +43,109 @@ CATEGORIES = {
 COHESION_LABELS = ("Brand Logo & Focus", "Product & Drink Close-ups", "Ambient / Interior Scenes")
 
 
-def farthest_first(bank: DataFrame, k: int = 4) -> DataFrame:
-    """Seed centres (campaign_id, cluster_idx, ref_id, centroid): each next seed is farthest from the chosen ones.
+def reference_packs(bank: DataFrame, per_part: int = PACK) -> DataFrame:
+    """campaign_id, n_refs, part, parts, ids and e (their vectors, one after the other), by ref_id within a part."""
+    sizes = staged(bank.groupBy(KEY).agg(F.count("*").alias("n_refs")), "sizes")
+    rows = dealt(bank.select(KEY, "ref_id", F.col("embedding").cast(VECTOR).alias("e")), sizes, per_part)
+    packed = rows.groupBy(KEY, "n_refs", "part", "parts").agg(F.sort_array(F.collect_list(F.struct("ref_id", "e"))).alias("refs"))
+    return staged(packed.select(KEY, "n_refs", "part", "parts", F.col("refs.ref_id").alias("ids"), F.flatten("refs.e").alias("e")), "packs")
 
-    The chosen ones are one row per campaign, written after each step: a step reads them twice, and unwritten plans would
-    double with every step.
-    """
-    refs = bank.select(KEY, "ref_id", F.col("embedding").cast(VECTOR).alias("e"))
-    seeds = refs.groupBy(KEY).agg(F.min_by(F.struct("ref_id", "e"), "ref_id").alias("s"), F.count("*").alias("n")).select(
-        KEY, "n", F.array(F.col("s.ref_id")).alias("ids"), F.array(F.col("s.e")).alias("centers")
-    )
+
+def _with_centers(packs: DataFrame, centers: DataFrame) -> DataFrame:
+    """Packs with the centres (campaign_id, cluster_idx, centroid) of their campaign as one array ``c`` by cluster; campaigns
+    without centres go. Centres are few per campaign; they are copied to each of its parts, so no key is hot."""
+    listed = centers.groupBy(KEY).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cluster_idx", "centroid"))), lambda x: x["centroid"])).alias("c"))
+    parts = packs.select(KEY, "part").distinct()
+    return packs.join(parts.join(listed, KEY), [KEY, "part"])
+
+
+def _each_pack(packs: DataFrame, schema: str, work: Callable[[dict], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``work`` makes of each row; its arrays are numpy arrays there."""
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+    names = packs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cells = [batch.column(n)[k] for n in names]
+                row = {n: np.asarray(c.values) if pa.types.is_list(c.type) and c.is_valid else c.as_py() for n, c in zip(names, cells)}
+                out = list(work(row))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
+
+    return packs.mapInArrow(run, schema)
+
+
+def _seeds(packs: DataFrame, k: int) -> DataFrame:
+    """Each next seed is the reference farthest from the chosen ones, the lowest of several; a row per seed."""
+    schema = f"{KEY} long, ref_id long, centroid array<double>, far double"
+    lowest = lambda x: [(x[KEY], int(x["ids"][0]), x["e"][: len(x["e"]) // len(x["ids"])], 0.0)]
+
+    def farthest(x: dict) -> Iterator[tuple]:
+        n = len(x["ids"])
+        e, c = x["e"].reshape(n, -1), x["c"].reshape(-1, len(x["e"]) // n)
+        near = (1.0 - e @ c.T).min(axis=1)
+        at = int(np.argmax(near))
+        yield x[KEY], int(x["ids"][at]), e[at], float(near[at])
+
+    best = lambda df: df.groupBy(KEY).agg(F.max_by(F.struct("ref_id", "centroid"), F.struct("far", -F.col("ref_id"))).alias("s")).select(KEY, "s.*")
+    seeds = staged(best(_each_pack(packs.select(KEY, "ids", "e"), schema, lowest)).withColumn("cluster_idx", F.lit(0)), "seeds")
     for step in range(1, k):
-        nearest = F.array_min(F.transform("centers", lambda c: 1.0 - dot(F.col("e"), c)))
-        far = (
-            refs.join(seeds.filter(F.col("n") > step), KEY)
-            .groupBy(KEY)
-            .agg(F.max_by(F.struct("ref_id", "e"), F.struct(nearest, -F.col("ref_id"))).alias("s"))
-        )
-        seeds = staged(
-            seeds.join(far, KEY, "left").select(
-                KEY, "n",
-                F.when(F.col("s").isNull(), F.col("ids")).otherwise(F.array_append("ids", F.col("s.ref_id"))).alias("ids"),
-                F.when(F.col("s").isNull(), F.col("centers")).otherwise(F.array_append("centers", F.col("s.e"))).alias("centers"),
-            ),
-            "seeds",
-        )
-    return seeds.select(KEY, F.posexplode(F.arrays_zip("ids", "centers")).alias("cluster_idx", "s")).select(
-        KEY, "cluster_idx", F.col("s.ids").alias("ref_id"), F.col("s.centers").alias("centroid")
-    )
+        rows = _with_centers(packs.filter(F.col("n_refs") > step).select(KEY, "part", "ids", "e"), seeds)
+        seeds = staged(seeds.unionByName(best(_each_pack(rows.select(KEY, "ids", "e", "c"), schema, farthest)).withColumn("cluster_idx", F.lit(step))), "seeds")
+    return seeds
 
 
-def _assign(refs: DataFrame, centers: DataFrame) -> DataFrame:
-    packed = centers.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("cluster_idx", "centroid"))).alias("cs"))
-    best = F.array_max(
-        F.transform("cs", lambda c: F.struct(dot(F.col("e"), c["centroid"]).alias("s"), (-c["cluster_idx"]).alias("i")))
-    )
-    return refs.join(packed, KEY).select(KEY, "ref_id", "e", (-best["i"]).alias("cluster_idx"))
-
-
-def _distributed_rounds(bank: DataFrame, k: int, iters: int) -> DataFrame:
-    """Rounds over all given campaigns together; a checkpoint per round cuts the lineage."""
-    shared_dir(bank.sparkSession)
-    bank = staged(bank.select(KEY, "ref_id", F.col("embedding").cast(VECTOR).alias("embedding")), "refs")
-    refs = bank.withColumnRenamed("embedding", "e")
-    centers = farthest_first(bank, k).select(KEY, "cluster_idx", "centroid").checkpoint()
-    current = _assign(refs, centers).withColumn("recentred", F.lit(True)).checkpoint()
-    frozen = current.groupBy(KEY).agg(F.max("cluster_idx").alias("top"), F.count("*").alias("n")).select(
-        KEY, ((F.col("top") > 0) | (F.col("n") == 1)).alias("recentred")
-    )
-    current = current.drop("recentred").join(frozen, KEY).checkpoint()
-    for _ in range(iters - 1):
-        moved = (
-            current.filter("recentred").groupBy(KEY, "cluster_idx").agg(l2_normalize(vector_sum(F.col("e"))).alias("fresh"))
-        )
-        centers = centers.join(moved, [KEY, "cluster_idx"], "left").select(
-            KEY, "cluster_idx", F.coalesce("fresh", "centroid").alias("centroid")
-        ).checkpoint()
-        fresh = _assign(refs, centers).withColumnRenamed("cluster_idx", "next_idx").select(KEY, "ref_id", "next_idx")
-        step = current.join(fresh, [KEY, "ref_id"]).withColumn("next_idx", F.when(F.col("recentred"), F.col("next_idx")).otherwise(F.col("cluster_idx")))
-        step = step.checkpoint()
-        changed = not step.filter("next_idx <> cluster_idx").isEmpty()
-        current = step.drop("cluster_idx").withColumnRenamed("next_idx", "cluster_idx")
-        if not changed:
+def farthest_first(bank: DataFrame, k: int = 4) -> DataFrame:
+    """Seed centres (campaign_id, cluster_idx, ref_id, centroid): each next seed is farthest from the chosen ones."""
+    return _seeds(reference_packs(bank), k).select(KEY, "cluster_idx", "ref_id", "centroid")
+
+
+ROUND = f"{KEY} long, part int, parts int, labels array<int>, changed long, n long, sums array<array<double>>, counts array<long>"
+
+
+def _assign(x: dict) -> Iterator[tuple]:
+    """Labels of a pack, how many of them are new, and the sum and number of its references by cluster."""
+    n = len(x["ids"])
+    e = x["e"].reshape(n, -1)
+    c = x["c"].reshape(-1, e.shape[1])
+    label = (e @ c.T).argmax(axis=1).astype(np.int32)
+    before = x["labels"] if x["labels"] is not None else np.zeros(n, np.int32)
+    one = np.zeros((len(c), n))
+    one[label, np.arange(n)] = 1.0
+    yield x[KEY], x["part"], x["parts"], label, int((label != before).sum()), n, list(one @ e), np.bincount(label, minlength=len(c))
+
+
+def cluster_assignments(bank: DataFrame, k: int = 4, iters: int = 25, per_part: int = PACK) -> DataFrame:
+    """(campaign_id, ref_id, cluster_idx, recentred) for every reference.
+
+    A round is one job over the packs of the campaigns that still move. What it writes are labels and one sum per pack and
+    cluster; centres of the next round come from those sums.
+    """
+    packs = reference_packs(bank, per_part)
+    centers = _seeds(packs, k).select(KEY, "cluster_idx", "centroid")
+    moving, before, ended = packs, None, []
+    for turn in range(iters):
+        rows = _with_centers(moving, centers)
+        rows = rows.withColumn("labels", F.lit(None).cast("array<int>")) if before is None else rows.join(before.select(KEY, "part", "labels"), [KEY, "part"])
+        now = staged(_each_pack(rows.select(KEY, "part", "parts", "ids", "e", "c", "labels"), ROUND, _assign), "round")
+        total = now.groupBy(KEY).agg(F.sum("changed").alias("moved"), F.sum("n").alias("size"))
+        at_rest = total.filter("moved = 0").select(KEY, ((F.lit(turn) > 0) | (F.col("size") == 1)).alias("recentred"))
+        if turn == iters - 1:
+            at_rest = total.select(KEY, ((F.lit(turn) > 0) | (F.col("moved") > 0) | (F.col("size") == 1)).alias("recentred"))
+        ended.append(now.select(KEY, "part", "labels").join(at_rest, KEY))
+        if turn == iters - 1 or now.filter("changed > 0").isEmpty():
             break
-    return current.select(KEY, "ref_id", "cluster_idx", "recentred")
-
-
-def _local_rounds(k: int, iters: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ref_id")
-        e = np.array(pdf["e"].tolist(), dtype=float)
-        chosen = [0]
-        while len(chosen) < min(k, len(e)):
-            chosen.append(int(np.argmax((1.0 - e @ e[chosen].T).min(axis=1))))
-        centers, label, moved = e[chosen].copy(), np.zeros(len(e), dtype=int), len(e) == 1
-        for _ in range(iters):
-            best = (e @ centers.T).argmax(axis=1)
-            if (best == label).all():
-                break
-            label, moved = best, True
-            for j in np.unique(label):
-                mean = e[label == j].mean(axis=0)
-                centers[j] = mean / np.linalg.norm(mean)
-        return pd.DataFrame({KEY: pdf[KEY], "ref_id": pdf["ref_id"], "cluster_idx": label.astype("int32"), "recentred": moved})
-
-    return run
-
-
-def cluster_assignments(bank: DataFrame, k: int = 4, iters: int = 25, local_refs: int = LOCAL_REFS) -> DataFrame:
-    """(campaign_id, ref_id, cluster_idx, recentred) for every reference."""
-    sizes = bank.groupBy(KEY).agg(F.count("*").alias("_n"))
-    sized = bank.join(sizes, KEY)
-    small = (
-        sized.filter(F.col("_n") <= local_refs)
-        .select(KEY, "ref_id", F.col("embedding").cast(VECTOR).alias("e"))
-        .groupBy(KEY)
-        .applyInPandas(_local_rounds(k, iters), ASSIGNMENT)
-    )
-    if sizes.filter(F.col("_n") > local_refs).isEmpty():
-        return small
-    return small.unionByName(_distributed_rounds(sized.filter(F.col("_n") > local_refs), k, iters))
+        alive = now.join(total.filter("moved > 0").select(KEY), KEY, "left_semi")
+        fresh = (
+            alive.select(KEY, F.posexplode(F.arrays_zip("sums", "counts")).alias("cluster_idx", "s")).filter("s.counts > 0")
+            .groupBy(KEY, "cluster_idx").agg(l2_normalize(vector_sum(F.col("s.sums"))).alias("fresh"))
+        )
+        still = centers.join(alive.select(KEY).distinct(), KEY, "left_semi")
+        centers = staged(still.join(fresh, [KEY, "cluster_idx"], "left").select(KEY, "cluster_idx", F.coalesce("fresh", "centroid").alias("centroid")), "centers")
+        moving, before = packs.join(centers.select(KEY).distinct(), KEY, "left_semi"), alive
+    labelled = packs.select(KEY, "part", "ids").join(reduce(DataFrame.unionByName, ended), [KEY, "part"])
+    return labelled.select(KEY, "recentred", F.explode(F.arrays_zip("ids", "labels")).alias("r")).select(KEY, F.col("r.ids").alias("ref_id"), F.col("r.labels").alias("cluster_idx"), "recentred")
 
 
 def _category(mean: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmatch.session import staged
-
 # Fixed values of the frame rules.
 INTERVAL_SECONDS = 2.0
 EVEN_FRAMES = 6
@@ -19,7 +19,6 @@ SAME_HISTOGRAM = 0.98
 SAME_STRUCTURE = 0.05
 LOOK_BACK = 3
 THUMB_PIXELS = 1024
-LOCAL_FRAMES = 2048  # videos up to this many frames are deduplicated inside one group
 
 
 def sample_interval(videos: DataFrame, seconds: float = INTERVAL_SECONDS) -> DataFrame:
@@ -86,74 +85,73 @@ def histogram_correlation(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), of)[0]
 
 
-def _keep_in_order(max_kept: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        kept: list[int] = []
-        hists = [np.asarray(h, dtype=float) for h in pdf["hist"]]
-        thumbs = [np.asarray(t, dtype=float) for t in pdf["thumb"]]
-        for i in range(len(pdf)):
-            if len(kept) == max_kept:
-                break
-            if kept and _correlation(hists[kept[-1]], hists[i]) > SAME_HISTOGRAM:
-                continue
-            if any(np.abs(thumbs[i] - thumbs[j]).sum() / THUMB_PIXELS / 255.0 < SAME_STRUCTURE for j in kept[-LOOK_BACK:]):
-                continue
-            kept.append(i)
-        out = pdf.iloc[kept]
-        return out[["video_id", "frame_idx"]].assign(kept_order=np.arange(len(kept), dtype=np.int32))
+KEPT = "video_id long, frame_idx long, kept_order int"
 
-    return run
 
+def _correlations(last: np.ndarray, hists: np.ndarray) -> np.ndarray:
+    """Correlation of one histogram with each of several; 1 where one of them is flat."""
+    n = len(last)
+    sxy = hists @ last - n * hists.mean(axis=1) * last.mean()
+    scale = ((last * last).sum() - n * last.mean() ** 2) * ((hists * hists).sum(axis=1) - n * hists.mean(axis=1) ** 2)
+    some = np.abs(scale) > 2.220446049250313e-16
+    return np.where(some, sxy / np.sqrt(np.where(some, np.abs(scale), 1.0)), 1.0)
 
-def _correlation(a: np.ndarray, b: np.ndarray) -> float:
-    n = len(a)
-    sxy = (a * b).sum() - n * a.mean() * b.mean()
-    scale = ((a * a).sum() - n * a.mean() ** 2) * ((b * b).sum() - n * b.mean() ** 2)
-    return sxy / np.sqrt(scale) if abs(scale) > 2.220446049250313e-16 else 1.0
 
+class _Kept:
+    """What later decisions of a video depend on: how many frames are kept and the last ``LOOK_BACK`` of them."""
 
-KEPT = "video_id long, frame_idx long, kept_order int"
+    def __init__(self, video: int):
+        self.video, self.n, self.recent = video, 0, []
 
+    def next(self, hists: np.ndarray, thumbs: np.ndarray) -> int | None:
+        """Place of the first of these frames that is no copy of a kept one."""
+        new = np.ones(len(hists), bool)
+        if self.recent:
+            new &= ~(_correlations(self.recent[-1][0], hists) > SAME_HISTOGRAM)
+            for _, thumb in self.recent:
+                new &= ~(np.abs(thumbs - thumb).sum(axis=1) / THUMB_PIXELS / 255.0 < SAME_STRUCTURE)
+        return int(np.argmax(new)) if new.any() else None
 
-def _keep_by_rounds(features: DataFrame, max_kept: int) -> DataFrame:
-    """One round per kept frame: the next kept frame is the earliest later frame that passes, a plain minimum.
+    def keep(self, hist: np.ndarray, thumb: np.ndarray) -> int:
+        self.recent = [*self.recent, (hist, thumb)][-LOOK_BACK:]
+        self.n += 1
+        return self.n - 1
 
-    The state is one row per video, so a video of any length is spread over all tasks.
-    """
-    frame = F.struct("frame_idx", "hist", "thumb")
-    first = features.groupBy("video_id").agg(F.min_by(frame, "frame_idx").alias("f"))
-    state = staged(first.select("video_id", F.array("f").alias("recent"), F.lit(0).alias("kept_order")), "keyframes")
-    rounds = [state]
-    for order in range(1, max_kept):
-        last = F.get("recent", F.size("recent") - 1)
-        joined = features.join(state.select("video_id", "recent"), "video_id").filter(F.col("frame_idx") > last["frame_idx"])
-        new = (histogram_correlation(last["hist"], F.col("hist")) <= SAME_HISTOGRAM) & F.forall(
-            "recent", lambda r: frame_diff(F.col("thumb"), r["thumb"]) >= SAME_STRUCTURE
-        )
-        nxt = joined.filter(new).groupBy("video_id").agg(F.min_by(frame, "frame_idx").alias("f"))
-        recent = F.slice(F.array_append("recent", F.col("f")), F.greatest(F.lit(1), F.size("recent") + 2 - LOOK_BACK), F.lit(LOOK_BACK))
-        state = staged(state.join(nxt, "video_id").select("video_id", recent.alias("recent"), F.lit(order).alias("kept_order")), "keyframes")
-        if state.isEmpty():
-            break
-        rounds.append(state)
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out.select("video_id", F.get("recent", F.size("recent") - 1)["frame_idx"].alias("frame_idx"), F.col("kept_order").cast("int").alias("kept_order"))
-
-
-def dedupe_frames(features: DataFrame, max_kept: int = MAX_KEPT, local_frames: int = LOCAL_FRAMES) -> DataFrame:
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def dedupe_frames(features: DataFrame, max_kept: int = MAX_KEPT, batch: int | None = None) -> DataFrame:
     """Frames kept after near-duplicate suppression: (video_id, frame_idx, kept_order).
 
     A frame is skipped when its histogram equals the last kept one or its thumbnail one of the last three kept ones.
     Which frames count as kept depends on earlier decisions, so this is not a window. Features are (video_id,
-    frame_idx, hist, thumb) of the sampled frames.
+    frame_idx, hist, thumb) of the sampled frames; all histograms have one length, and all thumbnails.
+
+    Each task streams its videos in frame order, in Arrow batches (of at most ``batch`` frames, if given). A video of any
+    length leaves the last three kept frames and a count from one batch to the next, and nothing else.
     """
     slim = features.select(F.col("video_id").cast("long").alias("video_id"), F.col("frame_idx").cast("long").alias("frame_idx"), "hist", "thumb")
-    sizes = slim.groupBy("video_id").agg(F.count("*").alias("_n"))
-    sized = slim.join(sizes, "video_id")
-    small = sized.filter(F.col("_n") <= local_frames).drop("_n").groupBy("video_id").applyInPandas(_keep_in_order(max_kept), KEPT)
-    if sizes.filter(F.col("_n") > local_frames).isEmpty():
-        return small
-    return small.unionByName(_keep_by_rounds(sized.filter(F.col("_n") > local_frames).drop("_n"), max_kept))
+    target = pa.schema([("video_id", pa.int64()), ("frame_idx", pa.int64()), ("kept_order", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch or max(1, whole.num_rows)):
+                part = whole.slice(at, batch or whole.num_rows)
+                video, frame = (part.column(c).to_numpy() for c in ("video_id", "frame_idx"))
+                hists, thumbs = _matrix(part.column("hist")), _matrix(part.column("thumb"))
+                out: list[tuple[int, int, int]] = []
+                starts = np.flatnonzero(np.append(True, video[1:] != video[:-1]))
+                for a, b in zip(starts, [*starts[1:], len(video)]):
+                    if state is None or state.video != video[a]:
+                        state = _Kept(video[a])
+                    while a < b and state.n < max_kept and (step := state.next(hists[a:b], thumbs[a:b])) is not None:
+                        a += step
+                        out.append((video[a], frame[a], state.keep(hists[a].copy(), thumbs[a].copy())))
+                        a += 1
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
+
+    return slim.repartition("video_id").sortWithinPartitions("video_id", "frame_idx").mapInArrow(run, KEPT)

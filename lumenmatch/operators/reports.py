@@ -89,28 +89,53 @@ def social_analytics(results: DataFrame, keys: list[str] | None = None) -> DataF
     )
 
 
-def exact_median(series: DataFrame, key: str = "seq_id", value: str = "score", bins: int = 1024) -> DataFrame:
-    """Exact median per key without holding a group in memory.
+def radix_digits(v: Column) -> list[Column]:
+    """Digits of a double, from the most to the least significant one, that order doubles as numbers and tell all of them apart.
 
-    Equal values are counted first. The middle ranks are located in fixed-width bins of [0, 1] by cumulative bin counts,
-    and only values of the bins that hold them are ranked.
+    The first is the sign with the power of two and six bits; three of 16 bits follow. Scaling by powers of two and taking
+    whole parts are exact, and the logarithm only has to be monotonic, so no digit depends on rounding. Zeros are equal.
     """
-    bin_of = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("v"))) * bins)
-    counts = series.groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("bin", bin_of)
-    per_bin = counts.groupBy(key, "bin").agg(F.sum("c").alias("bc"))
-    running = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(key)
-    located = per_bin.select(
-        key, "bin", "bc", F.coalesce(F.sum("bc").over(running), F.lit(0)).alias("before"), F.sum("bc").over(everything).alias("n")
-    ).select("*", F.floor((F.col("n") + 1) / 2).alias("lo"), F.floor((F.col("n") + 2) / 2).alias("hi"))
-    overlap = (F.col("before") < F.col("hi")) & (F.col("before") + F.col("bc") >= F.col("lo"))
-    inner = Window.partitionBy(key, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(located.filter(overlap).select(key, "bin", "before", "lo", "hi"), [key, "bin"]).withColumn(
-        "upto", F.col("before") + F.sum("c").over(inner)
-    )
-    return ranked.groupBy(key).agg(
-        ((F.min(F.when(F.col("upto") >= F.col("lo"), F.col("v"))) + F.min(F.when(F.col("upto") >= F.col("hi"), F.col("v")))) / 2).alias("median")
-    )
+    small = F.abs(v) < 2.0**-900
+    scaled = F.abs(v) * F.when(small, 2.0**200).otherwise(1.0)
+    power = F.when(scaled == 0, 0.0).otherwise(F.floor(F.log2(scaled)).cast("double"))
+    # from one half to two; two factors, as 2^-power of a large power is no normal double
+    half = F.floor(power / 2)
+    rest = scaled * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power) * 64
+    first = F.when(scaled == 0, 0.0).otherwise((power - F.when(small, 200.0).otherwise(0.0) + 1200) * 256 + F.floor(rest))
+    digits = [first]
+    for _ in range(3):
+        rest = (rest - F.floor(rest)) * 65536
+        digits.append(F.floor(rest).cast("double"))
+    return [(F.signum(v) * d).cast("int") for d in digits]
+
+
+def exact_median(series: DataFrame, key: str = "seq_id", value: str = "score") -> DataFrame:
+    """Exact median per key by radix selection: four rounds, whatever the values are.
+
+    Each round counts the values that agree with the middle ranks so far by their next digit, with partial counts, and keeps
+    the one or two bins that hold those ranks. A bin is never gathered: what a window sees of a key are at most 65,536 counts
+    (of the first digit, those that occur), and all values in one bin only mean that the next round counts as many again. Null values
+    and NaN are left out.
+    """
+    digits = [f"_d{i}" for i in range(4)]
+    rows = series.select(key, F.col(value).cast("double").alias("_v")).filter(~F.isnan("_v"))
+    rows = rows.select(key, "_v", *[d.alias(n) for n, d in zip(digits, radix_digits(F.col("_v")))])
+    kept = None
+    for i, digit in enumerate(digits):
+        prefix = [key, *digits[:i]]
+        inside = rows if kept is None else rows.join(kept, prefix)
+        ranks = [] if kept is None else ["_lo", "_hi"]
+        counts = inside.groupBy(*prefix, digit, *ranks).agg(F.count("*").alias("_c"), F.min("_v").alias("_value"))
+        upto = Window.partitionBy(*prefix).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_upto", F.sum("_c").over(upto))
+        if kept is None:
+            total = F.sum("_c").over(Window.partitionBy(*prefix))
+            counts = counts.withColumn("_lo", F.floor((total + 1) / 2)).withColumn("_hi", F.floor((total + 2) / 2))
+        before = F.col("_upto") - F.col("_c")
+        held = lambda rank: F.when((F.col(rank) > before) & (F.col(rank) <= F.col("_upto")), F.col(rank) - before)
+        found = counts.withColumns({"_lo": held("_lo"), "_hi": held("_hi")}).filter(F.col("_lo").isNotNull() | F.col("_hi").isNotNull())
+        kept = found.select(*prefix, digit, "_lo", "_hi") if i < len(digits) - 1 else found
+    return kept.groupBy(key).agg(((F.max(F.when(F.col("_lo").isNotNull(), F.col("_value"))) + F.max(F.when(F.col("_hi").isNotNull(), F.col("_value")))) / 2).alias("median"))
 
 
 def score_distribution(series: DataFrame, keys: DataFrame | None = None) -> DataFrame:

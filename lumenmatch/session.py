@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "8", app: str = "lumenmatch") -> SparkSession:
     """Session for tests and the bench. A cluster brings its own session and settings."""
@@ -49,12 +52,12 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
-def staged(df, name: str):
+def staged(df, name: str, tidy: bool = False):
     """Write an intermediate table once to the shared folder and read it back.
 
     Used where several branches need the same expensive rows: they are computed once, and a lost executor costs only
     the tasks it was running. The tables belong to the application: ``release_staged`` deletes them, at the latest when the
-    driver's Python ends.
+    driver's Python ends. With ``tidy``, the shuffle files of the write go as soon as it is done.
     """
     spark = df.sparkSession
     folder = _folder(spark)
@@ -62,8 +65,24 @@ def staged(df, name: str):
         _OWNED.add(folder)
         atexit.register(release_staged, spark)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    if tidy:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Deletes staged tables that no later step reads; what was derived from them must have been written before."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _OWNED: set[str] = set()

@@ -43,8 +43,8 @@ def brute_keep(hists, thumbs, max_kept):
     return kept
 
 
-@pytest.mark.parametrize("local_frames", [0, 10_000])
-def test_dedupe_frames_against_brute_force(spark, local_frames):
+@pytest.mark.parametrize("batch", [None, 1, 3])
+def test_dedupe_frames_against_brute_force(spark, batch):
     rng = np.random.default_rng(2)
     rows, want = [], {}
     for video in (1, 2):
@@ -55,7 +55,7 @@ def test_dedupe_frames_against_brute_force(spark, local_frames):
         rows += [(video, i, hists[i].tolist(), thumbs[i].tolist()) for i in range(20)]
         want[video] = brute_keep(hists, thumbs, 6)
     df = spark.createDataFrame(rows, "video_id long, frame_idx long, hist array<double>, thumb array<double>")
-    out = fr.dedupe_frames(df, max_kept=6, local_frames=local_frames).orderBy("video_id", "kept_order").collect()
+    out = fr.dedupe_frames(df, max_kept=6, batch=batch).orderBy("video_id", "kept_order").collect()
     got = {v: [r["frame_idx"] for r in out if r["video_id"] == v] for v in (1, 2)}
     assert got == want
 

@@ -76,7 +76,7 @@ def test_bank_statistics_match_pairwise_numpy(data):
 def test_clustering_same_distributed_and_local(data):
     bank = data[3]
     local = cl.cluster_assignments(bank, iters=3).select("campaign_id", "ref_id", "cluster_idx")
-    spread = cl.cluster_assignments(bank, iters=3, local_refs=2).select("campaign_id", "ref_id", "cluster_idx")
+    spread = cl.cluster_assignments(bank, iters=3, per_part=2).select("campaign_id", "ref_id", "cluster_idx")
     assert local.exceptAll(spread).isEmpty() and spread.exceptAll(local).isEmpty()
     assert local.groupBy("campaign_id").agg(F.countDistinct("cluster_idx").alias("k")).orderBy("campaign_id").collect()[0]["k"] == 4
 

@@ -1,131 +1,140 @@
-"""Line deduplication by content-defined chunks of lines, or by all repeated runs of lines, in DataFrame functions only."""
+"""Line deduplication by content-defined chunks of lines, in DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmatch.session import staged
+from lumenmatch.session import discard, staged
 
-#: Lines that the rolling hash covers, and one of so many hashes that ends a chunk.
-ROLL, DIVISOR = 2, 2
+#: Lines that the rolling hash covers.
+ROLL = 2
 
 
-def _chunks(text: Column, roll: int, divisor: int) -> Column:
-    """Array of (place from 0, n_lines, chunk) of a text.
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a transform over a one-element array binds it to a name."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
+def _ends(hashes: Column) -> Column:
+    """Numbers of the lines (from 1) that end a chunk.
 
-    The hash of a line and the ``roll - 1`` before it decides alone whether a chunk ends there, so equal runs of lines get
-    equal ends from their ``roll``-th line on, wherever they stand. The last line always ends a chunk. Nested lambdas name
-    each intermediate array once.
+    The rolling hash of a line and the ``ROLL - 1`` before it ends a chunk where it is smaller than that of both neighbouring
+    lines, so equal runs of lines get equal ends from their ``ROLL + 1``-th line on, wherever they stand, and no chunk but
+    the last one has a single line. The last line always ends a chunk.
     """
+    rolled = F.transform(hashes, lambda h, i: F.xxhash64(*[F.when(i >= k, F.get(hashes, i - k)) for k in range(ROLL)]))
 
-    def cut(lines: Column, hashes: Column) -> Column:
-        rolled = lambda i: F.xxhash64(*[F.when(i > k, F.get(hashes, i - 1 - k)) for k in range(roll)])
-        return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
+    def least(values: Column) -> Column:
+        at = lambda i: F.get(values, i)
+        return F.filter(F.sequence(F.lit(1), F.size(values)), lambda i: (i == F.size(values)) | ((i > 1) & (at(i - 1) < at(i - 2)) & (at(i - 1) < at(i))))
 
-    def joined(lines: Column, ends: Column) -> Column:
-        first = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
-        return F.transform(
-            ends,
-            lambda end, i: F.struct(i.alias("place"), (end - first(i)).alias("n_lines"), F.array_join(F.slice(lines, first(i) + 1, end - first(i)), "\n").alias("chunk")),
-        )
+    return _bind(rolled, least)
 
-    # a transform over a one-element array binds its value to a name
-    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    return bind(
-        F.split(F.coalesce(text, F.lit("")), "\n", -1),
-        lambda lines: bind(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: bind(cut(lines, hashes), lambda ends: joined(lines, ends))),
-    )
 
+def _spans(text: Column) -> Column:
+    """Array of (start from 0, n_lines, hash): the chunks of a text."""
 
-def line_chunks(docs: DataFrame, roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, text_hash (of the row's text) and chunks: array of (place from 0, n_lines, chunk), in order; joined by line
-    breaks the chunks are the text. A null text has the one chunk of an empty line."""
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _chunks(F.col("text"), roll, divisor).alias("chunks"))
+    def chunks(hashes: Column, ends: Column) -> Column:
+        start = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        return F.transform(
+            ends, lambda end, i: F.struct(start(i).alias("start"), (end - start(i)).alias("n_lines"), F.xxhash64(F.slice(hashes, start(i) + 1, end - start(i))).alias("hash"))
+        )
 
+    return _bind(F.transform(_lines(text), lambda x: F.xxhash64(x)), lambda hashes: _bind(_ends(hashes), lambda ends: chunks(hashes, ends)))
 
-def repeated_chunks(docs: DataFrame, roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, text_hash, place of every chunk of two lines or more that equals, byte for byte, an earlier one.
 
-    Earlier: by (doc_id, text hash, place), nulls first. Rows that are equal in doc_id and text are one document here. Chunks
-    are first counted by hash, with partial counts; only chunks of repeated hashes move with their bytes, and those are
-    grouped by the bytes themselves, again with partial results, so a chunk that a third of all rows hold meets as one row
-    per task. The join back is one whose hot keys Spark may split.
-    """
-    rows = line_chunks(docs, roll, divisor).select("doc_id", "text_hash", F.explode("chunks").alias("c"))
-    multi = rows.filter("c.n_lines > 1").select("doc_id", "text_hash", "c.place", "c.chunk", F.xxhash64("c.chunk").alias("chunk_hash"))
-    twice = multi.groupBy("chunk_hash").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_hash")
-    candidates = staged(multi.join(twice, "chunk_hash", "left_semi"), "chunks")
-    at = F.struct("doc_id", "text_hash", "place")
-    firsts = candidates.groupBy("chunk_hash", "chunk").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return candidates.join(firsts, ["chunk_hash", "chunk"]).filter(~at.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "place").distinct()
-
-
-def dedup_lines(docs: DataFrame, roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
-    """The columns of ``docs`` with repeated chunks taken out of ``text``, plus removed_lines and removed_chunks (long).
-
-    The first of equal chunks stays. Rows stay too, with an empty text if nothing is left; n_chars, if there is such a column,
-    follows the text. Defined cases: a null text stays null; single lines stay however often they repeat, unless a repeated
-    chunk holds them; repeated rows (equal doc_id and text) are treated alike, so the first one's copies stay with it; a null
-    doc_id sorts before all others; an empty table gives no rows. Other columns are kept; removed_lines and removed_chunks
-    replace columns of those names.
-    """
-    gone = repeated_chunks(docs, roll, divisor).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("place").alias("__places"))
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    chunked = joined.withColumn("__chunks", F.when(F.col("__places").isNotNull(), _chunks(F.col("text"), roll, divisor)))
-    # array_except works by hashing, so a text of many chunks takes linear time
-    left = F.array_except(F.sequence(F.lit(0), F.size("__chunks") - 1), F.col("__places"))
-    out = chunked.withColumns(
-        {
-            "text": F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__chunks"), i)["chunk"]), "\n")),
-            "removed_lines": F.coalesce(F.aggregate("__places", F.lit(0).cast("long"), lambda a, i: a + F.get(F.col("__chunks"), i)["n_lines"]), F.lit(0).cast("long")),
-            "removed_chunks": F.coalesce(F.size("__places"), F.lit(0)).cast("long"),
-        }
+def _pairs(text: Column) -> Column:
+    """Array of the hashes of all two neighbouring lines."""
+    return _bind(
+        F.transform(_lines(text), lambda x: F.xxhash64(x)),
+        lambda h: F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.array(F.get(h, i), F.get(h, i + 1))))),
     )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, *[c for c in ("removed_lines", "removed_chunks") if c not in docs.columns])
 
 
-def _bind(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def line_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (of the row's text) and chunks: array of (start from 0, n_lines, chunk), in order; joined by line
+    breaks the chunks are the text. A null text has the one chunk of an empty line."""
+    chunk = lambda lines: F.transform(_spans(F.col("text")), lambda s: F.struct(s["start"], s["n_lines"], F.array_join(F.slice(lines, s["start"] + 1, s["n_lines"]), "\n").alias("chunk")))
+    return docs.select("doc_id", _text_hash(), _bind(_lines(F.col("text")), chunk).alias("chunks"))
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, place (from 0) of every line that equals, with the next one, an earlier two neighbouring lines.
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
-    Every place of every text is tried, so no run of two equal lines or more is missed, whatever stands around it. Earlier: by
-    (doc_id, text hash, place), nulls first, and without a line in common: of a line that fills three neighbouring ones, the
-    first copy stays whole. Rows that are equal in doc_id and text are one document here.
 
-    Pairs are first counted by hash; those of repeated hashes move as SHA-256 digests of their bytes, not as texts. Both
-    tables that are joined back are written first, so that Spark may split hot keys on either side.
+def candidate_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, n_lines, hash of spans of lines whose hash stands elsewhere too.
+
+    Chunks of two lines or more come first. A repeated passage seldom begins or ends where a chunk does; so of the lines that
+    no repeated chunk has taken, each two neighbouring ones are tried as well, which finds the rest of the passage line by
+    line and passages too short for a chunk of their own. Only hashes and places are shuffled here, and equal hashes are
+    counted with partial results.
+    """
+    chunks = docs.select("doc_id", _text_hash(), F.inline(_spans(F.col("text")))).filter("n_lines > 1")
+    at = F.struct("doc_id", "text_hash", "start")
+    firsts = staged(chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").drop("n"), "chunk-hashes", tidy=True)
+    repeated = staged(chunks.join(firsts, "hash").withColumn("later", ~at.eqNullSafe(F.col("first"))).drop("first"), "chunks", tidy=True)
+    taken = repeated.filter("later").select("doc_id", "text_hash", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_lines") - 2)).alias("start"))
+    pairs = docs.select("doc_id", _text_hash(), F.posexplode(_pairs(F.col("text"))).alias("start", "hash"))
+    rest = staged(pairs.join(taken, _same_row(pairs, taken) & (pairs["start"] == taken["start"]), "left_anti"), "pairs", tidy=True)
+    twice = staged(rest.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "pair-hashes", tidy=True)
+    found = rest.join(twice, "hash", "left_semi").withColumn("n_lines", F.lit(2))
+    columns = ("doc_id", "text_hash", "start", "n_lines", "hash")
+    return repeated.select(*columns).unionByName(found.select(*columns))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, n_lines of spans that equal, byte for byte, an earlier one.
+
+    Earlier: by (doc_id, text hash, start), nulls first, and without a line in common: of a line that fills three neighbouring
+    ones, the first copy stays whole. Rows that are equal in doc_id and text are one document here. Candidates get their
+    lines by one join with the documents and are grouped by the bytes themselves, with partial results, so a span that a
+    third of all rows hold meets as one row per task. Both sides of the join back are written first, so that Spark may split
+    hot keys.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    couples = _bind(lines, lambda x: F.when(F.size(x) > 1, F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat_ws("\n", F.get(x, i), F.get(x, i + 1)))))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(couples).alias("place", "pair"))
-    hashed = rows.select("doc_id", "text_hash", "place", F.xxhash64("pair").alias("pair_hash"), F.unhex(F.sha2("pair", 256)).alias("digest"))
-    twice = staged(hashed.groupBy("pair_hash").agg(F.count("*").alias("n")).filter("n > 1").select("pair_hash"), "twice")
-    candidates = staged(hashed.join(twice, "pair_hash", "left_semi").drop("pair_hash"), "pairs")
-    at = F.struct("doc_id", "text_hash", "place")
-    firsts = staged(candidates.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    spans = candidate_spans(docs)
+    listed = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("start", "n_lines", "hash")).alias("_spans"))
+    listed = staged(listed, "lists", tidy=True)
+    rows = docs.select("doc_id", "text", _text_hash())
+    joined = rows.join(listed, rows["doc_id"].eqNullSafe(listed["_id"]) & (rows["text_hash"] == listed["_hash"]))
+    cut = lambda lines: F.transform("_spans", lambda s: F.struct(s["start"], s["n_lines"], s["hash"], F.array_join(F.slice(lines, s["start"] + 1, s["n_lines"]), "\n").alias("span")))
+    told = staged(joined.select("doc_id", "text_hash", F.inline(_bind(_lines(F.col("text")), cut))), "spans", tidy=True)
+    at = F.struct("doc_id", "text_hash", "start")
+    firsts = staged(told.groupBy("hash", "span").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts", tidy=True)
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    return candidates.join(firsts, "digest").filter(~(same & (F.col("place") < F.col("first.place") + 2))).select("doc_id", "text_hash", "place")
+    later = told.join(firsts, ["hash", "span"]).filter(~(same & (F.col("start") < F.col("first.start") + F.col("n_lines"))))
+    out = staged(later.select("doc_id", "text_hash", "start", "n_lines").distinct(), "later", tidy=True)
+    discard(listed, told, firsts)
+    return out
+
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` without repeated passages in ``text``, plus removed_lines and removed_chunks (long).
 
-def dedup_runs(docs: DataFrame) -> DataFrame:
-    """As ``dedup_lines``, but every run of two lines or more that stands earlier is taken out as a whole, not in chunks.
+    A line goes if it and a neighbour equal, byte for byte, two neighbouring lines that stand earlier. So repeated passages of
+    two lines or more go as a whole, whatever stands around them, and every different line stays somewhere: the earliest
+    place of a line is never in a repeated span. removed_chunks counts the stretches taken out. The first of equal passages
+    stays. Rows stay too, with an empty text if nothing is left; n_chars, if there is such a column, follows the text.
 
-    A line goes if it and a neighbour equal, byte for byte, two neighbouring lines before them. So every different line stays
-    somewhere: the earliest place of a line is never in a repeated pair. removed_chunks counts the stretches taken out.
+    Defined cases: a null text stays null; single lines stay however often they repeat, unless a repeated passage holds
+    them; repeated rows (equal doc_id and text) are treated alike, so the first one's copies stay with it; a null doc_id sorts
+    before all others; an empty table gives no rows. Other columns are kept; removed_lines and removed_chunks replace columns of
+    those names.
     """
-    places = repeated_pairs(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("place").alias("__places"))
-    gone = places.select("__id", "__hash", F.array_union("__places", F.transform("__places", lambda i: i + 1)).alias("__gone"))
+    lines = repeated_spans(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_lines") - 1)).alias("line"))
+    gone = staged(lines.groupBy("__id", "__hash").agg(F.collect_set("line").alias("__gone")), "gone", tidy=True)
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    # array_except and array_union work by hashing, so a text of many lines takes linear time
+    # array_except works by hashing, so a text of many lines takes linear time
     left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
     rest = _bind(F.split("text", "\n", -1), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
     stretches = F.size(F.array_except("__gone", F.transform("__gone", lambda i: i + 1)))

@@ -43,13 +43,13 @@ def test_two_lines_between_any_neighbours(spark):
 
 
 def test_hostile_rows(spark, hostile, nothing):
-    got = linechunks.dedup_runs(hostile)
+    got = linechunks.dedup_lines(hostile)
     assert found(got) == brute([(r["doc_id"], r["text"]) for r in hostile.select("doc_id", "text").collect()])
     assert got.columns == [*hostile.columns, "removed_lines", "removed_chunks"]
-    assert linechunks.dedup_runs(nothing).count() == 0
+    assert linechunks.dedup_lines(nothing).count() == 0
     same = [(k, "\n".join("x" * k)) for k in range(1, 7)] + [(None, None), (7, "a\nb\na\nb"), (8, "p\n\n\nq"), (9, "r\n\n\n\ns")]
     docs = spark.createDataFrame(same, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))
-    got = linechunks.dedup_runs(docs)
+    got = linechunks.dedup_lines(docs)
     assert found(got) == brute(same)
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.collect())
 
@@ -59,5 +59,5 @@ def test_query_against_every_pair(spark, sf):
     got = sorted((r["doc_id"], r["n_chars"], r["removed_lines"], r["removed_chunks"]) for r in op8_line_dedup(spark, sf).collect())
     assert got == sorted((i, len(t), a, b) for i, t, a, b in brute(rows))
     lines = {x for _, t in rows for x in t.split("\n")}
-    left = linechunks.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = linechunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {x for r in left.collect() for x in r["text"].split("\n")} >= lines - {""}

@@ -1,8 +1,9 @@
-"""Benchmark decontamination by seeds: a fixed mask over words, hits verified with substitutions."""
+"""Benchmark decontamination by spaced seeds: fixed masks over words, hits verified with substitutions."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,10 @@ from pyspark.sql import types as T
 from lumenmatch.llm.arrow import map_batches, raw_bytes, slices
 from lumenmatch.llm.tokens import BASE, mix, words
 
-#: Which words of a window a seed reads (1) and which it ignores (0). Three words in a row miss no overlap: where equal words
-#: stand at most two together, the sums in ``overlap`` never exceed two, so its stretch has two equal words, and none counts.
-MASKS = ("111",)
-#: Items of fewer words are not searched; an item shorter than a mask is sought as a whole.
-SHORTEST = 5
+#: Which words of a window a seed reads (1) and which it ignores (0). Of five words or more of which a quarter differs, in any
+#: places, one of these always reads equal words alone; items of four words and fewer have masks of their own.
+MASKS = ("1101", "10011")
+SHORT_MASKS = {2: "11", 3: "101", 4: "101"}
 #: An overlap counts from so many equal words on (or three quarters of a shorter item), of which its words may lack a quarter.
 MATCHED, SHARE = 12, 0.75
 #: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark goes in several blocks.
@@ -43,34 +43,48 @@ def seeds(hashes: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.ndarray
 
 
 class Index:
-    """Seeds of a block of benchmark items; its size follows from the block's bytes."""
+    """Seeds of a block of benchmark items; its size follows from the block's bytes. Travels as the items and is built once
+    per worker."""
 
     def __init__(self, items: list[tuple], masks: tuple[str, ...] = MASKS):
-        raw = [(i, t.encode()) for i, t in items if t]
+        self.items, self.all_masks, self.built = items, masks, False
+
+    def __getstate__(self):
+        return self.items, self.all_masks
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _build(self) -> None:
+        raw = [(i, t.encode()) for i, t in self.items if t]
         data = np.frombuffer(b"".join(t for _, t in raw), np.uint8)
         offsets = np.cumsum([0, *(len(t) for _, t in raw)])
         self.ids = [i for i, _ in raw]
         self.words, _, _, self.counts = words(data, offsets, _PARTS)
         n = np.diff(self.counts)
-        short = sorted({int(x) for x in n if SHORTEST <= x < min(map(len, masks))})
-        self.masks = (*masks, *("1" * x for x in short))
-        found = []
-        for mask in self.masks:
+        sizes = {mask: [k for k, m in SHORT_MASKS.items() if m == mask] for mask in SHORT_MASKS.values()}
+        found, self.masks = [], []
+        for mask in (*self.all_masks, *sizes):
             value, at = seeds(self.words, self.counts, mask)
             item = np.searchsorted(self.counts, at, side="right") - 1
-            fit = (n[item] >= SHORTEST) & ((n[item] == len(mask)) | (len(mask) >= min(map(len, masks))))
-            found.append((value[fit], item[fit], (at - self.counts[item])[fit]))
-        value, item, place = (np.concatenate(x) for x in zip(*found))
+            fit = np.isin(n[item], sizes[mask]) if mask in sizes else n[item] > max(SHORT_MASKS)
+            if fit.any():
+                self.masks.append(mask)
+                found.append((value[fit], item[fit], (at - self.counts[item])[fit]))
+        value, item, place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
         order = np.argsort(value, kind="stable")
         self.item, self.place = item[order], place[order]
         self.values, self.first = np.unique(value[order], return_index=True)
         self.last = np.append(self.first[1:], len(value))
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.values >> np.uint64(42)).astype(np.int64)] = True
+        self.built = True
 
     def overlaps(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple]]:
         """Matches of each text: (item_id, doc_word, item_word, n_words, n_matched), by item and place."""
         out: list[list[tuple]] = [[] for _ in range(len(offsets) - 1)]
+        if not self.built:
+            self._build()
         if not len(self.values):
             return out
         hashes, _, _, counts = words(data, offsets, _PARTS)
@@ -97,7 +111,7 @@ class Index:
             its = self.words[self.counts[item] : self.counts[item + 1]]
             a, b = max(0, -shift), min(len(its), len(own) - shift)
             start, end, same = overlap(own[a + shift : b + shift] == its[a:b])
-            if same >= min(MATCHED, math.ceil(SHARE * len(its))) and same >= SHARE * (end - start):
+            if same >= min(MATCHED, math.ceil(SHARE * len(its))):
                 match = (self.ids[item], a + start + shift, a + start, end - start, same)
                 if (doc, item) not in best or best[(doc, item)][4] < same:
                     best[(doc, item)] = match
@@ -123,52 +137,65 @@ class Index:
 
 
 def overlap(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and equal words of the stretch with the most (equal words minus twice the others); the first of several."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+    """Start, end and equal words of the stretch with the most equal words among those of which three quarters or more are
+    equal (``SHARE``); it begins and ends with one; the first of several."""
+    # a stretch has the share where the sum of +1 (equal) and -3 over it is not negative
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
+    same = np.concatenate([[0], np.cumsum(equal)])
+    # the longest such stretch up to each end starts at the first sum that is no larger than the end's
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(same - same[start]))
+    places = np.flatnonzero(equal[start[end] : end]) + start[end]
+    return (int(places[0]), int(places[-1]) + 1, len(places)) if len(places) else (0, 0, 0)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with ``matches``: the benchmark items (item_id, text) that the text holds, wholly or in part.
 
-    A match: item_id, first word in the document and in the item, words of the stretch and how many of them are equal; the
-    best one per item. Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z in lower case.
+    An overlap counts if, along one alignment, a stretch has ``MATCHED`` equal words (or three quarters of a shorter item) and
+    at most a quarter of its words differ. A match: item_id, first word in the document and in the item, words of the
+    stretch and how many of them are equal; the best one per item. Words are runs of ASCII letters, digits and non-ASCII
+    characters, with A-Z in lower case.
 
-    The benchmark is measured first; a block of at most ``block`` bytes at a time is indexed and sent to the tasks, where its
-    hashes are joined with those of each whole text. Documents are never shuffled.
+    The benchmark is measured first. Up to ``block`` bytes are sent to the tasks as a whole, where the seeds of their index
+    are joined with those of each whole text, and no document is shuffled. A larger benchmark goes in blocks, each searched
+    in a scan of its own, so a task holds one index; only documents with matches go on and are joined back.
 
-    Defined cases: null and empty texts match nothing; items of fewer than five words, empty ones and null ones are not
-    sought; equal items each match; repeated rows match alike; empty tables give
-    no rows or no matches. Other columns are kept; a column named matches is replaced.
+    Defined cases: null and empty texts match nothing; items of one word, empty ones and null ones are not sought; equal items
+    each match; repeated rows match alike; empty tables give no rows or no matches. Other columns are kept; a column named
+    matches is replaced.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(size / block))
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    kept = [c for c in docs.columns if c != "matches"]
-    found = docs.select(*kept).withColumn("matches", F.array().cast(f"array<{MATCH.format(kind)}>"))
+    kept = docs.select(*[c for c in docs.columns if c != "matches"])
     dealt = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("b"))
-    for b in range(blocks):
+
+    def search(rows: DataFrame, b: int) -> DataFrame:
         items = sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("b") == b).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
-        index = spark.sparkContext.broadcast(Index(items, masks))
-        found = _with_block(found, index, kind)
-    return found
+        return _with_block(rows, spark.sparkContext.broadcast(Index(items, masks)), kind)
+
+    if blocks == 1:
+        return search(kept, 0)
+    texts = kept.select("text", F.xxhash64("text").alias("__a"), F.xxhash64(F.reverse("text"), F.length("text")).alias("__b")).filter(F.col("text") != "")
+    parts = [search(texts, b).filter(F.size("matches") > 0).drop("text").dropDuplicates(["__a", "__b"]) for b in range(blocks)]
+    found = reduce(DataFrame.unionByName, parts).groupBy("__a", "__b").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    keyed = kept.withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.reverse("text"), F.length("text"))})
+    none = F.array().cast(f"array<{MATCH.format(kind)}>")
+    return keyed.join(found, ["__a", "__b"], "left").select(*kept.columns, F.coalesce("matches", none).alias("matches"))
 
 
 def _with_block(docs: DataFrame, index, kind: str) -> DataFrame:
-    names = [c for c in docs.columns if c != "matches"]
+    names = docs.columns
 
     def work(batch):
         data, offsets = raw_bytes(batch.column("text"))
         for a, b in slices(offsets, CHUNK):
             got = index.value.overlaps(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             part = batch.slice(a, b - a)
-            before = part.column("matches").to_pylist()
             keys = ("item_id", "doc_word", "item_word", "n_words", "n_matched")
-            yield {**{n: part.column(n) for n in names}, "matches": [x + [dict(zip(keys, m)) for m in y] for x, y in zip(before, got)]}
+            yield {**{n: part.column(n) for n in names}, "matches": [[dict(zip(keys, m)) for m in x] for x in got]}
 
     schema = T.StructType([docs.schema[n] for n in names] + T.StructType.fromDDL(f"matches array<{MATCH.format(kind)}>").fields)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])

@@ -1,9 +1,11 @@
 import corpus_pipeline
-from test_linechunks import brute as brute_lines
+import tiktoken
+import public_tokenizers
+from test_lineruns import brute as brute_lines
 from test_minmax import brute as brute_near
+from test_seeds import contaminated
 
-from lumenmatch.llm import bpe, rules, seeds
-from lumenmatch.llm.queries import vocabulary
+from lumenmatch.llm import bpe, rules
 
 
 def test_stages_on_hostile_rows(spark, hostile, nothing, sf):
@@ -20,11 +22,11 @@ def test_run_against_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in keep]
     rows = [(i, t) for i, t, *_ in brute_lines(rows)]
     first = {i for i, _, c in brute_near(rows) if i == c}
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    index = seeds.Index(items)
-    text = lambda t: (seeds.np.frombuffer(t.encode(), seeds.np.uint8), seeds.np.array([0, len(t.encode())]))
-    rows = [(i, t) for i, t in rows if i in first and not (t and index.overlaps(*text(t))[0])]
-    codec = bpe.Codec(*vocabulary())
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    rows = [(i, t) for i, t in rows if i in first]
+    found = contaminated(dict(rows), items)
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf).collect()}
-    assert got == {i: codec.encode(t or "").tolist() for i, t in rows}
+    assert got == {i: library.encode_ordinary(t or "") for i, t in rows if not found[i]}
     assert 0 < len(got) < docs.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,6 +216,19 @@ def failure_cases(spark, sf):
 # --- sequences ---------------------------------------------------------------------------------------------------
 
 
+def failure_archive(spark, sf):
+    """The archive of two runs, written and read back: cases per verdict."""
+    path = f"{shared_dir(spark)}/failures-{uuid.uuid4().hex}"
+    results = result_table(spark, sf, "target_id", KEY, *dg.ARCHIVED)
+    for _ in range(2):
+        dg.write_failure_cases(results, path)
+    kept = spark.read.parquet(path)
+    return kept.groupBy("verdict").agg(
+        F.count("*").alias("n"), F.count_if("is_near_miss").alias("near_misses"), F.count_if("is_ambiguous").alias("ambiguous"), F.countDistinct("filename").alias("files"),
+        F.round(F.max("similarity_score"), 4).alias("most_similar"),
+    )
+
+
 def spike_suppression(spark, sf):
     return sq.suppress_spikes(d.scores(spark, sf)).select("seq_id", "idx", r("suppressed"))
 
@@ -412,6 +427,15 @@ def detection_layer(spark, sf):
     return _layer(ev.detection_layer(d.boxes(spark, sf)))
 
 
+def brand_video(spark, sf):
+    """The items of a user, one a day, as frames of a sequence: the best frame's whole result, and a sequence without frames."""
+    day = F.datediff(F.to_date(F.regexp_replace("item_id", "^[0-9]+-", "")), F.lit("2024-01-01").cast("date"))
+    frames = ev.brand_verdict(ev.ensemble(d.evidence(spark, sf))).select("*", F.split("item_id", "-")[0].cast("long").alias("seq_id"), day.cast("long").alias("idx"))
+    sequences = frames.select("seq_id").unionByName(spark.range(-1, 0).withColumnRenamed("id", "seq_id"))
+    out = ev.brand_video(frames, sequences)
+    return out.select("seq_id", "n_scanned", "idx", "item_id", "verdict", "confidence", "confidence_raw", "label")
+
+
 def color_layer(spark, sf):
     return _layer(ev.color_layer(d.colors(spark, sf), d.PALETTE))
 
@@ -484,6 +508,45 @@ def _campaign_results(spark, sf):
     return pc.campaign_results(files.unionByName(clips), d.frames(spark, sf), banks(spark, sf), failures=failures)
 
 
+def bankless_matches(spark, sf):
+    """Targets asked of a campaign without references, next to the same ones asked of their own."""
+    t = d.targets(spark, sf)
+    m = pi.match_images(t.unionByName(t.withColumn(KEY, F.lit(-1).cast("long"))), banks(spark, sf))
+    return m.groupBy(KEY).agg(
+        F.count("*").alias("n"), F.count_if(F.col("match_type") != "NO_MATCH").alias("matched"), F.count_if(F.size("warnings") > 0).alias("warned"),
+        F.round(F.max("confidence"), 4).alias("most"),
+    )
+
+
+def bank_readiness(spark, sf):
+    campaigns = d.targets(spark, sf).select(KEY).unionByName(spark.range(-2, 0).select(F.col("id").alias(KEY)))
+    return bank_store.bank_readiness(campaigns, banks(spark, sf))
+
+
+def bank_reuse(spark, sf):
+    """A store opened twice, the second time without one reference of campaign 3: only that campaign is built again."""
+    root = f"{shared_dir(spark)}/reuse-{uuid.uuid4().hex}"
+    bank, neg = d.bank(spark, sf), d.neg_bank(spark, sf)
+    bank_store.materialize_banks(bank, neg, root)
+    last = bank.filter(F.col(KEY) == 3).agg(F.max("ref_id").alias("ref_id"))
+    bank_store.materialize_banks(bank.join(last, "ref_id", "left_anti"), neg, root)
+    return bank_store.bank_builds(spark, root)
+
+
+def report_payload(spark, sf):
+    """The written report, read back: summary of the header and the lines of each campaign."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    results = result_table(spark, sf, KEY, "target_id", "match_type", "campaign_match", "filename", "media_context", "social_adjustment")
+    headers, lines = rp.read_report(spark, path, rp.write_report(results, banks(spark, sf).stats, path))
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    counts = lines.groupBy(KEY).agg(F.count("*").alias("lines"), F.count_if(F.get_json_object("result", "$.campaign_match") == "true").alias("matched_lines"))
+    read = headers.select(
+        KEY, *[field(f"summary.{n}").cast("long").alias(n) for n in ("num_targets", "matches", "rejections", "num_references")],
+        field("summary.cluster_quality").alias("cluster_quality"), field("social_analytics.social_targets").cast("long").alias("social_targets"),
+    )
+    return read.join(counts, KEY).withColumn(KEY, F.col(KEY).cast("long"))
+
+
 def campaign_report(spark, sf):
     return rp.run_summary(_campaign_results(spark, sf), [KEY])
 
@@ -584,11 +647,11 @@ QUERIES = {
     for f in (
         l2_normalize, pair_similarity, top_matches, target_stats, bank_centroid, bank_variance, intra_similarity, outliers, silhouette,
         cohesion, farthest_first, cluster_members, cluster_members_rounds, whole_bank_similarity, reference_clusters, cohesion_clusters, dominant_cluster, cluster_topk,
-        competitor_eval, thresholds, calibrate, boosts, verdict, match_images, diagnostics, explain, failure_cases,
+        competitor_eval, thresholds, calibrate, boosts, verdict, match_images, diagnostics, explain, failure_cases, failure_archive,
         spike_suppression, kernel_smoothing, continuity, stable_segments, temporal_strength, best_until_confident, match_videos,
         shared_targets, shared_videos, frame_scores, video_segments, sequence_context, sample_interval, sample_even, blur_filter, frame_diff, dedupe_frames, dedupe_frames_rounds, keyframe_match,
         media_context, text_normalize, brand_mentions, term_table_mentions, ocr_term_table, ocr_evidence, caption_evidence, prompt_table, class_table, image_layer,
-        prompt_layer, detections, detection_layer, color_layer, hex_colors, ensemble, brand_verdict, detect_brands,
+        prompt_layer, detections, detection_layer, brand_video, bankless_matches, bank_readiness, bank_reuse, report_payload, color_layer, hex_colors, ensemble, brand_verdict, detect_brands,
         score_distribution, social_analytics, run_summary, evaluation, evaluation_predictions, campaign_report, campaign_results, campaign_analytics,
         debug_exports, debug_matches, debug_headers, flatten_results, list_media, list_targets, resolve_roles, scan_posts, bank_fingerprint, posts_clean, media_urls, union_targets,
         expand_media, fetch_errors,

@@ -6,7 +6,7 @@ algebraic, so a hot item is reduced before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenmatch.functions.text import fixed
@@ -59,18 +59,37 @@ def detections(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("kind", kind).withColumn("label", label).withColumn("conf3", F.round("conf", 3)).filter("kind is not null")
 
 
-def detection_layer(boxes: DataFrame) -> DataFrame:
-    """Detection layer. The detections themselves stay rows of ``detections``."""
+# Most boxes that one text lists (a detector's usual limit for an image), and the texts.
+LISTED = 300
+BRAND_BOXES = "Brand detected with high confidence: "
+GENERIC_BOXES = "Only generic or low-confidence objects: "
+NO_BOXES = "No relevant objects detected."
+
+
+def listed_boxes(found: DataFrame, order: str, limit: int = LISTED) -> DataFrame:
+    """item_id, kind, boxes: the detections of an item and kind in the order of ``order`` as one text, at most ``limit`` of them
+    and the number of the others. Spark keeps that many rows per task and group before it shuffles them."""
+    entry = F.concat(F.lit("('"), "label", F.lit("', "), F.col("conf3").cast("string"), F.lit(")"))
+    place = F.row_number().over(Window.partitionBy("item_id", "kind").orderBy(order))
+    first = found.select("item_id", "kind", entry.alias("_t"), place.alias("_r")).filter(F.col("_r") <= limit)
+    texts = first.groupBy("item_id", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_t"))), lambda x: x["_t"]).alias("_list"))
+    counts = found.groupBy("item_id", "kind").agg(F.count("*").alias("_n"))
+    more = F.when(F.col("_n") > limit, F.format_string(" and %d more", F.col("_n") - limit)).otherwise("")
+    return texts.join(counts, ["item_id", "kind"]).select("item_id", "kind", F.concat(F.lit("["), F.array_join("_list", ", "), F.lit("]"), more).alias("boxes"))
+
+
+def detection_layer(boxes: DataFrame, items: DataFrame | None = None, order: str = "event_id") -> DataFrame:
+    """Detection layer of every item that has boxes, or of all ``items`` (item_id). Its text lists the brand detections, or the
+    generic ones if there are none, in the order of ``order``; an item without any has a text that says so."""
     brand = F.col("kind") == "brand"
-    df = detections(boxes).groupBy("item_id").agg(
-        F.max(F.when(brand, F.col("conf"))).alias("best"), F.max(F.when(~brand, F.col("conf3"))).alias("generic"),
-        F.count_if(brand).alias("n_brand"), F.count_if(~brand).alias("n_generic"),
-    )
-    has = F.col("n_brand") > 0
-    score = F.when(has, F.least(F.lit(1.0), F.col("best") * 2.0)).otherwise(F.least(F.lit(0.3), F.col("generic") * 0.5))
-    text = F.when(has, F.format_string("Brand detected with high confidence: %d boxes", "n_brand")).otherwise(
-        F.format_string("Only generic or low-confidence objects: %d boxes", "n_generic")
+    found = detections(boxes)
+    best = found.groupBy("item_id").agg(
+        F.max(F.when(brand, F.col("conf"))).alias("best"), F.max(F.when(~brand, F.col("conf3"))).alias("generic"), F.min("kind").alias("kind")
     )
+    df = (boxes if items is None else items).select("item_id").distinct().join(best, "item_id", "left").join(listed_boxes(found, order), ["item_id", "kind"], "left")
+    has = F.coalesce(brand, F.lit(False))
+    score = F.when(has, F.least(F.lit(1.0), F.col("best") * 2.0)).otherwise(F.coalesce(F.least(F.lit(0.3), F.col("generic") * 0.5), F.lit(0.0)))
+    text = F.when(has, F.concat(F.lit(BRAND_BOXES), "boxes")).when(F.col("kind").isNotNull(), F.concat(F.lit(GENERIC_BOXES), "boxes")).otherwise(NO_BOXES)
     return _layer(df, "detection", score, has, text, F.lit(0.7))
 
 
@@ -170,6 +189,11 @@ def format_label() -> Column:
     )
 
 
-def brand_video(frame_verdicts: DataFrame, max_frames: int = 6) -> DataFrame:
-    """Best frame verdict of each sequence (seq_id, idx, verdict, confidence)."""
-    return best_until_confident(frame_verdicts, max_frames)
+def brand_video(frame_verdicts: DataFrame, sequences: DataFrame | None = None, max_frames: int = 6) -> DataFrame:
+    """The whole result of the best frame of each sequence: all columns of ``frame_verdicts`` (seq_id, idx, verdict, confidence
+    and others), and n_scanned. Sequences of ``sequences`` (seq_id) without frames are irrelevant with confidence 0."""
+    best = best_until_confident(frame_verdicts, max_frames)
+    if sequences is None:
+        return best
+    whole = sequences.select("seq_id").distinct().join(best, "seq_id", "left")
+    return whole.fillna({"n_scanned": 0, "verdict": "Irrelevant", "confidence": 0.0})

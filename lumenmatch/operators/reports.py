@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenmatch.functions.scoring import r4
@@ -95,12 +97,12 @@ def radix_digits(v: Column) -> list[Column]:
     The first is the sign with the power of two and six bits; three of 16 bits follow. Scaling by powers of two and taking
     whole parts are exact, and the logarithm only has to be monotonic, so no digit depends on rounding. Zeros are equal.
     """
-    small = F.abs(v) < 2.0**-900
+    small, endless = F.abs(v) < 2.0**-900, F.abs(v) == float("inf")
     scaled = F.abs(v) * F.when(small, 2.0**200).otherwise(1.0)
-    power = F.when(scaled == 0, 0.0).otherwise(F.floor(F.log2(scaled)).cast("double"))
+    power = F.when(scaled == 0, 0.0).when(endless, 1024.0).otherwise(F.floor(F.log2(scaled)).cast("double"))
     # from one half to two; two factors, as 2^-power of a large power is no normal double
     half = F.floor(power / 2)
-    rest = scaled * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power) * 64
+    rest = F.when(endless, 0.0).otherwise(scaled * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power) * 64)
     first = F.when(scaled == 0, 0.0).otherwise((power - F.when(small, 200.0).otherwise(0.0) + 1200) * 256 + F.floor(rest))
     digits = [first]
     for _ in range(3):
@@ -118,7 +120,7 @@ def exact_median(series: DataFrame, key: str = "seq_id", value: str = "score") -
     and NaN are left out.
     """
     digits = [f"_d{i}" for i in range(4)]
-    rows = series.select(key, F.col(value).cast("double").alias("_v")).filter(~F.isnan("_v"))
+    rows = series.select(key, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     rows = rows.select(key, "_v", *[d.alias(n) for n, d in zip(digits, radix_digits(F.col("_v")))])
     kept = None
     for i, digit in enumerate(digits):
@@ -219,11 +221,20 @@ def report_header(results: DataFrame, stats: DataFrame, key: str = "campaign_id"
     )
 
 
-def write_report(results: DataFrame, stats: DataFrame, path: str, key: str = "campaign_id") -> None:
-    """Report payload as two JSON sets. Results stay one line each, so no campaign is gathered into one document; they are
-    dealt by campaign before they are written, and a large campaign is dealt to several tasks."""
-    report_header(results, stats, key).hint("rebalance", key).write.mode("overwrite").partitionBy(key).text(f"{path}/header")
-    result_lines(results, key).hint("rebalance", key).write.mode("overwrite").partitionBy(key).text(f"{path}/results")
+def write_report(results: DataFrame, stats: DataFrame, path: str, key: str = "campaign_id") -> str:
+    """Report payload as two JSON sets, named by the job's id. Results stay one line each, so no campaign is gathered into one
+    document; they are dealt by campaign before they are written, and a large campaign is dealt to several tasks. The headers
+    are written last, in one commit: a job that died before has no headers, and nothing of it is read."""
+    job = uuid.uuid4().hex
+    result_lines(results, key).hint("rebalance", key).write.partitionBy(key).text(f"{path}/results/job={job}")
+    report_header(results, stats, key).hint("rebalance", key).write.partitionBy(key).text(f"{path}/header/job={job}")
+    return job
+
+
+def read_report(spark: SparkSession, path: str, job: str) -> tuple[DataFrame, DataFrame]:
+    """(key, payload) headers and (key, result) lines of a finished job."""
+    headers = spark.read.text(f"{path}/header/job={job}").withColumnRenamed("value", "payload")
+    return headers, spark.read.text(f"{path}/results/job={job}").withColumnRenamed("value", "result")
 
 
 def debug_exports(results: DataFrame, ids: list[str]) -> dict[str, DataFrame]:

@@ -198,7 +198,7 @@ def temporal_strength(smoothed: DataFrame, threshold: Column, source: str = "smo
 def best_until_confident(frames: DataFrame, max_frames: int = 6, confident: float = 85.0) -> DataFrame:
     """Best frame verdict when a scan of the first ``max_frames`` frames stops at the first confident hit.
 
-    Expects seq_id, idx, verdict, confidence. The highest confidence wins, the earliest on ties. Only the first
+    Expects seq_id, idx, verdict, confidence; other columns go along. The highest confidence wins, the earliest on ties. Only the first
     ``max_frames`` rows matter, so the group is cut before anything else; everything after is an aggregate.
     """
     place = F.row_number().over(Window.partitionBy("seq_id").orderBy("idx"))
@@ -207,5 +207,6 @@ def best_until_confident(frames: DataFrame, max_frames: int = 6, confident: floa
     first_hit = Window.partitionBy("seq_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max(hit.cast("int")).over(first_hit), F.lit(0))
     kept = early.withColumn("_seen", seen).filter(F.col("_seen") == 0)
-    best = F.max_by(F.struct("idx", "verdict", "confidence"), F.struct("confidence", -F.col("idx")))
+    others = [c for c in frames.columns if c not in ("seq_id", "idx", "verdict", "confidence")]
+    best = F.max_by(F.struct("idx", "verdict", "confidence", *others), F.struct("confidence", -F.col("idx")))
     return kept.groupBy("seq_id").agg(F.count("*").alias("n_scanned"), best.alias("b")).select("seq_id", "n_scanned", "b.*")

@@ -572,8 +572,14 @@ cte(
 )
 cte(
     "detl",
-    """SELECT item_id, CASE WHEN nb > 0 THEN least(1.0::DOUBLE, b * 2) ELSE least(0.3::DOUBLE, g * 0.5) END AS score, nb > 0 AS fired, nb, ng FROM (SELECT item_id,
-    max(conf) FILTER (WHERE kind = 'brand') AS b, max(conf3) FILTER (WHERE kind = 'generic') AS g, count(*) FILTER (WHERE kind = 'brand') AS nb, count(*) FILTER (WHERE kind = 'generic') AS ng FROM box GROUP BY 1)""",
+    """SELECT item_id, CASE WHEN nb > 0 THEN least(1.0::DOUBLE, b * 2) WHEN ng > 0 THEN least(0.3::DOUBLE, g * 0.5) ELSE 0.0::DOUBLE END AS score, coalesce(nb > 0, false) AS fired,
+    CASE WHEN nb > 0 THEN 'Brand detected with high confidence: ' || lb || CASE WHEN nb > 300 THEN printf(' and %d more', nb - 300) ELSE '' END
+        WHEN ng > 0 THEN 'Only generic or low-confidence objects: ' || lg || CASE WHEN ng > 300 THEN printf(' and %d more', ng - 300) ELSE '' END
+        ELSE 'No relevant objects detected.' END AS evidence
+    FROM (SELECT DISTINCT user_id AS item_id FROM events) LEFT JOIN (SELECT item_id,
+    max(conf) FILTER (WHERE kind = 'brand') AS b, max(conf3) FILTER (WHERE kind = 'generic') AS g, count(*) FILTER (WHERE kind = 'brand') AS nb, count(*) FILTER (WHERE kind = 'generic') AS ng,
+    '[' || string_agg(t, ', ' ORDER BY event_id) FILTER (WHERE kind = 'brand' AND k <= 300) || ']' AS lb, '[' || string_agg(t, ', ' ORDER BY event_id) FILTER (WHERE kind = 'generic' AND k <= 300) || ']' AS lg
+    FROM (SELECT *, '(''' || label || ''', ' || CAST(conf3 AS VARCHAR) || ')' AS t, row_number() OVER (PARTITION BY item_id, kind ORDER BY event_id) AS k FROM box) GROUP BY 1) USING (item_id)""",
     "box",
 )
 _rgb = [ev.hex_to_rgb(h) for h in d.PALETTE]
@@ -788,6 +794,19 @@ _cohesion_text = f"""array_to_string(list_filter([CASE grade WHEN 'EXCELLENT' TH
 
 # --- queries -----------------------------------------------------------------------------------------------------
 
+cte(
+    "framev",
+    f"""SELECT *, CAST(string_split(item_id, '-')[1] AS BIGINT) AS seq_id, date_diff('day', DATE '2024-01-01', CAST(regexp_replace(item_id, '^[0-9]+-', '') AS DATE)) AS idx FROM ({verdicts('fus')})""",
+    "fus",
+)
+cte(
+    "framebest",
+    """SELECT seq_id, count(*) AS n_scanned, first(idx ORDER BY confidence DESC, idx) AS idx FROM (
+    SELECT *, coalesce(max(CASE WHEN verdict = 'Relevant' AND confidence >= 85 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+    FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY idx) AS k FROM framev) WHERE k <= 6) WHERE s = 0 GROUP BY 1""",
+    "framev",
+)
+
 ORACLE = {
     "l2_normalize": f"""SELECT vec_id, unnest(generate_series(0, len(u) - 1)) AS pos, {rnd('unnest(u)')} AS value FROM (SELECT vec_id, {unit('w')} AS u FROM
         (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7 + 1)) AS w FROM embeddings))""",
@@ -853,6 +872,11 @@ ORACLE = {
         WHERE is_near_miss OR is_ambiguous OR n_warnings > 0""",
         "img",
     ),
+    "failure_archive": sql(
+        """SELECT verdict, 2 * count(*) AS n, 2 * count(*) FILTER (WHERE near) AS near_misses, 2 * count(*) FILTER (WHERE amb_) AS ambiguous, count(DISTINCT filename) AS files, round(max(round(primary_score, 4)), 4) AS most_similar
+        FROM (SELECT *, abs(primary_score - possible) <= 0.05 AS near, comp >= 0.65 AND amb >= 0.40 AS amb_ FROM img) WHERE near OR amb_ OR len(warnings) > 0 GROUP BY 1""",
+        "img",
+    ),
     "spike_suppression": sql(f"SELECT seq_id, idx, {rnd('sup')} AS suppressed FROM sup", "sup"),
     "kernel_smoothing": sql(
         f"SELECT seq_id, idx, {rnd('smo5')} AS smoothed5, {rnd('smo')} AS smoothed7 FROM ({smoothed('(SELECT * RENAME (smo AS smo5) FROM (' + smoothed('sup', 'score', K5) + '))', 'score', K7)})", "sup"
@@ -965,10 +989,30 @@ ORACLE = {
     ),
     "detections": sql("SELECT item_id, event_id, kind, label, conf3 FROM box", "box"),
     "detection_layer": sql(
-        f"""SELECT item_id, 'detection' AS layer, {rnd('score')} AS score, fired, CASE WHEN fired THEN printf('Brand detected with high confidence: %d boxes', nb)
-        ELSE printf('Only generic or low-confidence objects: %d boxes', ng) END AS evidence, 0.7::DOUBLE AS weight FROM detl""",
+        f"""SELECT item_id, 'detection' AS layer, {rnd('score')} AS score, fired, evidence, 0.7::DOUBLE AS weight FROM detl""",
         "detl",
     ),
+    "brand_video": sql(
+        """SELECT q.seq_id, coalesce(n_scanned, 0) AS n_scanned, b.idx, item_id, coalesce(verdict, 'Irrelevant') AS verdict, coalesce(confidence, 0.0::DOUBLE) AS confidence, confidence_raw, label
+        FROM (SELECT DISTINCT seq_id FROM framev UNION ALL SELECT -1) q LEFT JOIN framebest b ON b.seq_id = q.seq_id LEFT JOIN framev v ON v.seq_id = b.seq_id AND v.idx = b.idx""",
+        "framev", "framebest",
+    ),
+    "bankless_matches": sql(
+        """SELECT campaign_id, count(*) AS n, count(*) FILTER (WHERE match_type <> 'NO_MATCH') AS matched, count(*) FILTER (WHERE len(warnings) > 0) AS warned, round(max(round(conf, 4)), 4) AS most FROM img GROUP BY 1
+        UNION ALL SELECT -1, count(*), 0, 0, 0.0::DOUBLE FROM img""",
+        "img",
+    ),
+    "bank_readiness": sql(
+        """SELECT campaign_id, coalesce(n, 0) AS n_refs, coalesce(m, 0) AS n_negs, coalesce(n, 0) > 0 AS ready FROM (SELECT DISTINCT campaign_id FROM tgt UNION ALL SELECT -1 UNION ALL SELECT -2)
+        LEFT JOIN (SELECT campaign_id, count(*) AS n FROM bank GROUP BY 1) USING (campaign_id) LEFT JOIN (SELECT campaign_id, count(*) AS m FROM neg GROUP BY 1) USING (campaign_id)""",
+        "tgt", "bank", "neg",
+    ),
+    "bank_reuse": sql("SELECT campaign_id, CASE campaign_id WHEN 3 THEN 2 ELSE 1 END::BIGINT AS builds, count(*) - CASE campaign_id WHEN 3 THEN 1 ELSE 0 END AS n_refs FROM bank GROUP BY 1", "bank"),
+    "report_payload": sql(
+        """SELECT campaign_id, num_targets, matches, rejections, b.n_refs AS num_references, c.grade AS cluster_quality, social_targets, num_targets AS lines, matches AS matched_lines
+        FROM run JOIN bvar b USING (campaign_id) JOIN coh c USING (campaign_id) JOIN (SELECT campaign_id, count(*) FILTER (WHERE social) AS social_targets FROM img GROUP BY 1) USING (campaign_id)""",
+        "run", "bvar", "coh", "img",
+    ),
     "color_layer": sql(
         f"""SELECT item_id, 'color' AS layer, {rnd('score')} AS score, score > 0.70 AS fired, printf('Color match score: %.3f (min dist=%.1f)', score, dist) AS evidence, 0.3::DOUBLE AS weight FROM colr""",
         "colr",

@@ -77,3 +77,14 @@ def materialize_banks(bank: DataFrame, neg: DataFrame, root: str, force: bool =
         spark.read.parquet(f"{root}/{n}").join(latest, pick, "left_semi").drop("build", "built_at") for n in ("stats", "packs", "members")
     )
     return Banks(stats, packs, members, measure(packs))
+
+
+def bank_builds(spark: SparkSession, root: str) -> DataFrame:
+    """Per campaign of a store: how often it was built, and the references of its last build."""
+    return spark.read.parquet(f"{root}/stats").groupBy(KEY).agg(F.countDistinct("build").alias("builds"), F.max_by("n_refs", "built_at").alias("n_refs"))
+
+
+def bank_readiness(campaigns: DataFrame, banks: Banks) -> DataFrame:
+    """Per listed campaign: references, competitors and whether targets can be scored at all."""
+    known = banks.stats.select(KEY, "n_refs", "n_negs")
+    return campaigns.select(KEY).distinct().join(known, KEY, "left").fillna(0, ["n_refs", "n_negs"]).withColumn("ready", F.col("n_refs") > 0)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmatch.functions.paths import REFERENCE_EXTS, SUPPORTED_EXTS, basename, digest_parts, extension
+from lumenmatch.sources.folders import list_files
 
 # Role directories in order of preference.
 POSITIVE_DIRS = ("positive_refs", "positives", "refs", "references")
@@ -17,8 +18,8 @@ NEGATIVE_DIRS = ("hard_negatives", "negatives")
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+    """Listing of a folder, walked in tasks; no file's status passes through the driver."""
+    return list_files(spark, root)
 
 
 def unique_files(listing: DataFrame, exts=REFERENCE_EXTS) -> DataFrame:

@@ -102,10 +102,31 @@ def test_store_reuses_and_rebuilds(spark, sf, tmp_path):
 
     bank, neg, root = d.bank(spark, sf), d.neg_bank(spark, sf), str(tmp_path)
     first = materialize_banks(bank, neg, root)
-    files = len(list((tmp_path / "stats").glob("*.parquet")))
+    files = len(list((tmp_path / "stats").rglob("*.parquet")))
     again = materialize_banks(bank, neg, root)
-    assert len(list((tmp_path / "stats").glob("*.parquet"))) == files
+    assert len(list((tmp_path / "stats").rglob("*.parquet"))) == files
     assert again.stats.count() == first.stats.count() == bank.select("campaign_id").distinct().count()
     stray = d.targets(spark, sf).limit(3).withColumn("campaign_id", F.lit(-1).cast("long"))
     out = match_images(stray, first).collect()
     assert len(out) == 3 and all(r["match_type"] == "NO_MATCH" and r["confidence"] == 0.0 and r["warnings"] == [] for r in out)
+
+
+def test_unread_builds_are_removed(spark, tmp_path):
+    from lumenmatch.sources.bank_store import bank_builds, materialize_banks, remove_unread
+
+    rng = np.random.default_rng(4)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    refs = [(c, i, f"cup{i}", unit(rng.normal(size=4))) for c in (1, 2) for i in range(4)]
+    negs = [(1, 0, "rival", unit(rng.normal(size=4)))]
+    bank, neg, root = spark.createDataFrame(refs, BANK), spark.createDataFrame(negs, NEG), str(tmp_path)
+    materialize_banks(bank, neg, root)
+    changed = bank.filter("campaign_id = 1 or ref_id < 3")
+    materialize_banks(changed, neg, root)
+    assert {r["campaign_id"]: (r["builds"], r["n_refs"]) for r in bank_builds(spark, root).collect()} == {1: (1, 4), 2: (2, 3)}
+    assert remove_unread(spark, root) == []  # the first build still is campaign 1's, and the old content of 2
+    forced = materialize_banks(bank, neg, root, force=True)
+    (tmp_path / "packs" / "build=bdied").mkdir()
+    assert len(remove_unread(spark, root)) == 1 and (tmp_path / "packs" / "build=bdied").exists()
+    assert remove_unread(spark, root, hours=0.0) == ["bdied"]
+    assert forced.stats.count() == 2 and forced.packs.count() >= 2
+    assert materialize_banks(changed, neg, root).stats.filter("campaign_id = 2").first()["n_refs"] == 3

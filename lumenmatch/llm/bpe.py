@@ -7,6 +7,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable
+from sys import getsizeof
 
 import regex
 from pyspark.sql import DataFrame
@@ -16,9 +17,11 @@ from lumenmatch.llm.arrow import fields, map_batches
 
 #: White space as the library's pattern engine takes it (Unicode White_Space); fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Segments that a worker remembers newly before those not used since the last time are dropped (so at most twice as many);
-#: half as many pieces and starts of pieces, which start anew beyond that.
-REMEMBERED = 250_000
+#: Bytes (as ``sys.getsizeof`` counts, with the table's own) that a worker holds of segments in each of two generations, of
+#: pieces, of tables of piece starts and of judged pairs; beyond that the older generation goes, or the others start anew.
+SEGMENTS, PIECES, TABLES, PAIRS = 32 << 20, 4 << 20, 32 << 20, 40 << 20
+#: What an entry costs besides its key and value, and what a judged pair costs in all.
+ENTRY, PAIR = 100, 130
 #: Bytes after which the table of last tokens of a piece's start is remembered, for pieces that go on from it.
 STARTS = (4, 7, 10)
 
@@ -71,11 +74,12 @@ class Codec:
         self.split = regex.compile(self.pattern).findall
         # no match of the pattern goes from other characters into white space, so these segments split alone
         self.segments = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.tables: dict[bytes, list[int]] = {}
+        self.pieces: dict[bytes, array] = {}
+        self.tables: dict[bytes, array] = {}
+        self.held = dict.fromkeys(("known", "pieces", "tables"), 0)
         self.spelt = dict(zip(self.ranks.values(), self.ranks))
         self.names = {rank: str(rank) for rank in self.spelt}
         # every ending of a token that merges reach, with the token that it is itself or -1
@@ -87,13 +91,24 @@ class Codec:
 
     def valid(self, left: int, right: int) -> bool:
         """Whether the merges leave ``left`` and ``right`` as they are side by side."""
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 32 | right)
         if known is None:
-            if len(self.fits) > 2 * REMEMBERED:
+            if len(self.fits) * PAIR > PAIRS:
                 self.fits.clear()
-            known = self.fits[(left, right)] = self._valid(left, right)
+            known = self.fits[left << 32 | right] = self._valid(left, right)
         return known
 
+    def _hold(self, name: str, limit: int, key: str | bytes, value: array | bytes) -> None:
+        """Remembers an entry; beyond ``limit`` bytes those of before go."""
+        self.held[name] += getsizeof(key) + getsizeof(value) + ENTRY
+        if self.held[name] > limit:
+            self.held[name] = 0
+            if name == "known":
+                self.older, self.known = self.known, {}
+            else:
+                getattr(self, name).clear()
+        getattr(self, name)[key] = value
+
     def _valid(self, left: int, right: int) -> bool:
         # undo the later of the two last merges, step by step; a merge across the border that comes before it spoils the pair
         before = 1 << 60
@@ -109,13 +124,13 @@ class Codec:
             else:
                 before, left = left, self.halves[left][1]
 
-    def prefixes(self, piece: bytes, last: list[int] | None = None) -> list[int]:
+    def prefixes(self, piece: bytes, last: Iterable[int] = ()) -> list[int]:
         """The last token of the encoding of every prefix of ``piece`` (first prefix: one byte).
 
         ``last`` holds known entries of an earlier string with the same start: appending bytes goes on from them, and an
         edit at byte i needs only those from i on again.
         """
-        last, ends, fits = list(last or []), self.ends, self.fits
+        last, ends, fits = list(last), self.ends, self.fits
         for end in range(len(last) + 1, len(piece) + 1):
             start, tried = end - 1, []
             while start >= 0 and (token := ends.get(piece[start:end])) is not None:
@@ -123,7 +138,7 @@ class Codec:
                     tried.append((start, token))
                 start -= 1
             for start, token in reversed(tried):
-                if start == 0 or (fits.get((last[start - 1], token)) or self.valid(last[start - 1], token)):
+                if start == 0 or (fits.get(last[start - 1] << 32 | token) or self.valid(last[start - 1], token)):
                     last.append(token)
                     break
             else:
@@ -138,13 +153,13 @@ class Codec:
             at -= len(self.spelt[last[at - 1]])
         return out[::-1]
 
-    def piece(self, piece: bytes) -> tuple[int, ...]:
+    def piece(self, piece: bytes) -> Iterable[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         ids = self.pieces.get(piece)
         if ids is None:
-            last: list[int] | None = None
+            last: Iterable[int] = ()
             size = len(piece)
             for k in STARTS:
                 if size < k:
@@ -152,15 +167,12 @@ class Codec:
                 start = piece[:k]
                 table = self.tables.get(start)
                 if table is None:
-                    if len(self.tables) > REMEMBERED // 2:
-                        self.tables.clear()
-                    table = self.tables[start] = self.prefixes(start, last)
+                    table = array("i", self.prefixes(start, last))
+                    self._hold("tables", TABLES, start, table)
                 last = table
-            ids = tuple(self.tokens(self.prefixes(piece, last)))
+            ids = array("i", self.tokens(self.prefixes(piece, last)))
             if len(piece) <= 64:
-                if len(self.pieces) > REMEMBERED // 2:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+                self._hold("pieces", PIECES, piece, ids)
         return ids
 
     def segment(self, text: str) -> bytes:
@@ -175,11 +187,9 @@ class Codec:
                 ids = self.older.get(s)
                 if ids is None:
                     ids = self.segment(s)
-                if len(known) >= REMEMBERED:
-                    self.older, self.known = known, {}
-                    known = self.known
                 if len(s) <= 64:
-                    known[s] = ids
+                    self._hold("known", SEGMENTS, s, ids)
+                    known = self.known
             out.append(ids)
         return array("i", b"".join(out))
 

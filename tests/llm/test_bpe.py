@@ -38,7 +38,8 @@ def test_appends_and_edits_reuse_the_table(codec):
 
 
 def test_small_memory_changes_nothing(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    for name in ("SEGMENTS", "PIECES", "TABLES", "PAIRS"):
+        monkeypatch.setattr(bpe, name, 700)
     own = bpe.Codec(*vocabulary())
     text = "many different words that make the small memory start anew, again and again " * 3
     assert own.encode(text).tolist() == library.encode_ordinary(text)

@@ -105,7 +105,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     listed = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("start", "n_lines", "hash")).alias("_spans"))
     listed = staged(listed, "lists", tidy=True)
     rows = docs.select("doc_id", "text", _text_hash())
-    joined = rows.join(listed, rows["doc_id"].eqNullSafe(listed["_id"]) & (rows["text_hash"] == listed["_hash"]))
+    # the documents are dealt by their keys at every size, not only where the lists are too large to broadcast
+    joined = rows.join(listed.hint("merge"), rows["doc_id"].eqNullSafe(listed["_id"]) & (rows["text_hash"] == listed["_hash"]))
     cut = lambda lines: F.transform("_spans", lambda s: F.struct(s["start"], s["n_lines"], s["hash"], F.array_join(F.slice(lines, s["start"] + 1, s["n_lines"]), "\n").alias("span")))
     told = staged(joined.select("doc_id", "text_hash", F.inline(_bind(_lines(F.col("text")), cut))), "spans", tidy=True)
     at = F.struct("doc_id", "text_hash", "start")
@@ -133,7 +134,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = repeated_spans(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_lines") - 1)).alias("line"))
     gone = staged(lines.groupBy("__id", "__hash").agg(F.collect_set("line").alias("__gone")), "gone", tidy=True)
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    joined = hashed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     # array_except works by hashing, so a text of many lines takes linear time
     left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
     rest = _bind(F.split("text", "\n", -1), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))

@@ -22,11 +22,18 @@ VERSION = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads below this size are always stored whole.
 SHORTEST_REVISIT = 100
-#: Bytes read at once, and bytes a reading task owns.
-STEP, SPLIT = 1 << 20, 8 << 20
+#: Bytes read at once, bytes of a range, and ranges of a reading task on average.
+STEP, SPLIT, RANGES = 1 << 20, 8 << 20, 8
 RECORD = "record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that the session takes it for, so that every executor takes it for the same."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return f"file:///{uri.removeprefix('file:').lstrip('/')}" if uri.startswith("file:") else uri
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; a path without scheme is local."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -190,11 +197,11 @@ def members(stream, start: int, end: int, size: int) -> Iterator[bytes]:
         buffer, base = buffer[used:], base + used
 
 
-def read_warc(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame:
+def read_warc(spark: SparkSession, files: DataFrame, split: int = SPLIT, per_task: int = RANGES) -> DataFrame:
     """Records (``RECORD``) of the archives that ``files`` (path, bytes) names, each read in byte ranges of ``split`` bytes.
 
     A range owns the records that start in it, so ranges need not know of each other, and a large archive is read by many
-    tasks. Defined cases: no files or empty files give no rows; bytes that aren't records are passed over.
+    tasks: by one for every ``per_task`` ranges. Defined cases: no files or empty files give no rows; bytes that aren't records are passed over.
     """
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
     names = [f.name for f in T.StructType.fromDDL(RECORD)]
@@ -216,8 +223,9 @@ def read_warc(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> Data
                 if held:
                     yield {n: [r[n] for r in held] for n in names}
 
-    # ranges are few and large: deal them out singly
-    return map_batches(ranges.repartition(F.col("path"), F.col("start")), T.StructType.fromDDL(RECORD), work)
+    # rows of ranges are tiny but stand for much work, so the number of tasks is set and not left to their size
+    tasks = max(1, -(-ranges.count() // per_task))
+    return map_batches(ranges.repartition(tasks, F.col("path"), F.col("start")), T.StructType.fromDDL(RECORD), work)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -228,5 +236,5 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     are null (then all are responses); an empty table gives no rows. Other columns are ignored.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     return read_warc(spark, write_warc(mark_revisits(pages), folder))

@@ -50,3 +50,12 @@ def test_query_against_python(spark, sf):
         seen = first.setdefault(raw, i) if len(raw) >= 100 else i
         want[i] = (len(raw), hashlib.sha256(raw).hexdigest(), "response" if seen == i else "revisit", None if seen == i else seen)
     assert {r["page_id"]: tuple(r)[1:] for r in op3_warc(spark, sf).collect()} == want
+
+
+def test_ranges_are_read_by_several_tasks(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    files = warc.write_warc(warc.mark_revisits(pages).coalesce(1), warc.qualified(spark, str(tmp_path)))
+    read = warc.read_warc(spark, files, split=4096, per_task=2)
+    ranges = sum(max(1, -(-r["bytes"] // 4096)) for r in files.collect())
+    assert read.rdd.getNumPartitions() == -(-ranges // 2) > 4
+    assert read.select(F.spark_partition_id()).distinct().count() > 2 and read.count() == pages.count()

@@ -88,7 +88,7 @@ def detection_layer(boxes: DataFrame, items: DataFrame | None = None, order: str
     )
     df = (boxes if items is None else items).select("item_id").distinct().join(best, "item_id", "left").join(listed_boxes(found, order), ["item_id", "kind"], "left")
     has = F.coalesce(brand, F.lit(False))
-    score = F.when(has, F.least(F.lit(1.0), F.col("best") * 2.0)).otherwise(F.coalesce(F.least(F.lit(0.3), F.col("generic") * 0.5), F.lit(0.0)))
+    score = F.when(has, F.least(F.lit(1.0), F.col("best") * 2.0)).when(F.col("generic").isNotNull(), F.least(F.lit(0.3), F.col("generic") * 0.5)).otherwise(0.0)
     text = F.when(has, F.concat(F.lit(BRAND_BOXES), "boxes")).when(F.col("kind").isNotNull(), F.concat(F.lit(GENERIC_BOXES), "boxes")).otherwise(NO_BOXES)
     return _layer(df, "detection", score, has, text, F.lit(0.7))
 

@@ -15,15 +15,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenmatch.llm.arrow import fields, map_batches, raw_bytes, slices
 from lumenmatch.llm.tokens import BASE, mix, words
-from lumenmatch.session import staged
+from lumenmatch.session import discard, staged
 
 #: Words of a passage that counts when it recurs, and of the runs of words among which a window chooses its anchor.
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1
 #: Passages of one automaton and segments that one task streams through it, on average.
 PASSAGES, SEGMENTS = 1 << 13, 1 << 14
 #: Bytes of short texts, and words of a long one, that are hashed at once.
 CHUNK, STRETCH = 1 << 20, 1 << 16
+#: Segments that are told at once.
+ROWS = 8192
 #: A null doc_id sorts before all others.
 NO_ID = -(1 << 63)
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -117,43 +119,71 @@ def anchored_segments(docs: DataFrame) -> DataFrame:
 
 
 def recurring_segments(docs: DataFrame) -> DataFrame:
-    """Segments whose anchor stands at two places or more, with their words: id, th, anchor, start, m, n, words.
+    """Segments whose anchor stands at two places or more, with their words: id, th, anchor, start, m, n, alone, words.
 
-    Of segments with equal anchor and content, the first one has their number as ``n``; the others have 0. Only hashes and
-    places are counted and joined; texts move once, to meet the list of their segments.
+    Of segments with equal anchor and content, the first one has their number as ``n``; the others have 0. ``alone`` tells that
+    all segments of the anchor are equal. Only hashes and places are counted and joined; texts move once, to meet the list of
+    their segments.
     """
-    found = staged(anchored_segments(docs), "segments")
-    twice = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
-    found = staged(found.join(twice, "anchor", "left_semi"), "recurring")
-    place = F.struct("id", "th", "start")
-    firsts = found.groupBy("anchor", "m", "content").agg(F.min(place).alias("p"), F.count("*").cast("int").alias("n"))
-    both = found.select("id", "th", F.struct("anchor", "start", "m", F.lit(0).alias("n")).alias("s")).unionByName(firsts.select("p.id", "p.th", F.struct("anchor", "p.start", "m", "n").alias("s")))
-    lists = staged(both.groupBy("id", "th").agg(F.collect_list("s").alias("list")), "lists")
+    found = staged(anchored_segments(docs), "segments", tidy=True)
+    twice = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors", tidy=True)
+    recurring = staged(found.join(twice, "anchor", "left_semi"), "recurring", tidy=True)
+    discard(found, twice)
+    firsts = recurring.groupBy("anchor", "m", "content").agg(F.min(F.struct("id", "th", "start")).alias("p"), F.count("*").cast("int").alias("n"))
+    firsts = staged(firsts.select("anchor", "m", "p", "n"), "firsts", tidy=True)
+    alone = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c = 1").select("anchor", F.lit(True).alias("alone"))
+    marked = firsts.join(staged(alone, "alone", tidy=True), "anchor", "left").select(
+        "p.id", "p.th", F.struct("anchor", "p.start", "m", "n", F.coalesce("alone", F.lit(False)).alias("alone")).alias("s")
+    )
+    plain = recurring.select("id", "th", F.struct("anchor", "start", "m", F.lit(0).alias("n"), F.lit(False).alias("alone")).alias("s"))
+    lists = staged(plain.unionByName(marked).groupBy("id", "th").agg(F.collect_list("s").alias("list")), "lists", tidy=True)
+    discard(recurring, firsts)
 
     def work(batch):
+        data, offsets = raw_bytes(batch.column("text"))
+        flat = batch.column("list").flatten()
+        ends = np.cumsum(pa.compute.list_value_length(batch.column("list")).to_numpy())
+        anchor, start, m, n, alone = (np.asarray(flat.field(k)) for k in range(5))
+        # by document and place; of rows with one place, the one with a number is kept
+        row = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
+        order = np.lexsort((-n, start, row))
+        order = order[np.append(True, (np.diff(row[order]) > 0) | (np.diff(start[order]) > 0))] if len(order) else order
+        cuts = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+        held: list[bytes] = []
+        done = 0
+
+        def told(upto: int) -> dict:
+            rows = order[done:upto]
+            docs = pa.array(row[rows])
+            return {
+                "id": batch.column("id").take(docs), "th": batch.column("th").take(docs), "anchor": anchor[rows], "start": start[rows], "m": m[rows], "n": n[rows],
+                "alone": alone[rows], "words": pa.array(held, pa.binary()).cast(pa.string()),
+            }
+
         for k in range(batch.num_rows):
-            text, own = batch.column("text")[k].as_py(), {}
-            for s in batch.column("list")[k].as_py():
-                if s["n"] or (s["start"], s["anchor"]) not in own:
-                    own[s["start"], s["anchor"]] = s
-            raw = text.encode()
-            starts, ends = bounds(np.frombuffer(raw, np.uint8))
-            rows = list(own.values())
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                column = lambda c: [s[c] for s in part]
-                yield {
-                    "id": [batch.column("id")[k].as_py()] * len(part), "th": [batch.column("th")[k].as_py()] * len(part), "anchor": column("anchor"), "start": column("start"),
-                    "m": column("m"), "n": column("n"), "words": [raw[starts[s["start"]] : ends[s["start"] + s["m"] + WINDOW - 2]].decode() for s in part],
-                }
+            raw = data[offsets[k] : offsets[k + 1]]
+            first, last = bounds(raw)
+            raw = raw.tobytes()
+            for at in range(cuts[k], cuts[k + 1], ROWS):
+                rows = order[at : min(at + ROWS, cuts[k + 1])]
+                low, high = first[start[rows]].tolist(), last[start[rows] + m[rows] + WINDOW - 2].tolist()
+                held += [raw[x:y] for x, y in zip(low, high)]
+                if len(held) >= ROWS:
+                    yield told(done + len(held))
+                    done, held = done + len(held), []
+        if held:
+            yield told(done + len(held))
 
     joined = _keyed(docs).select("id", "th", "text").join(lists, ["id", "th"]).select("id", "th", "text", "list")
-    return map_batches(joined, T.StructType.fromDDL(f"{SEGMENT}, n int, words string"), work)
+    texts = staged(map_batches(joined, T.StructType.fromDDL(f"{SEGMENT}, n int, alone boolean, words string"), work), "texts", tidy=True)
+    discard(lists)
+    return texts
 
 
 def passages(recurring: DataFrame) -> DataFrame:
     """anchor, id, th, start, words, offsets: where each passage of ``WINDOW`` words that recurs stands first, as places in a
-    segment. Of equal segments only the first is looked at, so copies cost nothing."""
+    segment. Of equal segments only the first is looked at, so copies cost nothing; if there are no others with its anchor,
+    the segment recurs as a whole, and offsets is null."""
 
     def work(batch):
         data, offsets = raw_bytes(batch.column("words"))
@@ -169,11 +199,14 @@ def passages(recurring: DataFrame) -> DataFrame:
 
     schema = T.StructType.fromDDL("anchor long, id long, th long, start int, n int, offset int, window long")
     firsts = recurring.filter("n > 0")
-    windows = map_batches(firsts.select("anchor", "id", "th", "start", "n", "words"), schema, work)
+    among = firsts.filter(~F.col("alone"))
+    windows = map_batches(among.select("anchor", "id", "th", "start", "n", "words"), schema, work)
     place = F.struct("id", "th", (F.col("start") + F.col("offset")).alias("at"), "start")
     first = windows.groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.min(place).alias("p")).filter("n > 1")
     offsets = first.groupBy("anchor", "p.id", "p.th", "p.start").agg(F.collect_list(F.col("p.at") - F.col("p.start")).alias("offsets"))
-    return firsts.join(staged(offsets, "offsets"), ["anchor", "id", "th", "start"]).select("anchor", "id", "th", "start", "words", "offsets")
+    columns = ("anchor", "id", "th", "start", "words", "offsets")
+    chosen = among.join(staged(offsets, "offsets", tidy=True), ["anchor", "id", "th", "start"]).select(*columns)
+    return chosen.unionByName(firsts.filter("alone").withColumn("offsets", F.lit(None).cast("array<int>")).select(*columns))
 
 
 class Automaton:
@@ -182,34 +215,52 @@ class Automaton:
     def __init__(self):
         self.letters: dict[str, str] = {}
         self.machine = ahocorasick.Automaton()
+        self.met: dict[str, tuple] = {}
 
-    def add(self, text: str, offsets: list[int], place: tuple[int, int, int]) -> None:
+    def add(self, text: str, offsets: list[int] | None, place: tuple[int, int, int]) -> None:
+        """Passages of a segment that stands at ``place``: those at ``offsets``, or the segment as a whole."""
         letters = self.letters
-        for w in (own := text.encode().split()):
+        own = text.encode().split()
+        for w in own:
             if w not in letters:
                 k = len(letters) + 1
                 letters[w] = chr(k if k < 0xD800 else k + 0x800)
         spelt = "".join(map(letters.__getitem__, own))
-        for o in offsets:
-            self.machine.add_word(spelt[o : o + WINDOW], (place[0], place[1], place[2] + o))
+        if offsets is None:
+            self.machine.add_word(spelt, (place, 0, len(own)))
+        else:
+            for o in offsets:
+                self.machine.add_word(spelt[o : o + WINDOW], (place, o, WINDOW))
 
     def close(self) -> None:
         self.machine.make_automaton()
 
+    def ranges(self, text: str) -> tuple[list[tuple[int, int]], list[tuple]]:
+        """Ranges of words of a segment that lie in passages, and the passages. Equal segments, which a task meets in numbers,
+        run through the automaton once."""
+        found = self.met.get(text)
+        if found is None:
+            get = self.letters.get
+            spelt = "".join([get(w, "\0") for w in text.encode().split()])
+            hits = list(self.machine.iter(spelt)) if len(self.machine) else []
+            found = self.met[text] = (_ranges([(end - n + 1, n) for end, (_, _, n) in hits]), hits)
+        return found
+
     def later(self, text: str, place: tuple[int, int, int]) -> list[tuple[int, int]]:
-        """Ranges of words of a segment at ``place`` that lie in passages which stand first elsewhere."""
-        out: list[tuple[int, int]] = []
-        if not len(self.machine):
-            return out
-        get = self.letters.get
-        for end, first in self.machine.iter("".join([get(w, "\0") for w in text.encode().split()])):
-            at = place[2] + end - WINDOW + 1
-            if first != (place[0], place[1], at):
-                if out and at <= out[-1][1]:
-                    out[-1] = (out[-1][0], at + WINDOW)
-                else:
-                    out.append((at, at + WINDOW))
-        return out
+        """The ranges of a segment at ``place`` without passages that stand first there."""
+        _, hits = self.ranges(text)
+        return _ranges([(end - n + 1, n) for end, ((i, th, at), o, n) in hits if (i, th, at + o) != (place[0], place[1], place[2] + end - n + 1)])
+
+
+def _ranges(passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Words covered by passages (offset, words), as ranges."""
+    out: list[tuple[int, int]] = []
+    for o, n in sorted(passages):
+        if out and o <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], o + n))
+        else:
+            out.append((o, o + n))
+    return out
 
 
 def later_occurrences(recurring: DataFrame, confirmed: DataFrame, passages_each: int = PASSAGES, segments_each: int = SEGMENTS) -> DataFrame:
@@ -219,16 +270,19 @@ def later_occurrences(recurring: DataFrame, confirmed: DataFrame, passages_each:
     with many segments is read by several tasks, each with its own copy of the automaton; one with too many passages has its
     passages dealt to layers, all of which its segments meet. A task holds one automaton at a time and streams the segments.
     """
-    total = confirmed.agg(F.coalesce(F.sum(F.size("offsets")), F.lit(0)).alias("n")).first()["n"]
+    passages_of = F.when(F.col("offsets").isNull(), 1).otherwise(F.size("offsets"))
+    total = confirmed.agg(F.coalesce(F.sum(passages_of), F.lit(0)).alias("n")).first()["n"]
     shard = F.pmod("anchor", F.lit(max(1, -(-total // passages_each)))).alias("shard")
-    sizes = confirmed.groupBy(shard).agg(F.sum(F.size("offsets")).alias("passages")).join(recurring.groupBy(shard).agg(F.count("*").alias("segments")), "shard")
-    sizes = staged(sizes.select("shard", F.ceil(F.col("passages") / (4 * passages_each)).cast("int").alias("layers"), F.ceil(F.col("segments") / segments_each).cast("int").alias("salts")), "shards")
+    sizes = confirmed.groupBy(shard).agg(F.sum(passages_of).alias("passages")).join(recurring.groupBy(shard).agg(F.count("*").alias("segments")), "shard")
+    sizes = staged(sizes.select("shard", F.ceil(F.col("passages") / (4 * passages_each)).cast("int").alias("layers"), F.ceil(F.col("segments") / segments_each).cast("int").alias("salts")), "shards", tidy=True)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("id", "th", "start"), F.col(n)).cast("int")
     columns = ("shard", "layer", "salt", "kind", "id", "th", "start", "words", "offsets")
-    no_offsets = F.array().cast("array<int>").alias("offsets")
+    no_offsets = F.lit(None).cast("array<int>").alias("offsets")
     patterns = confirmed.withColumn("shard", shard).join(sizes, "shard").withColumn("layer", dealt("layers")).withColumn("salt", each("salts")).withColumn("kind", F.lit(0))
-    texts = recurring.withColumn("shard", shard).join(sizes, "shard").withColumn("salt", dealt("salts")).withColumn("layer", each("layers")).withColumn("kind", F.lit(1))
+    # the first of equal segments is told apart: passages stand first in such segments alone
+    kind = F.when(F.col("n") > 0, 1).otherwise(2)
+    texts = recurring.withColumn("shard", shard).join(sizes, "shard").withColumn("salt", dealt("salts")).withColumn("layer", each("layers")).withColumn("kind", kind)
     rows = patterns.select(*columns).unionByName(texts.select(*columns[:-1], no_offsets)).repartition("shard", "layer", "salt").sortWithinPartitions("shard", "layer", "salt", "kind")
     schema = T.StructType.fromDDL("id long, th long, low int, high int")
     target = to_arrow_schema(schema)
@@ -236,19 +290,31 @@ def later_occurrences(recurring: DataFrame, confirmed: DataFrame, passages_each:
     def run(batches):
         key, machine, closed = None, None, False
         for batch in batches:
-            found: list[tuple] = []
-            for shard, layer, salt, kind, i, th, start, text, offsets in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if (shard, layer, salt) != key:
-                    key, machine, closed = (shard, layer, salt), Automaton(), False
+            keys = np.stack([batch.column(c).to_numpy() for c in columns[:4]])
+            starts = np.flatnonzero(np.append(True, (np.diff(keys) != 0).any(axis=0))) if batch.num_rows else []
+            at, low, high = [], [], []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                *own, kind = keys[:, a].tolist()
+                if own != key:
+                    key, machine, closed = own, Automaton(), False
+                texts = batch.column("words").slice(a, b - a).to_pylist()
+                places = list(zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("id", "th", "start")))) if kind < 2 else None
                 if kind == 0:
-                    machine.add(text, offsets, (i, th, start))
+                    for text, offsets, place in zip(texts, batch.column("offsets").slice(a, b - a).to_pylist(), places):
+                        machine.add(text, offsets, place)
                     continue
                 if not closed:
                     machine.close()
                     closed = True
-                found += [(i, th, low, high) for low, high in machine.later(text, (i, th, start))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), target)], schema=target)
+                for k, text in enumerate(texts, a):
+                    for x, y in machine.later(text, places[k - a]) if kind == 1 else machine.ranges(text)[0]:
+                        at.append(k)
+                        low.append(x)
+                        high.append(y)
+            if at:
+                start = batch.column("start").to_numpy()[at]
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("th").take(rows), pa.array(start + np.array(low, np.int32)), pa.array(start + np.array(high, np.int32))], schema=target)
 
     return rows.mapInArrow(run, schema)
 
@@ -267,10 +333,11 @@ def remove_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), passag
     document (treated alike); rows equal in doc_id alone go in the order of a hash of their texts; an empty table gives no
     rows. Other columns are ignored unless kept; a kept column must not be named like an added one.
     """
-    recurring = staged(recurring_segments(docs), "texts")
-    confirmed = staged(passages(recurring), "passages")
+    recurring = recurring_segments(docs)
+    confirmed = staged(passages(recurring), "passages", tidy=True)
     gone = later_occurrences(recurring, confirmed, passages_each, segments_each)
-    gone = staged(gone.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("gone")), "gone")
+    gone = staged(gone.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("gone")), "gone", tidy=True)
+    discard(recurring, confirmed)
     names = [f"__keep{k}" for k in range(len(keep))]
     rows = _keyed(docs).select(*[F.col(c).alias(n) for c, n in zip(keep, names)], "id", "th", F.col("text").alias("__text"))
     joined = rows.join(gone, ["id", "th"], "left").select(*names, "__text", "gone")

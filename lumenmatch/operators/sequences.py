@@ -1,9 +1,9 @@
 """Score series: spike suppression, smoothing, continuity, stable segments, temporal strength.
 
 A series is (seq_id, idx, score); seq_id may be a struct, idx any increasing numbers with gaps. Steps go by the position of
-a row in its series (``pos`` = 0..n-1), which ``numbered`` adds unless the series has it. All steps work on chunks of
-positions, so one very long series is spread over many tasks; only runs that touch a chunk border and three candidates per
-chunk are brought together per series.
+a row in its series (``pos`` = 0..n-1), which ``numbered`` adds unless the series has it. Runs may go by a column ``at`` of
+other whole numbers instead, in which a gap ends a run. All steps work on chunks of these numbers, so one very long series is
+spread over many tasks; only runs that touch a chunk border and three candidates per chunk are brought together per series.
 """
 
 from __future__ import annotations
@@ -104,70 +104,76 @@ def suppress_and_smooth(series: DataFrame, window: int = 5, margin: float = SPIK
     )
 
 
-def stable_segments(series: DataFrame, threshold: Column, source: str = "score", chunk: int = CHUNK) -> DataFrame:
-    """Runs of consecutive rows at or above the threshold: start and end position, length, mean score."""
-    hit = numbered(series).filter(F.col(source) >= threshold).select("seq_id", "pos", F.col(source).alias("_s"), F.floor(F.col("pos") / chunk).alias("_chunk"))
+def stable_segments(series: DataFrame, threshold: Column, source: str = "score", chunk: int = CHUNK, at: str = "pos") -> DataFrame:
+    """Runs of consecutive rows (by ``at``) at or above the threshold: idx of the first and the last one, length, mean score."""
+    hit = numbered(series).filter(F.col(source) >= threshold).select(
+        "seq_id", "idx", F.col(at).alias("pos"), F.col(source).alias("_s"), F.floor(F.col(at) / chunk).alias("_chunk")
+    )
+    ends = [F.min("idx").alias("start_frame"), F.max("idx").alias("end_frame")]
     runs = (
         hit.withColumn("_island", F.col("pos") - F.row_number().over(_chunk_window()))
         .groupBy("seq_id", "_chunk", "_island")
-        .agg(F.min("pos").alias("start_frame"), F.max("pos").alias("end_frame"), F.sum("_s").alias("_sum"))
+        .agg(*ends, F.min("pos").alias("_from"), F.max("pos").alias("_to"), F.sum("_s").alias("_sum"))
         .drop("_chunk", "_island")
     )
     # only a run on a chunk border can continue in the neighbour chunk
-    on_border = (F.col("start_frame") % chunk == 0) | (F.col("end_frame") % chunk == chunk - 1)
-    by_start = Window.partitionBy("seq_id").orderBy("start_frame")
-    fresh = F.coalesce(F.col("start_frame") != F.lag("end_frame").over(by_start) + 1, F.lit(True))
+    on_border = (F.col("_from") % chunk == 0) | (F.col("_to") % chunk == chunk - 1)
+    by_start = Window.partitionBy("seq_id").orderBy("_from")
+    fresh = F.coalesce(F.col("_from") != F.lag("_to").over(by_start) + 1, F.lit(True))
     joined = (
         runs.filter(on_border)
         .withColumn("_fresh", fresh.cast("long"))
         .withColumn("_group", F.sum("_fresh").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("seq_id", "_group")
-        .agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.sum("_sum").alias("_sum"))
+        .agg(
+            F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.min("_from").alias("_from"),
+            F.max("_to").alias("_to"), F.sum("_sum").alias("_sum"),
+        )
         .drop("_group")
     )
-    length = F.col("end_frame") - F.col("start_frame") + 1
+    length = F.col("_to") - F.col("_from") + 1
     return runs.filter(~on_border).unionByName(joined).select(
         "seq_id", "start_frame", "end_frame", length.alias("duration_frames"), r4(F.col("_sum") / length).alias("average_score")
     )
 
 
-def _chunk_runs(series: DataFrame, threshold: Column, source: str, chunk: int) -> DataFrame:
+def _chunk_runs(series: DataFrame, threshold: Column, source: str, chunk: int, at: str) -> DataFrame:
     """Per series and chunk, in one grouping: rows, longest run, the run at each border and the best TOP_FRAMES values."""
     w = _chunk_window()
     value = F.col(source)
-    cut = numbered(series).select("seq_id", "pos", value.alias("_s"), (value >= threshold).alias("_hit"), F.floor(F.col("pos") / chunk).alias("_chunk"))
-    runs = (
-        cut.withColumn("_local", F.row_number().over(w))
-        .withColumn("_island", F.when(F.col("_hit"), F.col("_local") - F.sum(F.col("_hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("seq_id", "_chunk").orderBy(F.desc("_s"))))
-    )
+    cut = numbered(series).select("seq_id", F.col(at).alias("pos"), value.alias("_s"), (value >= threshold).alias("_hit"), F.floor(F.col(at) / chunk).alias("_chunk"))
+    runs = cut.withColumn(
+        "_island", F.when(F.col("_hit"), F.col("pos") - F.sum(F.col("_hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ).withColumn("_rank", F.row_number().over(Window.partitionBy("seq_id", "_chunk").orderBy(F.desc("_s"))))
     islands = runs.groupBy("seq_id", "_chunk", "_island").agg(
-        F.count("*").alias("_n"), F.min("_local").alias("_from"), F.max("_local").alias("_to"),
+        F.count("*").alias("_n"), F.min("pos").alias("_from"), F.max("pos").alias("_to"),
         F.collect_list(F.when(F.col("_rank") <= TOP_FRAMES, F.col("_s"))).alias("_top"),
     )
     hit = F.col("_island").isNotNull()
     return islands.groupBy("seq_id", "_chunk").agg(
         F.sum("_n").alias("n"), F.max(F.when(hit, F.col("_n"))).alias("longest"),
-        F.max(F.when(hit & (F.col("_from") == 1), F.col("_n"))).alias("head"), F.max_by(F.when(hit, F.col("_n")), "_to").alias("tail"),
+        F.max(F.when(hit & (F.col("_from") % chunk == 0), F.col("_n"))).alias("head"),
+        F.max(F.when(hit & (F.col("_to") % chunk == chunk - 1), F.col("_n"))).alias("tail"),
         F.flatten(F.collect_list("_top")).alias("top"),
     )
 
 
-def _series_runs(series: DataFrame, threshold: Column, source: str, chunk: int) -> DataFrame:
+def _series_runs(series: DataFrame, threshold: Column, source: str, chunk: int, at: str = "pos") -> DataFrame:
     """Rows, longest run and the mean of the best TOP_FRAMES values of each series, from one row per chunk."""
     parts = F.sort_array(F.collect_list(F.struct("_chunk", "n", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("head", F.lit(0)).alias("head"), F.coalesce("tail", F.lit(0)).alias("tail"))))
-    grouped = _chunk_runs(series, threshold, source, chunk).groupBy("seq_id").agg(parts.alias("parts"), F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, TOP_FRAMES).alias("top"))
+    grouped = _chunk_runs(series, threshold, source, chunk, at).groupBy("seq_id").agg(parts.alias("parts"), F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, TOP_FRAMES).alias("top"))
     zero = F.lit(0).cast("long")
 
     def add(state, c):
-        # a run goes on from the chunk before into this one's head
-        whole = c["head"] == c["n"]
-        joined = state["open"] + c["head"]
+        # a run goes on from the chunk before, if there is one, into this one's head
+        whole = c["head"] == chunk
+        joined = F.when(c["_chunk"] == state["chunk"] + 1, state["open"]).otherwise(zero) + c["head"]
         return F.struct(
-            (state["n"] + c["n"]).alias("n"), F.greatest(state["longest"], c["longest"], joined).alias("longest"), F.when(whole, joined).otherwise(c["tail"]).alias("open")
+            (state["n"] + c["n"]).alias("n"), F.greatest(state["longest"], c["longest"], joined).alias("longest"), F.when(whole, joined).otherwise(c["tail"]).alias("open"),
+            c["_chunk"].alias("chunk"),
         )
 
-    total = F.aggregate("parts", F.struct(zero.alias("n"), zero.alias("longest"), zero.alias("open")), add)
+    total = F.aggregate("parts", F.struct(zero.alias("n"), zero.alias("longest"), zero.alias("open"), zero.alias("chunk")), add)
     mean = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")
     return grouped.select("seq_id", total.alias("t"), mean.alias("top_mean")).select("seq_id", "t.n", F.col("t.longest").alias("longest_streak"), "top_mean")
 
@@ -178,9 +184,9 @@ def _with_continuity(df: DataFrame) -> DataFrame:
     return df.withColumn("streak_ratio", r4(ratio)).withColumn("frame_continuity_score", r4(score))
 
 
-def continuity(series: DataFrame, threshold: Column, source: str = "score", chunk: int = CHUNK) -> DataFrame:
-    """Longest run, its share of the series and the continuity score, one row per series."""
-    return _with_continuity(_series_runs(series, threshold, source, chunk)).select("seq_id", "n", "longest_streak", "streak_ratio", "frame_continuity_score")
+def continuity(series: DataFrame, threshold: Column, source: str = "score", chunk: int = CHUNK, at: str = "pos") -> DataFrame:
+    """Longest run (by ``at``), its share of the series and the continuity score, one row per series."""
+    return _with_continuity(_series_runs(series, threshold, source, chunk, at)).select("seq_id", "n", "longest_streak", "streak_ratio", "frame_continuity_score")
 
 
 def top_mean(series: DataFrame, source: str, chunk: int = CHUNK) -> DataFrame:
@@ -188,9 +194,9 @@ def top_mean(series: DataFrame, source: str, chunk: int = CHUNK) -> DataFrame:
     return _series_runs(series, F.lit(0.0), source, chunk).select("seq_id", "top_mean")
 
 
-def temporal_strength(smoothed: DataFrame, threshold: Column, source: str = "smoothed", chunk: int = CHUNK) -> DataFrame:
+def temporal_strength(smoothed: DataFrame, threshold: Column, source: str = "smoothed", chunk: int = CHUNK, at: str = "pos") -> DataFrame:
     """Continuity plus 0.7 * top-3 mean + 0.3 * continuity score, one row per series; runs and best values in one pass."""
-    df = _with_continuity(_series_runs(smoothed, threshold, source, chunk))
+    df = _with_continuity(_series_runs(smoothed, threshold, source, chunk, at))
     strength = clamp01(F.col("top_mean") * 0.7 + F.col("frame_continuity_score") * 0.3)
     return df.withColumn("temporal_strength", r4(strength)).drop("top_mean")
 

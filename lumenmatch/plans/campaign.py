@@ -34,18 +34,18 @@ def _source(df: DataFrame) -> DataFrame:
 
 
 def campaign_results(
-    targets: DataFrame, frames: DataFrame, banks: Banks, kernel: str = "jvm", failures: DataFrame | None = None
+    targets: DataFrame, frames: DataFrame, banks: Banks, kernel: str = "jvm", failures: DataFrame | None = None, step: int | None = None
 ) -> DataFrame:
     """Result rows of images, videos and failed fetches. ``targets`` has path, campaign, features, (for images) the vector and,
     if fetched, username and source_url; ``frames`` belongs to the video targets by video_id = target_id; ``failures`` are rows
-    of ``attach_fetch_errors`` with their campaign. A video without frames and a failed fetch are NO_MATCH rows."""
+    of ``attach_fetch_errors`` with their campaign. A video without frames and a failed fetch are NO_MATCH rows. ``step`` as in ``video_evidence``."""
     targets = _source(targets)
     kind = media_type(F.col("filename"))
     images = match_images(targets.filter(kind != "video"), banks, kernel).withColumn("file", F.col("filename"))
     # the analytics read the adjustment from the explanation, where videos keep it
     images = images.select(*RESULT, *SOURCE, _context(video=False).alias("media_context"))
     videos = targets.filter(kind == "video").select(F.col("target_id").alias("video_id"), KEY, F.col("filename").alias("_file"), *SOURCE)
-    matched = match_videos(frames, banks, kernel).withColumn("social_adjustment", F.col("explainability.social_adjustment"))
+    matched = match_videos(frames, banks, kernel, step).withColumn("social_adjustment", F.col("explainability.social_adjustment"))
     joined = videos.join(matched.drop("filename"), ["video_id", KEY], "left").withColumn("file", F.col("_file")).withColumn("filename", F.col("_file"))
     empty = joined["match_type"].isNull()
     defaults = {

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenmatch.session import many_tasks
+
 # Fixed values of the frame rules.
 INTERVAL_SECONDS = 2.0
 EVEN_FRAMES = 6
@@ -154,4 +156,4 @@ def dedupe_frames(features: DataFrame, max_kept: int = MAX_KEPT, batch: int | No
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 
-    return slim.repartition("video_id").sortWithinPartitions("video_id", "frame_idx").mapInArrow(run, KEPT)
+    return slim.repartition(many_tasks(slim.sparkSession), "video_id").sortWithinPartitions("video_id", "frame_idx").mapInArrow(run, KEPT)

@@ -24,7 +24,7 @@ def test_pictures_are_made_by_many_tasks(spark, sf):
 
 
 def test_only_small_packs_pass_the_driver():
-    assert sim.PackSize(7 << 20, 1).broadcastable and not sim.PackSize(9 << 20, 1).broadcastable
+    assert sim.PackSize(3 << 20, 1).broadcastable and not sim.PackSize(5 << 20, 1).broadcastable
 
 
 def test_shuffled_packs_give_the_same_scores(spark, sf):

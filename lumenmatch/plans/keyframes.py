@@ -25,11 +25,12 @@ def key_frames(pictures: DataFrame, max_kept: int = MAX_KEPT) -> DataFrame:
     return dedupe_frames(pictures, max_kept).select("video_id", "frame_idx", "kept_order")
 
 
-def match_key_frames(keyed: DataFrame, vectors: DataFrame, banks: Banks, kernel: str = "jvm") -> DataFrame:
+def match_key_frames(keyed: DataFrame, vectors: DataFrame, banks: Banks, kernel: str = "fused") -> DataFrame:
     """One result row per video and campaign from its key frames.
 
     ``vectors``: video_id, campaign_id, frame_idx, frame_name, embedding and media features of any frames; only key frames are
-    read from it. Their numbers have gaps, which ``match_videos`` allows for.
+    read from it. Their numbers have gaps, which ``match_videos`` allows for. The frames of a still video have one vector up to
+    rounding, so the best of them is the one that the SQL's own products put first: hence the fused kernel.
     """
     chosen = staged(vectors.join(keyed.select("video_id", "frame_idx"), ["video_id", "frame_idx"]), "keyvectors")
     return match_videos(chosen, banks, kernel)

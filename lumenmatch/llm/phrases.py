@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenmatch.llm.arrow import fields, map_batches, raw_bytes, slices
-from lumenmatch.llm.tokens import BASE, mix, words
+from lumenmatch.llm.tokens import BASE, mix, powers, words
 from lumenmatch.session import discard, staged
 
 #: Words of a passage that counts when it recurs, and of the runs of words among which a window chooses its anchor.
@@ -31,7 +32,9 @@ NO_ID = -(1 << 63)
 _BYTES = np.arange(256, dtype=np.uint8)
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, *range(9, 14)]] = True
-SEGMENT = "id long, th long, anchor long, start int, m int"
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_BACKWARD = np.ones(1, np.uint64)
+SEGMENT = "id long, th long, anchor long, start int, m int, content long"
 
 
 def bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,17 +45,21 @@ def bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def _run_hash(hashes: np.ndarray, at: np.ndarray, size: int, have: np.ndarray | None = None, value: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the ``size`` words (or ``have`` of them, if fewer) from each place on."""
-    value = np.full(len(at), np.uint64(size)) if value is None else value
+def _back(n: int) -> np.ndarray:
+    """The first ``n`` powers of the inverse of BASE modulo 2 ** 64, grown as needed."""
+    global _BACKWARD
     with np.errstate(over="ignore"):
-        for k in range(size):
-            if have is None:
-                value = mix(value * BASE + hashes[at + k])
-            else:
-                some = np.flatnonzero(k < have)
-                value[some] = mix(value[some] * BASE + hashes[at[some] + k])
-    return value
+        while len(_BACKWARD) < n:
+            _BACKWARD = np.concatenate([_BACKWARD, _BACKWARD * (_BACKWARD[-1] * _INVERSE)])
+    return _BACKWARD[:n]
+
+
+def _run_hash(hashes: np.ndarray, at: np.ndarray, size: np.ndarray | int, tag: np.ndarray | int = 0) -> np.ndarray:
+    """Hash of the ``size`` words from each place on and of a tag: a difference of running sums of words times powers of BASE."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes)))])
+        value = (sums[at + size] - sums[at]) * _back(len(sums))[at]
+        return mix(mix(value) + np.asarray(tag).astype(np.uint64))
 
 
 def segments(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -66,18 +73,18 @@ def segments(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    grams = _run_hash(hashes, np.arange(len(hashes) - GRAM + 1), GRAM)
-    best, off = grams[at], np.zeros(len(at), np.int64)
-    for k in range(1, SPAN):
-        value = grams[at + k]
-        less = value < best
-        best[less], off[less] = value[less], k
-    place = at + off
+    best = _run_hash(hashes, np.arange(len(hashes) - GRAM + 1), GRAM)
+    place, width = np.arange(len(best)), 1
+    while width < SPAN:  # the smallest of width runs from each place on; two overlapping stretches make a longer one
+        step = min(width, SPAN - width)
+        place = np.where(best[step:] < best[:-step], place[step:], place[:-step])
+        best = np.minimum(best[step:], best[:-step])
+        width += step
+    place, best = place[at], best[at]
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     m = np.diff(np.append(first, len(at)))
     text = np.searchsorted(counts, at[first], side="right") - 1
-    with np.errstate(over="ignore"):
-        content = _run_hash(hashes, at[first], WINDOW + SPAN - 1, m + WINDOW - 1, (off[first] << 8 | m).astype(np.uint64))
+    content = _run_hash(hashes, at[first], m + WINDOW - 1, (place[first] - at[first]) << 8 | m)
     return text, at[first] - counts[text], m, best[first], content
 
 
@@ -115,59 +122,55 @@ def anchored_segments(docs: DataFrame) -> DataFrame:
                 "m": m.astype(np.int32), "content": content.view(np.int64),
             }
 
-    return map_batches(_keyed(docs).select("id", "th", "text"), T.StructType.fromDDL(f"{SEGMENT}, content long"), work)
+    return map_batches(_keyed(docs).select("id", "th", "text"), T.StructType.fromDDL(SEGMENT), work)
 
 
-def recurring_segments(docs: DataFrame) -> DataFrame:
-    """Segments whose anchor stands at two places or more, with their words: id, th, anchor, start, m, n, alone, words.
+def recurring_segments(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments whose anchor stands at two places or more: all of them, without words, and the first of each kind.
 
-    Of segments with equal anchor and content, the first one has their number as ``n``; the others have 0. ``alone`` tells that
-    all segments of the anchor are equal. Only hashes and places are counted and joined; texts move once, to meet the list of
-    their segments.
+    Segments with equal anchor and content are of one kind. The first has its words, the number of the kind as ``n`` and
+    ``alone``, which tells that its anchor has no other kinds. Only hashes and places are counted and joined; texts move once,
+    to meet the list of the firsts that stand in them.
     """
     found = staged(anchored_segments(docs), "segments", tidy=True)
     twice = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors", tidy=True)
     recurring = staged(found.join(twice, "anchor", "left_semi"), "recurring", tidy=True)
     discard(found, twice)
     firsts = recurring.groupBy("anchor", "m", "content").agg(F.min(F.struct("id", "th", "start")).alias("p"), F.count("*").cast("int").alias("n"))
-    firsts = staged(firsts.select("anchor", "m", "p", "n"), "firsts", tidy=True)
+    firsts = staged(firsts.select("anchor", "m", "content", "p", "n"), "firsts", tidy=True)
     alone = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c = 1").select("anchor", F.lit(True).alias("alone"))
     marked = firsts.join(staged(alone, "alone", tidy=True), "anchor", "left").select(
-        "p.id", "p.th", F.struct("anchor", "p.start", "m", "n", F.coalesce("alone", F.lit(False)).alias("alone")).alias("s")
+        "p.id", "p.th", F.struct("anchor", "p.start", "m", "content", "n", F.coalesce("alone", F.lit(False)).alias("alone")).alias("s")
     )
-    plain = recurring.select("id", "th", F.struct("anchor", "start", "m", F.lit(0).alias("n"), F.lit(False).alias("alone")).alias("s"))
-    lists = staged(plain.unionByName(marked).groupBy("id", "th").agg(F.collect_list("s").alias("list")), "lists", tidy=True)
-    discard(recurring, firsts)
+    lists = staged(marked.groupBy("id", "th").agg(F.collect_list("s").alias("list")), "lists", tidy=True)
+    discard(firsts)
 
     def work(batch):
         data, offsets = raw_bytes(batch.column("text"))
         flat = batch.column("list").flatten()
         ends = np.cumsum(pa.compute.list_value_length(batch.column("list")).to_numpy())
-        anchor, start, m, n, alone = (np.asarray(flat.field(k)) for k in range(5))
-        # by document and place; of rows with one place, the one with a number is kept
+        names = ("anchor", "start", "m", "content", "n", "alone")
+        columns = {c: flat.field(k) for k, c in enumerate(names)}
         row = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
-        order = np.lexsort((-n, start, row))
-        order = order[np.append(True, (np.diff(row[order]) > 0) | (np.diff(start[order]) > 0))] if len(order) else order
-        cuts = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+        start, stop = (columns["start"].to_numpy(), columns["start"].to_numpy() + columns["m"].to_numpy() + WINDOW - 2)
         held: list[bytes] = []
         done = 0
 
         def told(upto: int) -> dict:
-            rows = order[done:upto]
-            docs = pa.array(row[rows])
+            docs = pa.array(row[done:upto])
             return {
-                "id": batch.column("id").take(docs), "th": batch.column("th").take(docs), "anchor": anchor[rows], "start": start[rows], "m": m[rows], "n": n[rows],
-                "alone": alone[rows], "words": pa.array(held, pa.binary()).cast(pa.string()),
+                "id": batch.column("id").take(docs), "th": batch.column("th").take(docs), **{c: v.slice(done, upto - done) for c, v in columns.items()},
+                "words": pa.array(held, pa.binary()).cast(pa.string()),
             }
 
         for k in range(batch.num_rows):
             raw = data[offsets[k] : offsets[k + 1]]
             first, last = bounds(raw)
             raw = raw.tobytes()
-            for at in range(cuts[k], cuts[k + 1], ROWS):
-                rows = order[at : min(at + ROWS, cuts[k + 1])]
-                low, high = first[start[rows]].tolist(), last[start[rows] + m[rows] + WINDOW - 2].tolist()
-                held += [raw[x:y] for x, y in zip(low, high)]
+            upto = ends[k]
+            for at in range(ends[k - 1] if k else 0, upto, ROWS):
+                some = slice(at, min(at + ROWS, upto))
+                held += [raw[x:y] for x, y in zip(first[start[some]].tolist(), last[stop[some]].tolist())]
                 if len(held) >= ROWS:
                     yield told(done + len(held))
                     done, held = done + len(held), []
@@ -177,13 +180,13 @@ def recurring_segments(docs: DataFrame) -> DataFrame:
     joined = _keyed(docs).select("id", "th", "text").join(lists, ["id", "th"]).select("id", "th", "text", "list")
     texts = staged(map_batches(joined, T.StructType.fromDDL(f"{SEGMENT}, n int, alone boolean, words string"), work), "texts", tidy=True)
     discard(lists)
-    return texts
+    return recurring, texts
 
 
-def passages(recurring: DataFrame) -> DataFrame:
+def passages(firsts: DataFrame) -> DataFrame:
     """anchor, id, th, start, words, offsets: where each passage of ``WINDOW`` words that recurs stands first, as places in a
-    segment. Of equal segments only the first is looked at, so copies cost nothing; if there are no others with its anchor,
-    the segment recurs as a whole, and offsets is null."""
+    segment. Only the first segment of each kind is looked at, so copies cost nothing; if its anchor has no other kinds, the
+    segment recurs as a whole, and offsets is null."""
 
     def work(batch):
         data, offsets = raw_bytes(batch.column("words"))
@@ -198,7 +201,6 @@ def passages(recurring: DataFrame) -> DataFrame:
         }
 
     schema = T.StructType.fromDDL("anchor long, id long, th long, start int, n int, offset int, window long")
-    firsts = recurring.filter("n > 0")
     among = firsts.filter(~F.col("alone"))
     windows = map_batches(among.select("anchor", "id", "th", "start", "n", "words"), schema, work)
     place = F.struct("id", "th", (F.col("start") + F.col("offset")).alias("at"), "start")
@@ -213,14 +215,12 @@ class Automaton:
     """Aho-Corasick automaton over whole words: each word of its passages is one letter; other words are none of them."""
 
     def __init__(self):
-        self.letters: dict[str, str] = {}
+        self.letters: dict[bytes, str] = {}
         self.machine = ahocorasick.Automaton()
-        self.met: dict[str, tuple] = {}
 
-    def add(self, text: str, offsets: list[int] | None, place: tuple[int, int, int]) -> None:
+    def add(self, own: list[bytes], offsets: list[int] | None, place: tuple[int, int, int]) -> None:
         """Passages of a segment that stands at ``place``: those at ``offsets``, or the segment as a whole."""
         letters = self.letters
-        own = text.encode().split()
         for w in own:
             if w not in letters:
                 k = len(letters) + 1
@@ -235,21 +235,17 @@ class Automaton:
     def close(self) -> None:
         self.machine.make_automaton()
 
-    def ranges(self, text: str) -> tuple[list[tuple[int, int]], list[tuple]]:
-        """Ranges of words of a segment that lie in passages, and the passages. Equal segments, which a task meets in numbers,
-        run through the automaton once."""
-        found = self.met.get(text)
-        if found is None:
-            get = self.letters.get
-            spelt = "".join([get(w, "\0") for w in text.encode().split()])
-            hits = list(self.machine.iter(spelt)) if len(self.machine) else []
-            found = self.met[text] = (_ranges([(end - n + 1, n) for end, (_, _, n) in hits]), hits)
-        return found
+    def hits(self, own: list[bytes]) -> list[tuple]:
+        """End and value of each passage among the words of a segment."""
+        if not len(self.machine):
+            return []
+        get = self.letters.get
+        return list(self.machine.iter("".join([get(w, "\0") for w in own])))
 
-    def later(self, text: str, place: tuple[int, int, int]) -> list[tuple[int, int]]:
-        """The ranges of a segment at ``place`` without passages that stand first there."""
-        _, hits = self.ranges(text)
-        return _ranges([(end - n + 1, n) for end, ((i, th, at), o, n) in hits if (i, th, at + o) != (place[0], place[1], place[2] + end - n + 1)])
+
+def digest_of(own: list[bytes]) -> bytes:
+    """What words are compared by where they stand in different tasks."""
+    return hashlib.blake2b(b" ".join(own), digest_size=16).digest()
 
 
 def _ranges(passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -263,8 +259,20 @@ def _ranges(passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def later_occurrences(recurring: DataFrame, confirmed: DataFrame, passages_each: int = PASSAGES, segments_each: int = SEGMENTS) -> DataFrame:
-    """id, th, low, high: ranges of words covered by passages that stand earlier.
+def left_words(own: list[bytes], gone: Iterable[tuple[int, int, bytes | None]]) -> list[bytes]:
+    """The words outside the ranges (low, high, digest); a range with the digest of other words doesn't count."""
+    stay = bytearray(b"\1") * len(own)
+    for x, y, d in gone:
+        if d is None or digest_of(own[x:y]) == d:
+            stay[x:y] = bytes(y - x)
+    return list(compress(own, stay))
+
+
+def later_occurrences(firsts: DataFrame, confirmed: DataFrame, passages_each: int = PASSAGES, segments_each: int = SEGMENTS) -> DataFrame:
+    """id, th, start, anchor, m, content of the first segment of a kind, low, high, digest: ranges of its words in passages.
+
+    Rows without a digest are of the first segment itself, without passages that stand first there. The others are for its
+    copies, with a digest of the words from low to high.
 
     Passages are dealt by anchor to shards, and segments follow their anchors, so each segment meets one automaton. A shard
     with many segments is read by several tasks, each with its own copy of the automaton; one with too many passages has its
@@ -273,48 +281,57 @@ def later_occurrences(recurring: DataFrame, confirmed: DataFrame, passages_each:
     passages_of = F.when(F.col("offsets").isNull(), 1).otherwise(F.size("offsets"))
     total = confirmed.agg(F.coalesce(F.sum(passages_of), F.lit(0)).alias("n")).first()["n"]
     shard = F.pmod("anchor", F.lit(max(1, -(-total // passages_each)))).alias("shard")
-    sizes = confirmed.groupBy(shard).agg(F.sum(passages_of).alias("passages")).join(recurring.groupBy(shard).agg(F.count("*").alias("segments")), "shard")
+    sizes = confirmed.groupBy(shard).agg(F.sum(passages_of).alias("passages")).join(firsts.groupBy(shard).agg(F.count("*").alias("segments")), "shard")
     sizes = staged(sizes.select("shard", F.ceil(F.col("passages") / (4 * passages_each)).cast("int").alias("layers"), F.ceil(F.col("segments") / segments_each).cast("int").alias("salts")), "shards", tidy=True)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("id", "th", "start"), F.col(n)).cast("int")
-    columns = ("shard", "layer", "salt", "kind", "id", "th", "start", "words", "offsets")
-    no_offsets = F.lit(None).cast("array<int>").alias("offsets")
+    keys, place, kind = ("shard", "layer", "salt", "kind"), ("id", "th", "start"), ("anchor", "m", "content")
+    unknown = [F.lit(None).cast(t).alias(c) for c, t in (("m", "int"), ("content", "long"), ("n", "int"))]
     patterns = confirmed.withColumn("shard", shard).join(sizes, "shard").withColumn("layer", dealt("layers")).withColumn("salt", each("salts")).withColumn("kind", F.lit(0))
-    # the first of equal segments is told apart: passages stand first in such segments alone
-    kind = F.when(F.col("n") > 0, 1).otherwise(2)
-    texts = recurring.withColumn("shard", shard).join(sizes, "shard").withColumn("salt", dealt("salts")).withColumn("layer", each("layers")).withColumn("kind", kind)
-    rows = patterns.select(*columns).unionByName(texts.select(*columns[:-1], no_offsets)).repartition("shard", "layer", "salt").sortWithinPartitions("shard", "layer", "salt", "kind")
-    schema = T.StructType.fromDDL("id long, th long, low int, high int")
+    texts = firsts.withColumn("shard", shard).join(sizes, "shard").withColumn("salt", dealt("salts")).withColumn("layer", each("layers")).withColumn("kind", F.lit(1))
+    patterns = patterns.select(*keys, *place, "anchor", *unknown, "words", "offsets")
+    texts = texts.select(*keys, *place, *kind, "n", "words", F.lit(None).cast("array<int>").alias("offsets"))
+    rows = patterns.unionByName(texts).repartition("shard", "layer", "salt").sortWithinPartitions(*keys)
+    schema = T.StructType.fromDDL("id long, th long, start int, anchor long, m int, content long, low int, high int, digest binary")
     target = to_arrow_schema(schema)
 
     def run(batches):
         key, machine, closed = None, None, False
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in columns[:4]])
-            starts = np.flatnonzero(np.append(True, (np.diff(keys) != 0).any(axis=0))) if batch.num_rows else []
-            at, low, high = [], [], []
+            numbers = np.stack([batch.column(c).to_numpy() for c in keys])
+            starts = np.flatnonzero(np.append(True, (np.diff(numbers) != 0).any(axis=0))) if batch.num_rows else []
+            at, low, high, digests = [], [], [], []
             for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-                *own, kind = keys[:, a].tolist()
+                *own, pattern = numbers[:, a].tolist()
                 if own != key:
                     key, machine, closed = own, Automaton(), False
-                texts = batch.column("words").slice(a, b - a).to_pylist()
-                places = list(zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("id", "th", "start")))) if kind < 2 else None
-                if kind == 0:
-                    for text, offsets, place in zip(texts, batch.column("offsets").slice(a, b - a).to_pylist(), places):
-                        machine.add(text, offsets, place)
+                column = lambda c: batch.column(c).slice(a, b - a).to_pylist()
+                split = [w.split() for w in batch.column("words").slice(a, b - a).cast(pa.binary()).to_pylist()]
+                places = zip(*(column(c) for c in place))
+                if pattern == 0:
+                    for own_words, offsets, p in zip(split, column("offsets"), places):
+                        machine.add(own_words, offsets, p)
                     continue
                 if not closed:
                     machine.close()
                     closed = True
-                for k, text in enumerate(texts, a):
-                    for x, y in machine.later(text, places[k - a]) if kind == 1 else machine.ranges(text)[0]:
+                for k, own_words, (i, th, s), n in zip(range(a, b), split, places, column("n")):
+                    hits = machine.hits(own_words)
+                    later = [(end - size + 1, size) for end, (p, o, size) in hits if p[2] + o != s + end - size + 1 or p[0] != i or p[1] != th]
+                    for x, y in _ranges(later):
                         at.append(k)
                         low.append(x)
                         high.append(y)
+                        digests.append(None)
+                    if n > 1:
+                        for x, y in _ranges([(end - size + 1, size) for end, (_, _, size) in hits]):
+                            at.append(k)
+                            low.append(x)
+                            high.append(y)
+                            digests.append(digest_of(own_words[x:y]))
             if at:
-                start = batch.column("start").to_numpy()[at]
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("th").take(rows), pa.array(start + np.array(low, np.int32)), pa.array(start + np.array(high, np.int32))], schema=target)
+                told = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(told) for c in (*place, *kind)), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(digests, pa.binary())], schema=target)
 
     return rows.mapInArrow(run, schema)
 
@@ -325,19 +342,25 @@ def remove_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), passag
     A word goes if it lies in ``WINDOW`` consecutive words that stand earlier (smaller doc_id, or earlier in the same
     document); what counts is the input, not what is left. Texts are split at space and \\t to \\r; words are taken unchanged.
 
-    Windows are bundled by anchors, so that about every seventh word becomes a row of hashes. Anchors and windows are found
-    by 64-bit hashes each; what is removed is matched word by word by an automaton. If two different windows with equal anchor
-    agreed in their hashes as well, the later one would stay.
+    Windows are bundled by anchors, so that about every seventh word becomes a row of hashes. Anchors, windows and kinds of
+    segments are found by 64-bit hashes each. One segment of each kind is matched word by word by an automaton; its copies
+    elsewhere get its ranges if a 128-bit digest of their own words is the same. If two different windows or segments with equal
+    anchor agreed in their hashes as well, the later one would stay.
 
     Defined cases: null texts have no words; a null doc_id sorts before all others; rows equal in doc_id and text are one
     document (treated alike); rows equal in doc_id alone go in the order of a hash of their texts; an empty table gives no
     rows. Other columns are ignored unless kept; a kept column must not be named like an added one.
     """
-    recurring = recurring_segments(docs)
-    confirmed = staged(passages(recurring), "passages", tidy=True)
-    gone = later_occurrences(recurring, confirmed, passages_each, segments_each)
-    gone = staged(gone.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("gone")), "gone", tidy=True)
-    discard(recurring, confirmed)
+    recurring, firsts = recurring_segments(docs)
+    confirmed = staged(passages(firsts), "passages", tidy=True)
+    found = staged(later_occurrences(firsts, confirmed, passages_each, segments_each), "found", tidy=True)
+    discard(firsts, confirmed)
+    shown = ("id", "th", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"), "digest")
+    kinds = found.filter("digest IS NOT NULL").select("anchor", "m", "content", F.struct("id", "th", "start").alias("p"), "low", "high", "digest")
+    copies = recurring.join(kinds, ["anchor", "m", "content"]).filter(F.struct("id", "th", "start") != F.col("p"))
+    gone = found.filter("digest IS NULL").select(*shown).unionByName(copies.select(*shown))
+    gone = staged(gone.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high", "digest")).alias("gone")), "gone", tidy=True)
+    discard(recurring, found)
     names = [f"__keep{k}" for k in range(len(keep))]
     rows = _keyed(docs).select(*[F.col(c).alias(n) for c, n in zip(keep, names)], "id", "th", F.col("text").alias("__text"))
     joined = rows.join(gone, ["id", "th"], "left").select(*names, "__text", "gone")
@@ -346,19 +369,22 @@ def remove_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), passag
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             n_words, n_removed, kept, digest = [], [], [], []
-            for text, ranges in zip(part.column("__text").to_pylist(), part.column("gone").to_pylist()):
-                own = (text or "").encode().split()
+            lists = part.column("gone")
+            flat = lists.flatten()
+            low, high, told = (flat.field(k).to_pylist() for k in range(3))
+            ends = np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy()).tolist()
+            first = 0
+            for text, end in zip(part.column("__text").cast(pa.binary()).to_pylist(), ends):
+                own = (text or b"").split()
                 n_words.append(len(own))
-                if ranges:
-                    stay = np.ones(len(own), bool)
-                    for r in ranges:
-                        stay[r["low"] : r["high"]] = False
-                    own = [own[k] for k in np.flatnonzero(stay)]
+                if end > first:
+                    own = left_words(own, zip(low[first:end], high[first:end], told[first:end]))
+                    first = end
                 left = b" ".join(own)
                 n_removed.append(n_words[-1] - len(own))
-                kept.append(left.decode())
+                kept.append(left)
                 digest.append(hashlib.sha256(left).hexdigest())
-            yield {**{n: part.column(n) for n in names}, "n_words": n_words, "n_removed": n_removed, "kept": kept, "kept_sha256": digest}
+            yield {**{n: part.column(n) for n in names}, "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": digest}
 
     out = map_batches(joined, fields(joined, names, "n_words long, n_removed long, kept string, kept_sha256 string"), work)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "n_removed", "kept", "kept_sha256")

@@ -21,8 +21,10 @@ from lumenmatch.session import discard, staged
 #: Words of a passage that counts when it recurs, and of the runs of words among which a window chooses its anchor.
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1
-#: Passages of one automaton and segments that one task streams through it, on average.
-PASSAGES, SEGMENTS = 1 << 13, 1 << 14
+#: Passages of one automaton on average, so that it fits a core's cache, and segments that one task streams through it.
+PASSAGES, SEGMENTS = 1 << 10, 1 << 14
+#: An automaton has so many times the average at most; what is beyond goes to layers.
+CROWDED = 32
 #: Bytes of short texts, and words of a long one, that are hashed at once.
 CHUNK, STRETCH = 1 << 20, 1 << 16
 #: Segments that are told at once.
@@ -282,13 +284,15 @@ def later_occurrences(firsts: DataFrame, confirmed: DataFrame, passages_each: in
     total = confirmed.agg(F.coalesce(F.sum(passages_of), F.lit(0)).alias("n")).first()["n"]
     shard = F.pmod("anchor", F.lit(max(1, -(-total // passages_each)))).alias("shard")
     sizes = confirmed.groupBy(shard).agg(F.sum(passages_of).alias("passages")).join(firsts.groupBy(shard).agg(F.count("*").alias("segments")), "shard")
-    sizes = staged(sizes.select("shard", F.ceil(F.col("passages") / (4 * passages_each)).cast("int").alias("layers"), F.ceil(F.col("segments") / segments_each).cast("int").alias("salts")), "shards", tidy=True)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("id", "th", "start"), F.col(n)).cast("int")
+    sizes = sizes.select("shard", F.ceil(F.col("passages") / (CROWDED * passages_each)).cast("int").alias("layers"), F.ceil(F.col("segments") / segments_each).cast("int").alias("salts"))
+    sizes = staged(sizes.filter("layers > 1 OR salts > 1"), "shards", tidy=True)  # the others have one of each
+    count = lambda n: F.coalesce(n, F.lit(1))
+    each = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id", "th", "start"), count(n)).cast("int")
     keys, place, kind = ("shard", "layer", "salt", "kind"), ("id", "th", "start"), ("anchor", "m", "content")
     unknown = [F.lit(None).cast(t).alias(c) for c, t in (("m", "int"), ("content", "long"), ("n", "int"))]
-    patterns = confirmed.withColumn("shard", shard).join(sizes, "shard").withColumn("layer", dealt("layers")).withColumn("salt", each("salts")).withColumn("kind", F.lit(0))
-    texts = firsts.withColumn("shard", shard).join(sizes, "shard").withColumn("salt", dealt("salts")).withColumn("layer", each("layers")).withColumn("kind", F.lit(1))
+    patterns = confirmed.withColumn("shard", shard).join(sizes, "shard", "left").withColumn("layer", dealt("layers")).withColumn("salt", each("salts")).withColumn("kind", F.lit(0))
+    texts = firsts.withColumn("shard", shard).join(sizes, "shard", "left").withColumn("salt", dealt("salts")).withColumn("layer", each("layers")).withColumn("kind", F.lit(1))
     patterns = patterns.select(*keys, *place, "anchor", *unknown, "words", "offsets")
     texts = texts.select(*keys, *place, *kind, "n", "words", F.lit(None).cast("array<int>").alias("offsets"))
     rows = patterns.unionByName(texts).repartition("shard", "layer", "salt").sortWithinPartitions(*keys)

@@ -114,21 +114,27 @@ def diagnostics(
     return F.array_compact(F.array(*rules))
 
 
+def _printed(rounded: Column, raw: Column) -> Column:
+    """A rounded value as it is printed: a negative one that rounds to zero keeps its sign, which Spark's rounding drops."""
+    return F.when((raw < 0) & (rounded == 0), -0.0).otherwise(rounded)
+
+
 def explain(df: DataFrame) -> DataFrame:
     """Adds the ``explainability`` struct.
 
     Expects best_reference, best_frame, temporal_strength, competitor_similarity, ambiguity_score, best_competitor,
     warnings, top_matches, confidence_raw, possible_threshold, num_frames_analyzed, n_refs, dominant_cluster,
-    cluster_similarity, social_adjustment and product_boost.
+    cluster_similarity, social_adjustment and product_boost, and the unrounded max_similarity and best_cluster_centroid_sim.
     """
     c = F.col
     video, conf, thr = c("num_frames_analyzed") > 1, c("confidence_raw") * 100, c("possible_threshold") * 100
-    top = F.coalesce(F.get("top_matches", F.lit(0))["similarity"], F.lit(0.0))
+    top = _printed(F.coalesce(F.get("top_matches", F.lit(0))["similarity"], F.lit(0.0)), c("max_similarity"))
+    cluster = _printed(c("cluster_similarity"), c("best_cluster_centroid_sim"))
     rival = (c("best_competitor") != "") & (c("competitor_similarity") > 0)
     steps = F.array_compact(
         F.array(
             F.format_string(STEP_BANK, "n_refs"),
-            F.when(c("dominant_cluster") != "", F.format_string(STEP_CLUSTER, "dominant_cluster", "cluster_similarity")),
+            F.when(c("dominant_cluster") != "", F.format_string(STEP_CLUSTER, c("dominant_cluster"), cluster)),
             F.when(video, F.format_string(STEP_VIDEO, "num_frames_analyzed")).otherwise(STEP_IMAGE),
             F.when(c("best_reference") != "", F.format_string(STEP_BEST, c("best_reference"), top)),
             F.when(
